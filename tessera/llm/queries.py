@@ -6,7 +6,11 @@ import importlib
 
 _QUERIES = {
     "op1_benchmark_decontamination": "decontaminate",
+    "op2_language_id": "language",
     "op3_url_filters": "urls",
+    "op5_quality_classifier": "quality",
+    "op6_flac_media": "flac",
+    "op8_hmm_lm_scoring": "hmm",
     "op9_byte_bpe": "bpe",
 }
 
