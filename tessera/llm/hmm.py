@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 from . import common as C
 from .language import bucket
 
-STATES, HEAD, BUCKETS, STRETCH, ROUNDS = 6, 2000, 64, 256, 3
+STATES, HEAD, BUCKETS, STRETCH, ROUNDS = 6, 2000, 64, 256, 6
 #: Tokens whose counts are broadcast, a few MB.
 KNOWN = 50_000
 #: Distinct words a task counts before it passes them on.
@@ -175,8 +175,8 @@ class Params:
     @staticmethod
     def first(counts: np.ndarray) -> Params:
         r = np.random.default_rng(3)
-        emit = counts[:, None] * r.uniform(0.5, 1.5, (len(counts), STATES))
-        move = r.uniform(0.5, 1.5, (STATES, STATES)) + np.eye(STATES)
+        emit = counts[:, None] * r.exponential(1.0, (len(counts), STATES))
+        move = r.uniform(0.5, 1.5, (STATES, STATES)) + 8 * STATES * np.eye(STATES)  # texts keep to a state at first
         return Params(np.full(STATES, 1 / STATES), move / move.sum(1, keepdims=True), emit / emit.sum(0))
 
     def stationary(self) -> np.ndarray:
