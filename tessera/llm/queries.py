@@ -8,6 +8,7 @@ _QUERIES = {
     "op1_benchmark_decontamination": "decontaminate",
     "op2_language_id": "language",
     "op3_url_filters": "urls",
+    "op4_ngram_jaccard_join": "jaccard",
     "op5_quality_classifier": "quality",
     "op6_flac_media": "flac",
     "op8_hmm_lm_scoring": "hmm",
