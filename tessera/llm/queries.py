@@ -11,6 +11,7 @@ _QUERIES = {
     "op4_ngram_jaccard_join": "jaccard",
     "op5_quality_classifier": "quality",
     "op6_flac_media": "flac",
+    "op7_substring_dedup": "phrases",
     "op8_hmm_lm_scoring": "hmm",
     "op9_byte_bpe": "bpe",
 }
