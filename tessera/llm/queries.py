@@ -13,6 +13,7 @@ _QUERIES = {
     "op6_flac_media": "flac",
     "op7_substring_dedup": "phrases",
     "op8_hmm_lm_scoring": "hmm",
+    "op10_suffix_array_dedup": "suffixes",
     "op9_byte_bpe": "bpe",
 }
 
