@@ -4,8 +4,7 @@ Each window is marked by the ``k``-gram of least hash inside it, so equal window
 Neighbouring windows of one mark form an interval; an interval's *context* is all the text that its
 windows cover. A window can only repeat if its mark's k-gram does, and where a whole context repeats,
 all its windows do. Only intervals whose k-gram repeats within different contexts need a look at
-single windows: their contexts are dealt out by k-gram and compared there, or, for a k-gram with
-over ``HOT`` contexts, counted window by window over the cluster.
+single windows: those are counted by hash over the cluster, so no k-gram's places ever meet in one task.
 
 Rows are told apart by ``rk``, an MD5 of id and text.
 """
@@ -22,7 +21,6 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-HOT = 512
 #: Units that one search for marks works on; positions have 24 bits there.
 MOST_UNITS = 1 << 22
 PLACE = np.uint64((1 << 24) - 1)
@@ -35,6 +33,8 @@ class Units:
     by_word: bool
     length: int
     k: int
+    #: Windows that are counted together, from coarse to fine.
+    widths: tuple[int, ...]
 
     def split(self, data: np.ndarray, off: np.ndarray):
         """A value for each unit, the rows' offsets in units, and where units start and end."""
@@ -44,8 +44,8 @@ class Units:
         return C.slices(C.running(C.BYTE_VALUE[data]), s, e), wo, (s, e)
 
 
-WORDS = Units(True, 35, 12)
-BYTES = Units(False, 200, 40)
+WORDS = Units(True, 35, 12, (1,))
+BYTES = Units(False, 200, 40, (16, 1))
 
 
 def row_key(key: str, text: str) -> Column:
@@ -104,7 +104,8 @@ def keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def mark_rows(rows: DataFrame, u: Units) -> DataFrame:
-    """(rk, a, b, d, key, ctx) of all intervals."""
+    """(rk, a, b, d, key, ctx, n) of all intervals. Of equal contexts in one step the first has their
+    number as ``n``, the others, which surely repeat, have 0."""
 
     def run(batches):
         for big in batches:
@@ -112,36 +113,42 @@ def mark_rows(rows: DataFrame, u: Units) -> DataFrame:
                 batch = big.slice(at, 512)
                 for i, _, _, values, off, _ in each_step(batch, 1, u):
                     r, a, b, d, key, ctx = marks(values, off, u)
-                    yield pa.RecordBatch.from_arrays([pc.take(batch.column(0), pa.array(r + i)), pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32)), pa.array(d.astype(np.int16)), pa.array(key.view(np.int64)), pa.array(ctx.view(np.int64))], names=["rk", "a", "b", "d", "key", "ctx"])
+                    n = np.zeros(len(r), np.int32)
+                    _, first, count = np.unique(ctx, return_index=True, return_counts=True)
+                    n[first] = count
+                    yield pa.RecordBatch.from_arrays([pc.take(batch.column(0), pa.array(r + i)), pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32)), pa.array(d.astype(np.int16)), pa.array(key.view(np.int64)), pa.array(ctx.view(np.int64)), pa.array(n)], names=["rk", "a", "b", "d", "key", "ctx", "n"])
 
-    return rows.mapInArrow(run, "rk binary, a int, b int, d short, key long, ctx long")
+    return rows.mapInArrow(run, "rk binary, a int, b int, d short, key long, ctx long, n int")
 
 
 def by_counting(rows: DataFrame, u: Units) -> DataFrame:
-    """Intervals whose k-gram repeats: (rk, a, b, d, key, whole: its context repeats, look: its windows
-    are to be compared). One place of each repeated context stands for all of them there."""
+    """Intervals whose k-gram repeats: (rk, a, b, d, whole: its context repeats, look: its windows are
+    to be compared). One place of each repeated context stands for all of them there."""
     all_marks = mark_rows(rows, u)
-    keys = all_marks.groupBy("key").agg(F.count("*").alias("n"), F.min("ctx").alias("lo"), F.max("ctx").alias("hi")).where("n > 1").select("key", (F.col("lo") != F.col("hi")).alias("mixed"))
-    held = C.stored(all_marks.join(keys, "key"), "marks")
-    plain = held.where("NOT mixed").select("rk", "a", "b", "d", "key", F.lit(True).alias("whole"), F.lit(False).alias("look"))
-    mixed = held.where("mixed")
-    contexts = mixed.groupBy("key", "ctx").agg(F.count("*").alias("n"), F.min(F.struct("rk", "a")).alias("one"))
-    looked = mixed.join(contexts, ["key", "ctx"])
+    keys = all_marks.where("n > 0").groupBy("key").agg(F.sum("n").alias("of_key"), F.min("ctx").alias("lo"), F.max("ctx").alias("hi"))
+    keys = keys.where("of_key > 1").select("key", (F.col("lo") != F.col("hi")).alias("mixed"))
+    # what surely repeats needs no partner: it goes anywhere instead of to its, maybe hot, k-gram
+    spread = all_marks.withColumn("key", F.when(F.col("n") > 0, F.col("key")).otherwise(F.xxhash64("rk", "a")))
+    held = C.stored(spread.join(keys, "key", "left").where("n = 0 OR mixed IS NOT NULL"), "marks")
+    plain = held.where("n = 0 OR NOT mixed").select("rk", "a", "b", "d", F.lit(True).alias("whole"), F.lit(False).alias("look"))
+    mixed = held.where("n > 0 AND mixed")
+    contexts = mixed.groupBy("ctx").agg(F.sum("n").alias("of_ctx"), F.min(F.struct("rk", "a")).alias("one"))
+    looked = mixed.join(contexts, "ctx")
     first = (F.col("one.rk") == F.col("rk")) & (F.col("one.a") == F.col("a"))
-    looked = looked.select("rk", "a", "b", "d", "key", (F.col("n") > 1).alias("whole"), ((F.col("n") == 1) | first).alias("look"))
+    looked = looked.select("rk", "a", "b", "d", (F.col("of_ctx") > 1).alias("whole"), ((F.col("of_ctx") == 1) | first).alias("look"))
     return plain.unionByName(looked)
 
 
 def with_text(rows: DataFrame, found: DataFrame, name: str) -> DataFrame:
     """(rk, text, marks) of the rows that have any interval, stored."""
-    own = found.groupBy("rk").agg(F.collect_set(F.struct("a", "b", "d", "key", "whole", "look")).alias("marks"))
+    own = found.groupBy("rk").agg(F.collect_set(F.struct("a", "b", "d", "whole", "look")).alias("marks"))
     return C.stored(rows.join(own, "rk"), name)
 
 
-def window_starts(held: DataFrame, u: Units) -> DataFrame:
-    """(rk, lo, hi): repeated windows start at lo..hi, from the intervals that had to be looked at."""
+def contexts_of(held: DataFrame, u: Units) -> DataFrame:
+    """(rk, a, d, whole, ctx) of the intervals to be looked at."""
 
-    def contexts(batches):
+    def run(batches):
         for big in batches:
             for at in range(0, big.num_rows, 128):
                 batch = big.slice(at, 128)
@@ -151,94 +158,67 @@ def window_starts(held: DataFrame, u: Units) -> DataFrame:
                     source = values if u.by_word else data
                     for r in range(len(off) - 1):
                         for m in all_marks[i + r]:
-                            if m["look"]:
-                                lo = int(off[r]) + m["a"]
-                                out.append((m["key"], rks[i + r], m["a"], m["whole"], source[lo : lo + m["b"] - m["a"] + u.length].tobytes()))
+                            lo = int(off[r]) + m["a"]
+                            out.append((rks[i + r], m["a"], m["d"], m["whole"], source[lo : lo + m["b"] - m["a"] + u.length].tobytes()))
                 cols = list(zip(*out, strict=True)) or [[]] * 5
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.binary(), pa.int32(), pa.bool_(), pa.binary()), strict=True)], names=["key", "rk", "a", "whole", "ctx"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.binary(), pa.int32(), pa.int16(), pa.bool_(), pa.binary()), strict=True)], names=["rk", "a", "d", "whole", "ctx"])
 
     looked = held.select("rk", "text", F.filter("marks", lambda m: m["look"]).alias("marks")).where(F.size("marks") > 0)
-    ctx = looked.mapInArrow(contexts, "key long, rk binary, a int, whole boolean, ctx binary")
-    sizes = held.select(F.explode("marks").alias("m")).where("m.look").groupBy("m.key").agg(F.count("*").alias("n")).where(f"n > {HOT}").select("key", F.lit(True).alias("hot"))
-    ctx = C.stored(ctx.join(sizes, "key", "left"), "contexts")
-
-    def windows(t):
-        """Hash of each window of some contexts; the row and place of each."""
-        data, off = C.text_buffer(t.column("ctx") if isinstance(t, pa.RecordBatch) else t.column("ctx").combine_chunks())
-        values = np.frombuffer(data.tobytes(), np.uint64) if u.by_word else C.BYTE_VALUE[data]
-        off = off // 8 if u.by_word else off
-        n = np.diff(off) - u.length + 1
-        row = np.repeat(np.arange(len(n)), n)
-        d = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-        lo = off[row] + d
-        return C.slices(C.running(values), lo, lo + u.length), row, d
-
-    def ranges(t, row, d, hit):
-        """Runs of hit windows of the contexts that aren't whole."""
-        rk, a, whole = t.column("rk"), t.column("a").to_numpy(), t.column("whole").to_numpy(zero_copy_only=False)
-        hit = hit & ~whole[row]
-        before = np.concatenate([[False], hit[:-1] & (row[1:] == row[:-1])])
-        after = np.concatenate([hit[1:] & (row[1:] == row[:-1]), [False]])
-        lo, hi = np.flatnonzero(hit & ~before), np.flatnonzero(hit & ~after)
-        return pa.RecordBatch.from_arrays([pc.take(rk, pa.array(row[lo])), pa.array((a[row[lo]] + d[lo]).astype(np.int32)), pa.array((a[row[hi]] + d[hi]).astype(np.int32))], names=["rk", "lo", "hi"])
-
-    def compare(batches):
-        """Contexts come in order of their k-grams; windows of a k-gram are together."""
-        rest: list[pa.RecordBatch] = []
-
-        def done(t):
-            h, row, d = windows(t)
-            if not len(h):
-                return None
-            _, inverse, count = np.unique(h, return_inverse=True, return_counts=True)
-            return ranges(t, row, d, count[inverse] > 1)
-
-        for b in batches:
-            if not b.num_rows:
-                continue
-            keys = b.column(0).to_numpy()
-            cut = int(np.searchsorted(keys, keys[-1]))  # the last key may go on in the next batch
-            if rest and (cut or rest[-1].column(0)[-1].as_py() != keys[0]):
-                t = pa.Table.from_batches([*rest, b.slice(0, cut)]).combine_chunks().to_batches()[0]
-                rest = []
-            elif cut:
-                t = b.slice(0, cut)
-            else:
-                t = None
-            rest.append(b.slice(cut))
-            if t is not None:
-                for lo, hi in _whole_keys(t.column(0).to_numpy()):
-                    if (got := done(t.slice(lo, hi - lo))) is not None:
-                        yield got
-        if rest:
-            t = pa.Table.from_batches(rest).combine_chunks().to_batches()[0]
-            for lo, hi in _whole_keys(t.column(0).to_numpy()):
-                if (got := done(t.slice(lo, hi - lo))) is not None:
-                    yield got
-
-    usual = ctx.where("hot IS NULL").select("key", "rk", "a", "whole", "ctx")
-    out = usual.repartition(F.col("key")).sortWithinPartitions("key").mapInArrow(compare, "rk binary, lo int, hi int")
-
-    def hashes(batches):
-        for b in batches:
-            for at in range(0, b.num_rows, 1024):
-                t = b.slice(at, 1024)
-                h, row, d = windows(t)
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pc.take(t.column("rk"), pa.array(row)), pa.array((t.column("a").to_numpy()[row] + d).astype(np.int32)), pc.take(t.column("whole"), pa.array(row))], names=["h", "rk", "lo", "whole"])
-
-    hot = ctx.where("hot").select("rk", "a", "whole", "ctx").mapInArrow(hashes, "h long, rk binary, lo int, whole boolean")
-    often = hot.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
-    return out.unionByName(hot.where("NOT whole").join(often, "h").select("rk", "lo", F.col("lo").alias("hi")))
-
-
-def _whole_keys(keys: np.ndarray, most: int = 4096):
-    """Ranges of about ``most`` rows that end where a key ends."""
-    ends = np.append(np.flatnonzero(keys[1:] != keys[:-1]) + 1, len(keys))
-    lo = 0
-    while lo < len(keys):
-        hi = int(ends[min(np.searchsorted(ends, lo + most), len(ends) - 1)])
-        yield lo, hi
-        lo = hi
+    return looked.mapInArrow(run, "rk binary, a int, d short, whole boolean, ctx binary")
+
+
+def pieces(rows: DataFrame, u: Units, width: int) -> DataFrame:
+    """From (rk, a, d, whole, ctx, from, to): runs lo..hi of up to ``width`` windows, cut by their
+    distance from the mark. ``inner`` is a hash of what all windows of such a run have in common,
+    ``outer`` of all that the run covers: no window repeats unless ``inner`` does, and all do if
+    ``outer`` does."""
+
+    def run(batches):
+        for big in batches:
+            for at in range(0, big.num_rows, 1024):
+                t = big.slice(at, 1024)
+                data, off = C.text_buffer(t.column(4))
+                values = np.frombuffer(data.tobytes(), np.uint64) if u.by_word else C.BYTE_VALUE[data]
+                off = off // 8 if u.by_word else off
+                a, d, lo, hi = (t.column(c).to_numpy().astype(np.int64) for c in (1, 2, 5, 6))
+                n = hi - lo + 1
+                row = np.repeat(np.arange(len(n)), n)
+                s = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + (lo - a)[row]
+                cell = (d[row] - s) // width
+                first = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (cell[1:] != cell[:-1])])[: len(row)])
+                last = np.append(first[1:], len(row))[: len(first)] - 1
+                r, start, end = row[first], s[first], s[last]
+                near = off[r] + d[r] - width * cell[first]
+                h = C.running(values)
+                inner, outer = C.slices(h, near, near - width + 1 + u.length), C.slices(h, off[r] + start, off[r] + end + u.length)
+                yield pa.RecordBatch.from_arrays([pc.take(t.column(0), pa.array(r)), pa.array(a[r].astype(np.int32)), pa.array((a[r] + start).astype(np.int32)), pa.array((a[r] + end).astype(np.int32)), pc.take(t.column(3), pa.array(r)), pa.array(inner.view(np.int64)), pa.array(outer.view(np.int64))], names=["rk", "a", "lo", "hi", "whole", "inner", "outer"])
+
+    return rows.select("rk", "a", "d", "whole", "ctx", "from", "to").mapInArrow(run, "rk binary, a int, lo int, hi int, whole boolean, inner long, outer long")
+
+
+def window_starts(held: DataFrame, u: Units) -> DataFrame:
+    """(rk, lo, hi): repeated windows start at lo..hi, from the intervals that had to be looked at.
+    Counted from coarse to fine: runs of windows first, then the windows of those still open."""
+    ctx = C.stored(contexts_of(held, u), "contexts")
+    size = F.octet_length("ctx") / (8 if u.by_word else 1) - u.length
+    todo = ctx.withColumn("from", F.col("a")).withColumn("to", (F.col("a") + size).cast("int"))
+    out = []
+    for width in u.widths:
+        rows = pieces(todo, u, width)
+        often = rows.groupBy("outer").agg(F.count("*").alias("n"), F.min(F.struct("rk", "lo")).alias("one"))
+        if width == 1:
+            out.append(rows.where("NOT whole").join(often.where("n > 1"), "outer").select("rk", "lo", "hi"))
+            break
+        inner = rows.groupBy("inner").agg(F.count("*").alias("k")).where("k > 1").select("inner")
+        rows = C.stored(rows.join(inner, "inner").join(often, "outer"), f"runs{width}")
+        out.append(rows.where("n > 1 AND NOT whole").select("rk", "lo", "hi"))
+        first = (F.col("one.rk") == F.col("rk")) & (F.col("one.lo") == F.col("lo"))
+        open_ = rows.where((F.col("n") == 1) | first).select("rk", "a", F.col("lo").alias("from"), F.col("hi").alias("to"), (F.col("n") > 1).alias("full"))
+        todo = ctx.join(open_, ["rk", "a"]).withColumn("whole", F.col("whole") | F.col("full"))
+    both = out[0]
+    for x in out[1:]:
+        both = both.unionByName(x)
+    return both
 
 
 def spans_of(marks_: list[dict], starts: list[dict] | None, length: int) -> list[tuple[int, int]]:
