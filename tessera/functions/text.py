@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,6 +25,11 @@ STOPWORDS = {
 REFUSALS = ["not mentioned", "no information", "cannot be answered", "not provided", "don't know", "unable to answer"]
 
 
+def once(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is computed once a row, though ``f`` uses it inside a lambda."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def count(text: Column, pattern: str) -> Column:
     return F.regexp_count(text, F.lit(pattern))
 
@@ -206,8 +212,8 @@ def read_slice(text: Column, offset: int, limit: int = -1) -> Column:
 def snippets(df: DataFrame, text: str, needle: str, *, around: int = 300, most: int = 20) -> DataFrame:
     """Occurrences that don't overlap, ``most`` a text: offset in characters, and the text around it."""
     parts = F.slice(F.split(F.col(text), "\\Q" + needle + "\\E"), 1, most + 1)
-    size = F.transform(parts, lambda p: F.char_length(p))
-    at = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda i: F.aggregate(F.slice(size, 1, i), F.lit(0), lambda a, x: a + x) + (i - 1) * len(needle))
+    sizes = F.transform(parts, lambda p: F.char_length(p))
+    at = once(sizes, lambda s: F.transform(F.sequence(F.lit(1), F.size(s) - 1), lambda i: F.aggregate(F.slice(s, 1, i), F.lit(0), lambda a, x: a + x) + (i - 1) * len(needle)))
     found = df.where(F.contains(F.col(text), F.lit(needle))).select("*", F.posexplode(at).alias("nth", "offset"))
     lo = F.greatest(F.lit(0), F.col("offset") - around)
     return found.withColumn("snippet", F.substring(F.col(text), lo + 1, F.col("offset") + len(needle) + around - lo))

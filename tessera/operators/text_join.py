@@ -5,14 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions.text import once
+
 #: Words of the key by which a passage and a text meet.
 GRAM = 5
 
 
 def _grams(text: Column, n: int) -> Column:
     """All runs of ``n`` words separated by single spaces of a line, as they stand."""
-    w = F.split(text, r"\s+")
-    return F.transform(F.sequence(F.lit(0), F.greatest(F.size(w) - n, F.lit(0))), lambda i: F.xxhash64(F.array_join(F.slice(w, i + 1, n), " ")))
+    def grams(w: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.greatest(F.size(w) - n, F.lit(0))), lambda i: F.xxhash64(F.array_join(F.slice(w, i + 1, n), " ")))
+
+    return once(F.split(text, r"\s+"), grams)
 
 
 def containing(texts: DataFrame, key: str, text: str, passages: DataFrame, item: str, passage: str, *, n: int = GRAM) -> DataFrame:

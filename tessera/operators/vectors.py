@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.text import once
+
 #: Rows of either side in one block of a batched search.
 BLOCK = 4096
 
@@ -44,8 +46,8 @@ def cosine(a: Column, b: Column) -> Column:
 def truncated(v: Column, dim: int) -> Column:
     """The first ``dim`` values, of unit length; vectors that aren't longer, and zeros, stay."""
     cut = F.slice(v, 1, dim)
-    n = norm(cut)
-    return F.when((F.size(v) <= dim) | (n == 0), F.when(F.size(v) <= dim, v.cast("array<double>")).otherwise(cut.cast("array<double>"))).otherwise(F.transform(cut, lambda x: x.cast("double") / n))
+    unit = once(norm(cut), lambda n: F.when(n == 0, cut.cast("array<double>")).otherwise(F.transform(cut, lambda x: x.cast("double") / n)))
+    return F.when(F.size(v) <= dim, v.cast("array<double>")).otherwise(unit)
 
 
 def scale_of(v: Column) -> Column:
@@ -55,8 +57,8 @@ def scale_of(v: Column) -> Column:
 
 def int8(v: Column) -> Column:
     """Values over the scale, rounded half away from zero, in -127..127."""
-    s = scale_of(v)
-    return F.transform(v, lambda x: (F.signum(x.cast("double")) * F.least(F.lit(127.0), F.floor(F.abs(x.cast("double")) / s + 0.5))).cast("int"))
+    rounded = lambda x, s: (F.signum(x.cast("double")) * F.least(F.lit(127.0), F.floor(F.abs(x.cast("double")) / s + 0.5))).cast("int")
+    return once(scale_of(v), lambda s: F.transform(v, lambda x: rounded(x, s)))
 
 
 def int_dot(a: Column, b: Column) -> Column:
