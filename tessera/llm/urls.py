@@ -61,7 +61,8 @@ def _with_host(nodes: DataFrame, hosts: DataFrame, keys: list[str], spread: list
     return left.join(right, [*keys, "salt"]).drop("salt")
 
 
-SUMS = [F.sum(c).alias(c) for c in ("n", "labelled", "blocked")]
+def sums() -> list[Column]:
+    return [F.sum(c).alias(c) for c in ("n", "labelled", "blocked")]
 
 
 def judge(pages: DataFrame, rules: list[tuple[str, str]] = RULES, *, url: str = "url") -> DataFrame:
@@ -78,21 +79,21 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]] = RULES, *, url: str =
     leaves = rows.groupBy("host", "s1", "s2", "deep").agg(F.count("*").alias("n"), F.count("action").alias("labelled"), F.count(F.when(F.col("action") == "block", 1)).alias("blocked"))
 
     # level 1: which hosts vary there
-    first = leaves.groupBy("host", "s1").agg(*SUMS)
+    first = leaves.groupBy("host", "s1").agg(*sums())
     hosts = first.groupBy("host").agg(F.count("*").alias("kinds"), F.sum("n").alias("host_n"), F.sum("labelled").alias("host_labelled"), F.sum("blocked").alias("host_blocked"))
     hosts = hosts.withColumn("vary1", (F.col("kinds") >= VARIABLE) & (F.col("host_n") < REPEAT * F.col("kinds"))).drop("kinds", "host_n")
     leaves = _with_host(leaves, hosts, ["host"], ["s1", "s2"]).withColumn("t1", F.when(F.col("vary1"), "*").otherwise(F.col("s1"))).drop("vary1")
 
     # level 2: which branches vary there, and which are like their host
-    second = leaves.groupBy("host", "t1", "s2").agg(*SUMS, F.max("host_labelled").alias("host_labelled"), F.max("host_blocked").alias("host_blocked"))
+    second = leaves.groupBy("host", "t1", "s2").agg(*sums(), F.max("host_labelled").alias("host_labelled"), F.max("host_blocked").alias("host_blocked"))
     branches = second.groupBy("host", "t1").agg(F.count(F.when(F.col("s2") != "", 1)).alias("kinds"), F.sum(F.when(F.col("s2") != "", F.col("n"))).alias("kinds_n"), F.sum("labelled").alias("l"), F.sum("blocked").alias("b"), F.max("host_labelled").alias("hl"), F.max("host_blocked").alias("hb"))
     # |b/l - hb/hl| <= z*sqrt(p(1-p)/l), without division: (b*hl - l*hb)^2 <= z^2 * l * hb * (hl - hb)
     apart = F.pow(F.col("b").cast("double") * F.col("hl") - F.col("l").cast("double") * F.col("hb"), F.lit(2)) > F.lit(Z2) * F.col("l").cast("double") * F.col("hb") * (F.col("hl") - F.col("hb"))
     branches = branches.select("host", "t1", F.coalesce((F.col("kinds") >= VARIABLE) & (F.col("kinds_n") < REPEAT * F.col("kinds")), F.lit(False)).alias("vary2"), F.when(apart, F.col("t1")).otherwise("~").alias("m1"))
     leaves = _with_host(leaves, branches, ["host", "t1"], ["s1", "s2"])
     # a branch too small to tell by itself follows what its first level does over all hosts
-    over_all = second.where(F.col("s2") != "").groupBy("t1", "s2").agg(F.sum("n").alias("n")).groupBy("t1")
-    over_all = over_all.agg(((F.count("*") >= VARIABLE) & (F.sum("n") < REPEAT * F.count("*"))).alias("vary_all"))
+    over_all = second.groupBy("t1", "s2").agg(F.sum("n").alias("n")).withColumn("n", F.when(F.col("s2") != "", F.col("n"))).groupBy("t1")
+    over_all = over_all.agg(((F.count("n") >= VARIABLE) & (F.sum("n") < REPEAT * F.count("n"))).alias("vary_all"))
     leaves = _with_host(leaves, over_all, ["t1"], ["host", "s1", "s2"])
     vary2 = (F.col("vary2") | F.coalesce("vary_all", F.lit(False))) & (F.col("s2") != "")
     leaves = leaves.withColumn("t2", F.when(vary2, "*").otherwise(F.col("s2"))).drop("vary2", "vary_all", "host_labelled", "host_blocked")
