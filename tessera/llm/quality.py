@@ -25,6 +25,8 @@ from . import common as C
 from .language import bucket
 
 PER_CLASS, BAG = 1500, 24
+#: Steps that a fit takes at least, so that a few labels are enough.
+LEAST_STEPS = 400
 PASSAGE = 256
 KINDS, GRAMS = 16, 256
 DIM = KINDS * KINDS + GRAMS
@@ -89,6 +91,7 @@ class Model:
         shapes = [(DIM, HIDDEN), (HIDDEN,), (HIDDEN, GATE), (HIDDEN, GATE), (GATE,), (HIDDEN,), (1,)]
         self.p = [(r.normal(0, 1 / np.sqrt(s[0]), s) if len(s) > 1 or s[0] > 1 else np.zeros(s)).astype(np.float32) for s in shapes]
         self.p[1][:] = 0
+        rounds = max(rounds, -(-LEAST_STEPS * batch // max(batch, len(bags))))
         m, s2, t = [np.zeros_like(q) for q in self.p], [np.zeros_like(q) for q in self.p], 0
         for k in range(rounds):
             order = r.permutation(len(bags))
