@@ -30,7 +30,7 @@ from . import common as C
 LONG = 256
 BUCKETS = (2, 3, 4, 6, 8, 12, 16, 24, 32, 64, 128, LONG)
 #: Pieces remembered by a worker; the memory is emptied when it is full.
-REMEMBERED = 400_000
+REMEMBERED = 100_000
 NONE = np.int32(2**31 - 1)
 
 
@@ -49,20 +49,21 @@ class Ranks:
             self.bytes[v] = k
         self.byte_id = np.array([self.rank[bytes([i])] for i in range(256)], np.int32)
         self.find = regex.compile(pattern).findall
-        pairs = [(self.rank[t[:i]] * size + self.rank[t[i:]], r) for t, r in self.rank.items() for i in range(1, len(t)) if t[:i] in self.rank and t[i:] in self.rank]
+        get = self.rank.get
+        halves = ((a * size + b, r) for t, r in self.rank.items() for i in range(1, len(t)) if (a := get(t[:i])) is not None and (b := get(t[i:])) is not None)
+        pairs = np.fromiter(halves, np.dtype([("k", "i8"), ("rank", "i4")]))
         self.size = size
         self.bits = max(4, (4 * len(pairs)).bit_length())
         self.keys = np.full(1 << self.bits, -1, np.int64)
         self.vals = np.full(1 << self.bits, NONE, np.int32)
-        self.probes = 1
-        where = self._slot(np.array([k for k, _ in pairs], np.int64)).tolist()
-        mask = (1 << self.bits) - 1
-        for (k, r), at in zip(pairs, where, strict=True):
-            n = 1
-            while self.keys[at] >= 0:
-                at, n = (at + 1) & mask, n + 1
-            self.keys[at], self.vals[at] = k, r
-            self.probes = max(self.probes, n)
+        self.probes, left, at = 0, np.arange(len(pairs)), self._slot(pairs["k"])
+        while len(left):  # of the pairs that want a free slot one gets it, the others go on to the next
+            self.probes += 1
+            open_ = left[self.keys[at[left]] < 0]
+            put = open_[np.unique(at[open_], return_index=True)[1]]
+            self.keys[at[put]], self.vals[at[put]] = pairs["k"][put], pairs["rank"][put]
+            left = np.setdiff1d(left, put)
+            at[left] = (at[left] + 1) & ((1 << self.bits) - 1)
         self.known: dict[str, tuple[int, ...]] = {}
 
     def _slot(self, k: np.ndarray) -> np.ndarray:
@@ -184,6 +185,14 @@ def ranks(path: str, pattern: str) -> Ranks:
     return Ranks(path, pattern)
 
 
+@functools.lru_cache(maxsize=2)
+def token_bytes(path: str) -> list[bytes]:
+    """The bytes of each id: all that decoding needs."""
+    with open(path, "rb") as f:
+        by_id = {int(b): base64.b64decode(a) for a, b in map(bytes.split, f)}
+    return [by_id.get(i, b"") for i in range(max(by_id) + 1)]
+
+
 def encode(docs: DataFrame, path: str, pattern: str, *, text: str = "text", ids: str = "token_ids") -> DataFrame:
     """``docs`` with the ids of each text. ``path``: a rank file that every executor has."""
 
@@ -209,7 +218,7 @@ def decode(tokens: DataFrame, path: str, pattern: str, *, ids: str = "token_ids"
     """``tokens`` with the bytes of each list of ids."""
 
     def make():
-        table = ranks(path, pattern).bytes
+        table = token_bytes(path)
 
         def f(b: pa.RecordBatch) -> list[pa.Array]:
             col = b.column(b.schema.get_field_index(ids))
