@@ -37,7 +37,7 @@ def _(t):
     return retrieval.expand_all(n, n.where("parent_uri IS NULL").select("uri", F.col("score").alias("final"))).withColumn("final", F.round("final", 6))
 
 
-@query("h02_best_first")  # H2, H3: stops early, so rows only; tested on a small tree
+@query("h02_best_first")  # H2, H3: stops early; rows only so far
 def _(t):
     n = nodes(t)
     return retrieval.best_first(n, n.where("parent_uri IS NULL").select("uri", F.col("score").alias("final")), limit=10)
@@ -74,7 +74,7 @@ def candidates(t):
     return d.select("lang", "doc_id", "score", *[X.estimate_tokens(c).alias(n) for n, c in tiers.items()])
 
 
-@query("h10_pack")  # H10, H13: an ordered fold; tested against a plain loop
+@query("h10_pack")  # H10, H13: an ordered fold; rows only so far
 def _(t):
     return assembly.pack(candidates(t), query="lang", key="doc_id", score="score", sizes=["a", "o", "f"], budget=4000)
 
@@ -109,7 +109,7 @@ def _(t):
     return sessions.retention(t.conversations, F.ceil(F.char_length("text") * 0.25), keep_turns=3, budget=300).select("conv_id", "turn_id", "tokens", "kept")
 
 
-@query("h19_newest_turn")  # H19: rows only, tested
+@query("h19_newest_turn")  # H19: rows only so far
 def _(t):
     return sessions.newest_turn_tail(t.conversations, F.ceil(F.char_length("text") * 0.25), budget=200)
 
@@ -133,12 +133,12 @@ def _(t):
     return sessions.idle_sessions(t.events, "user_id", "ts").select("user_id", "n", F.col("first").cast("date").cast("string").alias("first"))
 
 
-@query("r03_threshold_commits")  # R3: an ordered fold; tested against a plain loop
+@query("r03_threshold_commits")  # R3: an ordered fold; rows only so far
 def _(t):
     return sessions.threshold_commits(t.conversations, F.ceil(F.char_length("text") * 0.25), most_tokens=200, most_messages=3)
 
 
-@query("r04_dedupe_window")  # R4: anchored at the last accepted one; tested against a plain loop
+@query("r04_dedupe_window")  # R4: anchored at the last accepted one; rows only so far
 def _(t):
     return sessions.accepted(t.events, "user_id", "ts", "event_id", 86_400)
 

@@ -27,7 +27,7 @@ def _(t):
     return d.select("doc_id", X.truncated(F.col("text"), 100).alias("text"))
 
 
-@query("f03_detect_language")  # accuracy against documents.lang is tested
+@query("f03_detect_language")  # rows only so far
 def _(t):
     return t.documents.select("doc_id", X.detect_language(F.col("text")).alias("lang_pred"))
 
@@ -37,7 +37,7 @@ def _(t):
     return t.documents.select("doc_id", F.coalesce(X.looks_binary(F.col("text")), F.lit(False)).alias("is_binary"))
 
 
-@query("f06_html_text")  # rows only; tested on small pages
+@query("f06_html_text")  # rows only so far
 def _(t):
     return t.pages.select("page_id", X.html_text(F.col("html")).alias("text"))
 
