@@ -30,8 +30,28 @@ from . import common as C
 LONG = 256
 BUCKETS = (2, 3, 4, 6, 8, 12, 16, 24, 32, 64, 128, LONG)
 #: Pieces remembered by a worker; the memory is emptied when it is full.
-REMEMBERED = 100_000
+REMEMBERED = 300_000
 NONE = np.int32(2**31 - 1)
+NO_IDS = np.zeros(0, np.int32)
+
+
+class Numbers(dict):
+    """Pieces by the order in which they were met; ``new`` are those not encoded yet."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, piece: str) -> int:
+        n = self[piece] = len(self)
+        self.new.append(piece)
+        return n
+
+
+def stretches(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Positions of all slices starts:starts+counts, one after another."""
+    ends = np.cumsum(counts)
+    return np.repeat(starts - ends + counts, counts) + np.arange(ends[-1] if len(ends) else 0)
 
 
 class Ranks:
@@ -64,7 +84,12 @@ class Ranks:
             self.keys[at[put]], self.vals[at[put]] = pairs["k"][put], pairs["rank"][put]
             left = np.setdiff1d(left, put)
             at[left] = (at[left] + 1) & ((1 << self.bits) - 1)
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        """Start with no remembered pieces: ``ids`` has those of all pieces joined."""
+        self.numbers, self.ids = Numbers(), NO_IDS
+        self.starts = self.counts = np.zeros(0, np.int64)
 
     def _slot(self, k: np.ndarray) -> np.ndarray:
         with np.errstate(over="ignore"):
@@ -88,12 +113,13 @@ class Ranks:
             open_ = open_[~hit & (got >= 0)]
         return out
 
-    def merge_matrix(self, rows: list[bytes], width: int) -> list[list[int]]:
+    def merge_matrix(self, rows: list[bytes], width: int) -> np.ndarray:
+        """Ids of each row, padded with -1."""
         n = len(rows)
         lens = np.fromiter(map(len, rows), np.int64, n)
         ids = np.full((n, width), -1, np.int32)
         ids[np.arange(width) < lens[:, None]] = self.byte_id[np.frombuffer(b"".join(rows), np.uint8)]
-        result: list = [None] * n
+        result = np.full((n, width), -1, np.int32)
         left = np.arange(n)
         rank = self.pair(ids[:, :-1].ravel(), ids[:, 1:].ravel()).reshape(n, width - 1)
         while len(left):
@@ -101,8 +127,7 @@ class Ranks:
             low = rank[np.arange(len(left)), at]
             done = low == NONE
             if done.any():
-                for r, row, m in zip(left[done].tolist(), ids[done].tolist(), (ids[done] >= 0).sum(1).tolist(), strict=True):
-                    result[r] = row[:m]
+                result[left[done], : ids.shape[1]] = ids[done]
                 keep = ~done
                 left, ids, rank, at, low = left[keep], ids[keep], rank[keep], at[keep], low[keep]
                 if not len(left):
@@ -148,35 +173,48 @@ class Ranks:
                 heapq.heappush(heap, (q, h, ids[h], r))
         return [x for x in ids if x >= 0]
 
-    def learn(self, pieces: set[str]) -> None:
-        """Encode pieces that aren't remembered yet."""
-        if len(self.known) + len(pieces) > REMEMBERED:
-            self.known.clear()
-        by_len: dict[int, list] = {}
-        for p in pieces:
-            raw = p.encode()
-            if (whole := self.rank.get(raw)) is not None:
-                self.known[p] = (whole,)
-            elif len(raw) > LONG:
-                self.known[p] = tuple(self.merge_long(raw))
-            else:
-                by_len.setdefault(next(b for b in BUCKETS if len(raw) <= b), []).append((p, raw))
-        for width, got in by_len.items():
-            for lo in range(0, len(got), 1 << 14):
-                part = got[lo : lo + (1 << 14)]
-                for (p, _), ids in zip(part, self.merge_matrix([raw for _, raw in part], width), strict=True):
-                    self.known[p] = tuple(ids)
-
-    def encode(self, texts: list[str]) -> list[list[int]]:
+    def learn(self) -> None:
+        """Encode the pieces that were met for the first time."""
+        new, self.numbers.new = self.numbers.new, []
+        if not new:
+            return
+        raw = [p.encode() for p in new]
+        lens = np.fromiter(map(len, raw), np.int64, len(raw))
+        whole = np.fromiter((self.rank.get(x, -1) for x in raw), np.int32, len(raw))
+        rest = np.flatnonzero(whole < 0)
+        counts = np.ones(len(raw), np.int64)
+        got = [(np.flatnonzero(whole >= 0), whole[whole >= 0])]
+        bucket = np.searchsorted(BUCKETS, lens[rest])
+        for k, width in enumerate(BUCKETS):
+            own = rest[bucket == k]
+            for lo in range(0, len(own), 1 << 14):
+                part = own[lo : lo + (1 << 14)]
+                ids = self.merge_matrix([raw[i] for i in part.tolist()], width)
+                full = ids >= 0
+                counts[part] = full.sum(1)
+                got.append((part, ids[full]))
+        for i in rest[bucket == len(BUCKETS)].tolist():
+            ids = np.array(self.merge_long(raw[i]), np.int32)
+            counts[i] = len(ids)
+            got.append((np.array([i]), ids))
+        starts = np.cumsum(counts) - counts
+        flat = np.empty(int(counts.sum()), np.int32)
+        for part, ids in got:
+            flat[stretches(starts[part], counts[part])] = ids
+        self.starts = np.concatenate([self.starts, starts + len(self.ids)])
+        self.counts = np.concatenate([self.counts, counts])
+        self.ids = np.concatenate([self.ids, flat])
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, joined, and how many each text has."""
+        if len(self.numbers) > REMEMBERED:
+            self.forget()
         cut = [self.find(t) for t in texts]
-        distinct = set()
-        for c in cut:
-            distinct.update(c)
-        if len(self.known) + len(distinct) > REMEMBERED:
-            self.known.clear()
-        self.learn(distinct.difference(self.known))
-        get = self.known.__getitem__
-        return [list(chain.from_iterable(map(get, c))) for c in cut]
+        off = np.cumsum([0, *map(len, cut)])
+        at = np.fromiter(map(self.numbers.__getitem__, chain.from_iterable(cut)), np.int64, int(off[-1]))
+        self.learn()
+        counts = self.counts[at]
+        return self.ids[stretches(self.starts[at], counts)], np.diff(np.concatenate([[0], np.cumsum(counts)])[off])
 
 
 @functools.lru_cache(maxsize=2)
@@ -186,46 +224,54 @@ def ranks(path: str, pattern: str) -> Ranks:
 
 
 @functools.lru_cache(maxsize=2)
-def token_bytes(path: str) -> list[bytes]:
-    """The bytes of each id: all that decoding needs."""
+def token_bytes(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes of all ids, joined, and each one's start and length: all that decoding needs."""
     with open(path, "rb") as f:
         by_id = {int(b): base64.b64decode(a) for a, b in map(bytes.split, f)}
-    return [by_id.get(i, b"") for i in range(max(by_id) + 1)]
+    lens = np.zeros(max(by_id) + 1, np.int64)
+    lens[list(by_id)] = [len(v) for v in by_id.values()]
+    return np.frombuffer(b"".join(by_id[i] for i in sorted(by_id)), np.uint8), np.cumsum(lens) - lens, lens
 
 
-def encode(docs: DataFrame, path: str, pattern: str, *, text: str = "text", ids: str = "token_ids") -> DataFrame:
-    """``docs`` with the ids of each text. ``path``: a rank file that every executor has."""
+def encode(docs: DataFrame, path: str, pattern: str, *, text: str = "text", ids: str = "token_ids", drop: tuple[str, ...] = ()) -> DataFrame:
+    """``docs`` with the ids of each text, less the columns ``drop``. ``path``: a rank file
+    that every executor has."""
 
     def make():
         r = ranks(path, pattern)
 
         def f(b: pa.RecordBatch) -> list[pa.Array]:
             texts = [t or "" for t in b.column(b.schema.get_field_index(text)).to_pylist()]
-            got = []
+            flat, n = [NO_IDS], [np.zeros(0, np.int64)]
             sizes = np.cumsum([0, *map(len, texts)])
             for i, j in C.steps(sizes, 1 << 19):
-                got += r.encode(texts[i:j])
-            n = np.fromiter(map(len, got), np.int64, len(got))
-            flat = np.fromiter(chain.from_iterable(got), np.int32, int(n.sum()))
-            return [C.list_array(pa.array(flat, pa.int32()), n)]
+                got, counts = r.encode(texts[i:j])
+                flat.append(got)
+                n.append(counts)
+            return [C.list_array(pa.array(np.concatenate(flat), pa.int32()), np.concatenate(n))]
 
         return f
 
-    return C.with_arrow(docs, [T.StructField(ids, T.ArrayType(T.IntegerType(), False))], make, 256)
+    return C.with_arrow(docs, [T.StructField(ids, T.ArrayType(T.IntegerType(), False))], make, 256, drop)
 
 
 def decode(tokens: DataFrame, path: str, pattern: str, *, ids: str = "token_ids", out: str = "decoded") -> DataFrame:
     """``tokens`` with the bytes of each list of ids."""
 
     def make():
-        table = token_bytes(path)
+        data, starts, lens = token_bytes(path)
 
         def f(b: pa.RecordBatch) -> list[pa.Array]:
             col = b.column(b.schema.get_field_index(ids))
-            n = pc.fill_null(pc.list_value_length(col), 0).to_numpy()
-            at = np.concatenate([[0], np.cumsum(n)]).tolist()
-            flat = col.flatten().to_numpy().tolist()
-            return [pa.array([b"".join(map(table.__getitem__, flat[i:j])) for i, j in zip(at, at[1:], strict=False)], pa.binary())]
+            off = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(col), 0).to_numpy())])
+            flat = col.flatten().to_numpy()
+            texts = []
+            for i, j in C.steps(off):
+                own = flat[off[i] : off[j]]
+                raw = data[stretches(starts[own], lens[own])].tobytes()
+                ends = np.concatenate([[0], np.cumsum(lens[own])])[off[i : j + 1] - off[i]].tolist()
+                texts += [raw[x:y] for x, y in zip(ends, ends[1:], strict=False)]
+            return [pa.array(texts, pa.binary())]
 
         return f
 
@@ -236,7 +282,7 @@ def query(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers as P
 
     path, pattern = P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN
-    d = encode(C.table(spark, sf_dir, "documents").select("doc_id", "text"), path, pattern).drop("text")
+    d = encode(C.table(spark, sf_dir, "documents").select("doc_id", "text"), path, pattern, drop=("text",))
     d = decode(d, path, pattern)
     return d.select(
         "doc_id",

@@ -146,12 +146,13 @@ def without(df: DataFrame, names: list[str]) -> DataFrame:
     return df.select(*[f"`{c}`" for c in df.columns if c.lower() not in taken])
 
 
-def with_arrow(df: DataFrame, fields: list[T.StructField], make: Callable, batch_rows: int = 512) -> DataFrame:
+def with_arrow(df: DataFrame, fields: list[T.StructField], make: Callable, batch_rows: int = 512, drop: tuple[str, ...] = ()) -> DataFrame:
     """Append columns computed from Arrow batches; ``make()`` is called once per task
     and gives a function from a batch to the new arrays. Input columns that have the
-    name of a new one are replaced."""
+    name of a new one are replaced; those in ``drop`` are read, but not passed on."""
     base = without(df, [f.name for f in fields])
-    schema = T.StructType([*base.schema.fields, *fields])
+    kept = [i for i, c in enumerate(base.columns) if c not in drop]
+    schema = T.StructType([*(base.schema.fields[i] for i in kept), *fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = make()
@@ -159,6 +160,6 @@ def with_arrow(df: DataFrame, fields: list[T.StructField], make: Callable, batch
             for lo in range(0, big.num_rows, batch_rows):
                 b = big.slice(lo, batch_rows)
                 new = f(b)
-                yield pa.RecordBatch.from_arrays([*b.columns, *new], names=[*b.schema.names, *(x.name for x in fields)])
+                yield pa.RecordBatch.from_arrays([*(b.column(i) for i in kept), *new], names=schema.names)
 
     return base.mapInArrow(run, schema)
