@@ -28,7 +28,7 @@ RATE = 8000
 #: Bits of a linear predictor's coefficients, and by how much they are shifted.
 PRECISION, SHIFT = 8, 6
 #: Payload bytes that one batch of blocks holds.
-BATCH_BYTES = 1 << 21
+BATCH_BYTES = 1 << 20
 
 
 def _crc_table(poly: int, bits: int) -> np.ndarray:
