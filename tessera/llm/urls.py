@@ -1,9 +1,10 @@
 """URL filter by a path-template tree, in DataFrame functions only.
 
-Per host, a level of the path is a wildcard where its segments vary (many distinct values,
-few rows each), in that branch or in the same branch over all hosts; deeper levels than two count as one ``**``. Branches of a host whose
-labelled block rate can't be told from the host's are merged. A template is rejected when
-its smoothed rate of blocked labelled pages is over one half: its own counts are smoothed
+The tree is built level by level until no path has a segment left. Per host, a level is a wildcard
+where its segments vary (many distinct values, few urls each), in that branch or in the same branch
+over all hosts. Branches whose labelled block rate can't be told from that of what they branch from
+are merged, with all below them. A url (host and path) counts once, however many rows it has. A
+template is rejected when its smoothed rate of blocked labelled urls is over one half: its own counts are smoothed
 towards the same template over all hosts, and those towards the rate of all pages. The
 labels are the verdicts of the explicit rules, which always win for their own pages.
 
@@ -25,9 +26,9 @@ from . import common as C
 #: The contract's rules.
 RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
 
-#: A level is variable from this many distinct segments, if each has fewer rows than REPEAT on average.
+#: A level is variable from this many distinct segments, if each has fewer urls than REPEAT on average.
 VARIABLE, REPEAT = 6, 4
-#: Labelled pages that a smoothing prior counts as.
+#: Labelled urls that a smoothing prior counts as.
 PRIOR = 5
 #: Squared z of the test by which branches are merged.
 Z2 = 4
@@ -61,55 +62,72 @@ def _with_host(nodes: DataFrame, hosts: DataFrame, keys: list[str], spread: list
     return left.join(right, [*keys, "salt"]).drop("salt")
 
 
-def sums() -> list[Column]:
-    return [F.sum(c).alias(c) for c in ("n", "labelled", "blocked")]
+def varies(kinds: Column, n: Column) -> Column:
+    return F.coalesce((kinds >= VARIABLE) & (n < REPEAT * kinds), F.lit(False))
+
+
+def _level(nodes: DataFrame, level: int) -> DataFrame:
+    """``nodes`` one level down: ``t``, the template so far, gets this level's ``leaf``; ``m``, the merged
+    branches so far, gets what the ``leaf`` of the level before is merged to."""
+    nodes = nodes.withColumn("s", F.coalesce(F.get("segs", F.lit(level - 1)), F.lit("")))
+    # which branches vary here; one too small to tell by itself follows what it does over all hosts
+    kinds = nodes.groupBy("host", "t", "s").agg(F.count(F.when(F.col("s") != "", 1)).alias("n"))
+    over_all = kinds.groupBy("t", "s").agg(F.sum("n").alias("n")).groupBy("t").agg(varies(F.count(F.when(F.col("s") != "", 1)), F.sum("n")).alias("vary_all"))
+    kinds = kinds.groupBy("host", "t").agg(varies(F.count(F.when(F.col("s") != "", 1)), F.sum("n")).alias("vary"))
+    # which branches are like what they branch from
+    branches = nodes.groupBy("host", "m", "leaf").agg(F.sum("labelled").alias("l"), F.sum("blocked").alias("b"))
+    whole = branches.groupBy("host", "m").agg(F.sum("l").alias("wl"), F.sum("b").alias("wb"))
+    branches = _with_host(branches, whole, ["host", "m"], ["leaf"])
+    # |b/l - wb/wl| <= z*sqrt(p(1-p)/l), without division: (b*wl - l*wb)^2 <= z^2 * l * wb * (wl - wb)
+    apart = F.pow(F.col("b").cast("double") * F.col("wl") - F.col("l").cast("double") * F.col("wb"), F.lit(2)) > F.lit(Z2) * F.col("l").cast("double") * F.col("wb") * (F.col("wl") - F.col("wb"))
+    branches = branches.select("host", "m", "leaf", F.concat("m", F.lit("/"), F.when(apart, F.col("leaf")).otherwise("~")).alias("merged"))
+    nodes = _with_host(nodes, kinds, ["host", "t"], ["path"])
+    nodes = _with_host(nodes, over_all, ["t"], ["host", "path"])
+    nodes = _with_host(nodes, branches, ["host", "m", "leaf"], ["path"])
+    leaf = F.when((F.col("vary") | F.col("vary_all")) & (F.col("s") != ""), "*").otherwise(F.col("s"))
+    nodes = nodes.withColumn("leaf", leaf).withColumn("t", F.concat("t", F.when(F.col("leaf") != "", F.concat(F.lit("/"), "leaf")).otherwise("")))
+    return nodes.select("host", "path", "segs", "labelled", "blocked", "t", F.col("merged").alias("m"), "leaf")
 
 
 def judge(pages: DataFrame, rules: list[tuple[str, str]] = RULES, *, url: str = "url") -> DataFrame:
     """``pages`` with ``host``, ``path``, ``rule``, ``template``, ``block_rate`` and ``verdict``."""
-    base = C.without(pages, ["host", "path", "rule", "template", "block_rate", "verdict", "s1", "s2", "deep", "action"])
+    base = C.without(pages, ["host", "path", "rule", "template", "block_rate", "verdict", "action"])
     host, path = host_path(F.col(url))
     rows = base.withColumn("host", host).withColumn("path", path)
     rule, action = rule_of(F.col("host"), F.col("path"), rules)
-    segs = F.filter(F.split("path", "/"), lambda s: s != "")
-    rows = rows.withColumns({
-        "rule": rule, "action": action,
-        "s1": F.coalesce(F.get(segs, F.lit(0)), F.lit("")), "s2": F.coalesce(F.get(segs, F.lit(1)), F.lit("")), "deep": F.size(segs) > 2,
-    })
-    leaves = rows.groupBy("host", "s1", "s2", "deep").agg(F.count("*").alias("n"), F.count("action").alias("labelled"), F.count(F.when(F.col("action") == "block", 1)).alias("blocked"))
+    rows = rows.withColumns({"rule": rule, "action": action})
+    labelled, blocked = F.col("action").isNotNull().cast("int"), F.coalesce(F.col("action") == "block", F.lit(False)).cast("int")
+    leaves = rows.select("host", "path", labelled.alias("labelled"), blocked.alias("blocked")).distinct()
+    leaves = C.stored(leaves.withColumn("segs", F.filter(F.split("path", "/"), lambda s: s != "")), "urls")
+    depth = leaves.agg(F.max(F.size("segs"))).first()[0] or 0
 
     # level 1: which hosts vary there
-    first = leaves.groupBy("host", "s1").agg(*sums())
-    hosts = first.groupBy("host").agg(F.count("*").alias("kinds"), F.sum("n").alias("host_n"), F.sum("labelled").alias("host_labelled"), F.sum("blocked").alias("host_blocked"))
-    hosts = hosts.withColumn("vary1", (F.col("kinds") >= VARIABLE) & (F.col("host_n") < REPEAT * F.col("kinds"))).drop("kinds", "host_n")
-    leaves = _with_host(leaves, hosts, ["host"], ["s1", "s2"]).withColumn("t1", F.when(F.col("vary1"), "*").otherwise(F.col("s1"))).drop("vary1")
-
-    # level 2: which branches vary there, and which are like their host
-    second = leaves.groupBy("host", "t1", "s2").agg(*sums(), F.max("host_labelled").alias("host_labelled"), F.max("host_blocked").alias("host_blocked"))
-    branches = second.groupBy("host", "t1").agg(F.count(F.when(F.col("s2") != "", 1)).alias("kinds"), F.sum(F.when(F.col("s2") != "", F.col("n"))).alias("kinds_n"), F.sum("labelled").alias("l"), F.sum("blocked").alias("b"), F.max("host_labelled").alias("hl"), F.max("host_blocked").alias("hb"))
-    # |b/l - hb/hl| <= z*sqrt(p(1-p)/l), without division: (b*hl - l*hb)^2 <= z^2 * l * hb * (hl - hb)
-    apart = F.pow(F.col("b").cast("double") * F.col("hl") - F.col("l").cast("double") * F.col("hb"), F.lit(2)) > F.lit(Z2) * F.col("l").cast("double") * F.col("hb") * (F.col("hl") - F.col("hb"))
-    branches = branches.select("host", "t1", F.coalesce((F.col("kinds") >= VARIABLE) & (F.col("kinds_n") < REPEAT * F.col("kinds")), F.lit(False)).alias("vary2"), F.when(apart, F.col("t1")).otherwise("~").alias("m1"))
-    leaves = _with_host(leaves, branches, ["host", "t1"], ["s1", "s2"])
-    # a branch too small to tell by itself follows what its first level does over all hosts
-    over_all = second.groupBy("t1", "s2").agg(F.sum("n").alias("n")).withColumn("n", F.when(F.col("s2") != "", F.col("n"))).groupBy("t1")
-    over_all = over_all.agg(((F.count("n") >= VARIABLE) & (F.sum("n") < REPEAT * F.count("n"))).alias("vary_all"))
-    leaves = _with_host(leaves, over_all, ["t1"], ["host", "s1", "s2"])
-    vary2 = (F.col("vary2") | F.coalesce("vary_all", F.lit(False))) & (F.col("s2") != "")
-    leaves = leaves.withColumn("t2", F.when(vary2, "*").otherwise(F.col("s2"))).drop("vary2", "vary_all", "host_labelled", "host_blocked")
-
-    own = leaves.groupBy("host", "m1", "t2", "deep").agg(F.sum("labelled").alias("own_l"), F.sum("blocked").alias("own_b"))
-    shared = leaves.groupBy("t1", "t2", "deep").agg(F.sum("labelled").alias("tpl_l"), F.sum("blocked").alias("tpl_b"))
+    s1 = F.coalesce(F.get("segs", F.lit(0)), F.lit(""))
+    hosts = leaves.groupBy("host", s1.alias("s")).agg(F.count("*").alias("n")).groupBy("host").agg(varies(F.count("*"), F.sum("n")).alias("vary"))
+    nodes = _with_host(leaves, hosts, ["host"], ["path"]).withColumn("leaf", F.when(F.col("vary"), "*").otherwise(s1)).drop("vary")
+    nodes = nodes.withColumns({"t": F.col("leaf"), "m": F.lit("")})
+
+    # level 2 and each deeper one, of the urls that reach it
+    done = None
+    for level in range(2, max(depth, 2) + 1):
+        nodes = _level(nodes, level)
+        if depth > 2:
+            nodes = C.stored(nodes, f"level{level}")
+        ended = nodes.where(F.size("segs") <= level)
+        done = ended if done is None else done.unionByName(ended)
+        nodes = nodes.where(F.size("segs") > level)
+    done = done.drop("segs")
+
+    own = done.groupBy("host", "m", "leaf").agg(F.sum("labelled").alias("own_l"), F.sum("blocked").alias("own_b"))
+    shared = done.groupBy("t").agg(F.sum("labelled").alias("tpl_l"), F.sum("blocked").alias("tpl_b"))
     total = leaves.agg(F.coalesce(F.sum("labelled"), F.lit(0)).alias("all_l"), F.coalesce(F.sum("blocked"), F.lit(0)).alias("all_b"))
-    nodes = leaves.select("host", "s1", "s2", "deep", "t1", "t2", "m1")
-    nodes = _with_host(nodes, own, ["host", "m1", "t2", "deep"], ["s1", "s2"])
-    nodes = _with_host(nodes, shared, ["t1", "t2", "deep"], ["host", "s1", "s2"]).crossJoin(F.broadcast(total))  # total: one row
+    nodes = _with_host(done.drop("labelled", "blocked"), own, ["host", "m", "leaf"], ["path"])
+    nodes = _with_host(nodes, shared, ["t"], ["host", "path"]).crossJoin(F.broadcast(total))  # total: one row
     p_all = (F.col("all_b") + 1) / (F.col("all_l") + 2)
     p_tpl = (F.col("tpl_b") + PRIOR * p_all) / (F.col("tpl_l") + PRIOR)
     rate = (F.col("own_b") + PRIOR * p_tpl) / (F.col("own_l") + PRIOR)
-    template = F.concat_ws("", F.col("host"), F.lit("/"), "t1", F.when(F.col("t2") != "", F.concat(F.lit("/"), "t2")), F.when(F.col("deep"), "/**"))
-    nodes = nodes.select("host", "s1", "s2", "deep", template.alias("template"), rate.alias("block_rate"))
-    out = rows.join(nodes, ["host", "s1", "s2", "deep"])
+    nodes = nodes.select("host", "path", F.concat("host", F.lit("/"), "t").alias("template"), rate.alias("block_rate"))
+    out = rows.join(nodes, ["host", "path"])
     verdict = F.coalesce(F.col("action"), F.when(F.col("block_rate") > 0.5, "block").otherwise("allow"))
     return out.select(*base.columns, "host", "path", "rule", "template", "block_rate", verdict.alias("verdict"))
 

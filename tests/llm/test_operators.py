@@ -59,6 +59,23 @@ def test_url_filter_odd_urls(spark):
     assert urls.judge(df).count() == len(rows) and urls.judge(df.limit(0)).count() == 0
 
 
+def test_url_filter_tells_deep_branches_apart(spark):
+    rules = [("block", "a.net/2024/05/ads/x"), ("allow", "a.net/2024/05/news/x")]
+    urls_ = [f"h://a.net/2024/05/{kind}/{c}{i}/end" for kind in ("ads", "news") for i in range(40) for c in "xy"]
+    want = {u: ("block" if "/ads/" in u else "allow", f"a.net/2024/05/{u.split('/')[5]}/*/end") for u in urls_}
+    for times in (1, 5):  # the same site, crawled more often
+        df = spark.createDataFrame([(u,) for u in [*urls_, "h://a.net/2024/05"] * times], "url string")
+        got = urls.judge(df, rules).collect()
+        assert len(got) == times * (len(urls_) + 1)
+        assert {r.url: (r.verdict, r.template) for r in got if r.url in want} == want
+
+
+def test_url_filter_counts_a_url_once(spark):
+    rows = [f"h://b{h}.net/{i}/{i * 7}" for h in range(2) for i in range(8)]
+    got = [{(r.url, r.template, r.block_rate) for r in urls.judge(spark.createDataFrame([(u,) for u in rows * n], "url string")).collect()} for n in (1, 4)]
+    assert got[0] == got[1] and {t for _, t, _ in got[0]} == {"b0.net/*/*", "b1.net/*/*"}
+
+
 def test_jaccard(spark):
     docs = X.awkward(spark, [(9100 + i, "one two three four five six seven eight nine ten " * 3 + "tail" * (i % 5), "en", "s", 1) for i in range(150)])
     got = jaccard.join(docs).collect()
