@@ -9,7 +9,8 @@ words has one shingle of them all. Texts are near when the Jaccard similarity of
    average), and sets that share a drawn value go on together. Buckets of up to ``SMALL`` sets are
    compared by brute force on the sketches; larger ones are split again, ``DEPTH`` times at most.
    Sets that still stay together agree on so many drawn values that they are simply joined to one
-   of them. ``runs`` repeats bring the chance to miss a pair at the threshold under 1 - ``recall``.
+   of them. Repeats bring the chance to miss a pair at the threshold under 1 - ``recall``, even if its
+   buckets are split ``DEPTH`` times.
 3. What the paths join are loose groups. Inside each, blocks of sets are compared exactly, which
    counts every link and gives the classes; pairs are counted where they are found, not emitted.
 
@@ -138,7 +139,7 @@ def _labels(near: np.ndarray) -> np.ndarray:
         label = new
 
 
-def runs_for(recall: float, threshold: float = THRESHOLD, depth: int = 3) -> int:
+def runs_for(recall: float, threshold: float = THRESHOLD, depth: int = DEPTH) -> int:
     """Repeats after which a pair at the threshold is missed with chance 1 - recall, if its path
     has to live through ``depth`` levels."""
     live = 1.0

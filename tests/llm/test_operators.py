@@ -87,6 +87,18 @@ def test_jaccard(spark):
     assert ids == sorted({c for i, c, _ in X.near_classes([p for p in X.texts(docs) if p[0] is not None])})
 
 
+@pytest.mark.parametrize("threshold", [0.8, 0.9])
+def test_jaccard_runs_reach_the_recall_at_every_level(threshold):
+    def lives(levels):  # one coordinate is drawn at a node, or two, 1/threshold on average
+        if not levels:
+            return 1.0
+        p, two = threshold * lives(levels - 1), 1 / threshold - 1
+        return (1 - two) * p + two * (1 - (1 - p) ** 2)
+
+    for level in range(1, jaccard.DEPTH + 1):
+        assert (1 - lives(level)) ** jaccard.runs_for(jaccard.RECALL, threshold) <= 1 - jaccard.RECALL
+
+
 def test_exact_near_by_hand():
     a, b = np.arange(10, dtype=np.uint64), np.arange(9, dtype=np.uint64)
     assert jaccard.exact_near([a, b], 0.8).tolist() == [[False, True], [True, False]]
