@@ -195,7 +195,7 @@ def exact_links(members: DataFrame, *, threshold: float) -> DataFrame:
         for chunk in t.column("text").chunks:
             sets += shingles(*C.text_buffer(chunk))
         near = exact_near(sets, threshold)
-        if len(set(block.tolist())) > 1:  # of two blocks, only the pairs between them
+        if t.column("lo")[0] != t.column("hi")[0]:  # of two blocks, only the pairs between them, even if one is empty
             near &= block[:, None] != block[None, :]
         order = np.argsort(np.array(sids, object))
         label = np.empty(len(sids), np.int64)

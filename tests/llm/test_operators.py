@@ -87,6 +87,14 @@ def test_jaccard(spark):
     assert ids == sorted({c for i, c, _ in X.near_classes([p for p in X.texts(docs) if p[0] is not None])})
 
 
+def test_jaccard_counts_links_once_beside_empty_blocks(spark, monkeypatch):
+    # near texts as large as a block: two or three blocks a pair, and often both texts in one of them
+    pairs = [(2 * i + k, f"pair{i} " + " ".join(f"w{i}x{j}" for j in range(80)) + f" end{k}") for i in range(12) for k in range(2)]
+    monkeypatch.setattr(jaccard, "BLOCK_BYTES", min(len(t) for _, t in pairs))
+    got = jaccard.join(spark.createDataFrame(pairs, "doc_id bigint, text string")).collect()
+    same([(r.doc_id, r.class_id, r.n_links) for r in got], X.near_classes(pairs))
+
+
 @pytest.mark.parametrize("threshold", [0.8, 0.9])
 def test_jaccard_runs_reach_the_recall_at_every_level(threshold):
     def lives(levels):  # one coordinate is drawn at a node, or two, 1/threshold on average
