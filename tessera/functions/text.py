@@ -39,12 +39,33 @@ def estimate_tokens(text: Column) -> Column:
     return F.coalesce(F.ceil(cjk * 1.5 + astral * 2.0 + (n - cjk - astral) * 0.25), F.lit(0)).cast("long")
 
 
+def _weight(chars: str) -> int:
+    """Quarter tokens of a fixed text."""
+    cjk, astral = (re.compile(re.sub(r"\\x\{(\w+)\}", lambda m: chr(int(m[1], 16)), p)) for p in (CJK, ASTRAL))
+    return sum(6 if cjk.match(c) else 8 if astral.match(c) else 1 for c in chars)
+
+
+def _fitting(chars: Column, room: int) -> Column:
+    """How many of the first characters together weigh ``room`` quarter tokens at most."""
+
+    def add(held: Column, c: Column) -> Column:
+        used = held["used"] + F.when(c.rlike(CJK), 6).when(c.rlike(ASTRAL), 8).otherwise(1)
+        return F.struct(used.alias("used"), (held["n"] + (used <= room).cast("int")).alias("n"))
+
+    return F.aggregate(chars, F.struct(F.lit(0).alias("used"), F.lit(0).alias("n")), add)["n"]
+
+
 def truncated(text: Column, budget: int, marker: str = "\n…\n") -> Column:
     """Texts over the budget keep three quarters of it from their head and a quarter from their end,
-    in characters of a quarter token."""
-    room = max(0, budget * 4 - len(marker))
-    head = room * 3 // 4
-    return F.when(estimate_tokens(text) <= budget, text).otherwise(F.concat(F.substring(text, 1, head), F.lit(marker), F.right(text, F.lit(room - head))))
+    by the weights of estimate_tokens; a marker that takes all of the budget is left out."""
+    if _weight(marker) >= budget * 4:
+        marker = ""
+    room = max(0, budget * 4 - _weight(marker))
+    head, tail = room * 3 // 4, room - room * 3 // 4
+    # no character weighs less than a quarter token, so no more of them can fit
+    first, last = F.split(F.substring(text, 1, head), ""), F.reverse(F.split(F.right(text, F.lit(tail)), ""))
+    cut = F.concat(F.substring(text, F.lit(1), _fitting(first, head)), F.lit(marker), F.right(text, _fitting(last, tail)))
+    return F.when(text.isNull() | (estimate_tokens(text) <= budget), text).otherwise(cut)
 
 
 def _among(values: Column):
