@@ -79,7 +79,7 @@ def _(t):
     return assembly.pack(candidates(t), query="lang", key="doc_id", score="score", sizes=["a", "o", "f"], budget=4000)
 
 
-@query("h11_tiers", r"SELECT doc_id, substr(regexp_extract(text, '(?m)^\s*(\S.*?)\s*$', 1), 1, 120) AS abstract FROM documents")  # H11, H22
+@query("h11_tiers", r"SELECT doc_id, substr(regexp_extract(text, '(?m)^\s*(\S.*?)\s*$', 1), 1, 120) AS abstract FROM documents")  # H11
 def _(t):
     return t.documents.select("doc_id", assembly.abstract(F.col("text")).alias("abstract"))
 
