@@ -8,7 +8,9 @@ A piece over ``LONG`` bytes takes one row of a linked list with a heap instead,
 the same order: a round of the matrix costs the row's width, which would be quadratic.
 
 Defined results: null and empty texts give no ids and decode to no bytes; pieces never cross
-rows; special tokens are ordinary text; repeated rows get equal ids.
+rows; special tokens are ordinary text; repeated rows get equal ids; a very long text is matched and
+encoded in stretches of ``STRETCH`` pieces, so it takes a few times its own size; columns named like
+a new one are replaced, others stay.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ from __future__ import annotations
 import base64
 import functools
 import heapq
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +31,10 @@ from . import common as C
 
 LONG = 256
 BUCKETS = (2, 3, 4, 6, 8, 12, 16, 24, 32, 64, 128, LONG)
-#: Pieces remembered by a worker; the memory is emptied when it is full.
-REMEMBERED = 300_000
+#: Pieces, and their bytes, remembered by a worker; the memory is emptied when either is full.
+REMEMBERED, REMEMBERED_BYTES = 300_000, 8 << 20
+#: Pieces of a long text that are encoded together.
+STRETCH = 1 << 16
 NONE = np.int32(2**31 - 1)
 NO_IDS = np.zeros(0, np.int32)
 
@@ -41,10 +45,12 @@ class Numbers(dict):
     def __init__(self) -> None:
         super().__init__()
         self.new: list[str] = []
+        self.size = 0
 
     def __missing__(self, piece: str) -> int:
         n = self[piece] = len(self)
         self.new.append(piece)
+        self.size += len(piece)
         return n
 
 
@@ -68,7 +74,7 @@ class Ranks:
         for k, v in self.rank.items():
             self.bytes[v] = k
         self.byte_id = np.array([self.rank[bytes([i])] for i in range(256)], np.int32)
-        self.find = regex.compile(pattern).findall
+        self.pattern = regex.compile(pattern)
         get = self.rank.get
         halves = ((a * size + b, r) for t, r in self.rank.items() for i in range(1, len(t)) if (a := get(t[:i])) is not None and (b := get(t[i:])) is not None)
         pairs = np.fromiter(halves, np.dtype([("k", "i8"), ("rank", "i4")]))
@@ -205,17 +211,35 @@ class Ranks:
         self.counts = np.concatenate([self.counts, counts])
         self.ids = np.concatenate([self.ids, flat])
 
+    def number(self, cut: list[str]) -> np.ndarray:
+        """The numbers of pieces, all of them encoded."""
+        at = np.fromiter(map(self.numbers.__getitem__, cut), np.int64, len(cut))
+        self.learn()
+        return at
+
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, joined, and how many each text has."""
-        if len(self.numbers) > REMEMBERED:
-            self.forget()
-        cut = [self.find(t) for t in texts]
+        self.make_room()
+        cut = [self.pattern.findall(t) for t in texts]
         off = np.cumsum([0, *map(len, cut)])
-        at = np.fromiter(map(self.numbers.__getitem__, chain.from_iterable(cut)), np.int64, int(off[-1]))
-        self.learn()
+        at = self.number(list(chain.from_iterable(cut)))
         counts = self.counts[at]
         return self.ids[stretches(self.starts[at], counts)], np.diff(np.concatenate([[0], np.cumsum(counts)])[off])
 
+    def encode_long(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """The same of one text, some pieces at a time."""
+        found, parts = self.pattern.finditer(text), [NO_IDS]
+        while cut := [m[0] for m in islice(found, STRETCH)]:
+            self.make_room()
+            at = self.number(cut)
+            parts.append(self.ids[stretches(self.starts[at], self.counts[at])])
+        ids = np.concatenate(parts)
+        return ids, np.array([len(ids)])
+
+    def make_room(self) -> None:
+        if len(self.numbers) > REMEMBERED or self.numbers.size > REMEMBERED_BYTES:
+            self.forget()
+
 
 @functools.lru_cache(maxsize=2)
 def ranks(path: str, pattern: str) -> Ranks:
@@ -233,26 +257,25 @@ def token_bytes(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(by_id[i] for i in sorted(by_id)), np.uint8), np.cumsum(lens) - lens, lens
 
 
-def encode(docs: DataFrame, path: str, pattern: str, *, text: str = "text", ids: str = "token_ids", drop: tuple[str, ...] = ()) -> DataFrame:
-    """``docs`` with the ids of each text, less the columns ``drop``. ``path``: a rank file
-    that every executor has."""
+def encode(docs: DataFrame, path: str, pattern: str, *, text: str = "text", ids: str = "token_ids") -> DataFrame:
+    """``docs`` with the ids of each text. ``path``: a rank file that every executor has."""
 
     def make():
         r = ranks(path, pattern)
 
-        def f(b: pa.RecordBatch) -> list[pa.Array]:
-            texts = [t or "" for t in b.column(b.schema.get_field_index(text)).to_pylist()]
+        def f(col: pa.Array) -> list[pa.Array]:
+            texts = [t or "" for t in col.to_pylist()]
             flat, n = [NO_IDS], [np.zeros(0, np.int64)]
             sizes = np.cumsum([0, *map(len, texts)])
             for i, j in C.steps(sizes, 1 << 19):
-                got, counts = r.encode(texts[i:j])
+                got, counts = r.encode(texts[i:j]) if sizes[j] - sizes[i] <= 1 << 19 else r.encode_long(texts[i])
                 flat.append(got)
                 n.append(counts)
             return [C.list_array(pa.array(np.concatenate(flat), pa.int32()), np.concatenate(n))]
 
         return f
 
-    return C.with_arrow(docs, [T.StructField(ids, T.ArrayType(T.IntegerType(), False))], make, 256, drop)
+    return C.with_arrow(docs, text, [T.StructField(ids, T.ArrayType(T.IntegerType(), False))], make)
 
 
 def decode(tokens: DataFrame, path: str, pattern: str, *, ids: str = "token_ids", out: str = "decoded") -> DataFrame:
@@ -261,12 +284,11 @@ def decode(tokens: DataFrame, path: str, pattern: str, *, ids: str = "token_ids"
     def make():
         data, starts, lens = token_bytes(path)
 
-        def f(b: pa.RecordBatch) -> list[pa.Array]:
-            col = b.column(b.schema.get_field_index(ids))
+        def f(col: pa.Array) -> list[pa.Array]:
             off = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(col), 0).to_numpy())])
             flat = col.flatten().to_numpy()
             texts = []
-            for i, j in C.steps(off):
+            for i, j in C.steps(off, 1 << 18):
                 own = flat[off[i] : off[j]]
                 raw = data[stretches(starts[own], lens[own])].tobytes()
                 ends = np.concatenate([[0], np.cumsum(lens[own])])[off[i : j + 1] - off[i]].tolist()
@@ -275,14 +297,14 @@ def decode(tokens: DataFrame, path: str, pattern: str, *, ids: str = "token_ids"
 
         return f
 
-    return C.with_arrow(tokens, [T.StructField(out, T.BinaryType())], make, 256)
+    return C.with_arrow(tokens, ids, [T.StructField(out, T.BinaryType())], make)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers as P
 
     path, pattern = P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN
-    d = encode(C.table(spark, sf_dir, "documents").select("doc_id", "text"), path, pattern, drop=("text",))
+    d = encode(C.table(spark, sf_dir, "documents").select("doc_id", "text"), path, pattern).select("doc_id", "token_ids")
     d = decode(d, path, pattern)
     return d.select(
         "doc_id",

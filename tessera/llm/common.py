@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Bytes of text that one numpy step works on: bounds a worker's memory.
 STEP_BYTES = 1 << 20
+#: Rows and bytes of an Arrow batch.
+BATCH_ROWS, BATCH_BYTES = 512, 4 << 20
 
 U64 = np.uint64
 _MULT = U64(0x9E3779B97F4A7C15)
@@ -24,9 +29,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share: ``spark.checkpoint.dir``, or one of our
-    own where that is unset (tests on one machine)."""
-    return spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file:///tmp/checkpoints"
+    """Folder that driver and executors share: ``spark.checkpoint.dir``. Where that is unset, a folder of
+    our own, if all runs on one machine; else rows would be lost, so it is an error."""
+    conf = spark.sparkContext.getConf()
+    if path := conf.get("spark.checkpoint.dir"):
+        return path
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return "file:///tmp/checkpoints"
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -56,6 +66,18 @@ def text_buffer(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, off - off[0]
 
 
+def cuts(off: np.ndarray, step: int, overlap: int = 0) -> Iterator[tuple[int, int, np.ndarray]]:
+    """Work that fits in a step: (first row, first byte, offsets) of whole rows together, or of stretches
+    of one row that is longer than ``step`` bytes; these reach ``overlap`` bytes into the next one."""
+    for i, j in steps(off, step):
+        lo, hi = int(off[i]), int(off[j])
+        if hi - lo <= step:
+            yield i, lo, off[i : j + 1] - lo
+        else:
+            for at in range(lo, hi, step):
+                yield i, at, np.array([0, min(at + step + overlap, hi) - at])
+
+
 def steps(off: np.ndarray, limit: int = STEP_BYTES) -> Iterator[tuple[int, int]]:
     """Ranges of rows with at most ``limit`` bytes together, or one row."""
     i, n = 0, len(off) - 1
@@ -130,6 +152,18 @@ def words(data: np.ndarray, off: np.ndarray, is_word: np.ndarray) -> tuple[np.nd
     return starts, ends, np.searchsorted(starts, off)
 
 
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash of each data[start:end] (in order, not overlapping), a step of bytes at a time."""
+    out = np.empty(len(starts), U64)
+    i = 0
+    while i < len(starts):
+        j = max(i + 1, int(np.searchsorted(ends, starts[i] + STEP_BYTES, "right")))
+        lo = int(starts[i])
+        out[i:j] = slices(running(BYTE_VALUE[data[lo : int(ends[j - 1])]]), starts[i:j] - lo, ends[i:j] - lo)
+        i = j
+    return out
+
+
 SPACE = np.ones(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = False
 
@@ -146,20 +180,61 @@ def without(df: DataFrame, names: list[str]) -> DataFrame:
     return df.select(*[f"`{c}`" for c in df.columns if c.lower() not in taken])
 
 
-def with_arrow(df: DataFrame, fields: list[T.StructField], make: Callable, batch_rows: int = 512, drop: tuple[str, ...] = ()) -> DataFrame:
-    """Append columns computed from Arrow batches; ``make()`` is called once per task
-    and gives a function from a batch to the new arrays. Input columns that have the
-    name of a new one are replaced; those in ``drop`` are read, but not passed on."""
-    base = without(df, [f.name for f in fields])
-    kept = [i for i, c in enumerate(base.columns) if c not in drop]
-    schema = T.StructType([*(base.schema.fields[i] for i in kept), *fields])
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores before it until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+def tidy() -> None:
+    """Give back memory that this worker has freed: the next stage's workers share the executor."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # where the C library has no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of BATCH_ROWS rows and BATCH_BYTES at most, from now on in this session."""
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{name}"
+        now = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key))
+        if not 0 < now <= most:
+            spark.conf.set(key, str(most))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def map_arrow(df: DataFrame, run: Callable, schema: T.StructType | str) -> DataFrame:
+    """``mapInArrow`` in small batches; the worker's memory is given back at the end of a task."""
+    small_batches(df.sparkSession)
+
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        tidy()
+
+    return df.mapInArrow(tidied, schema)
+
+
+def computed(df: DataFrame, read: str, fields: list[T.StructField], make: Callable) -> Column:
+    """A struct column made from column ``read`` of ``df``: ``make()`` is called once per task and gives
+    a function from an Arrow array to the arrays of the fields. Only ``read`` goes to Python and
+    only the struct comes back; all other columns stay where they are, whatever their names."""
+    small_batches(df.sparkSession)
+
+    def run(arrays: Iterator[pa.Array]) -> Iterator[pa.Array]:
         f = make()
-        for big in batches:
-            for lo in range(0, big.num_rows, batch_rows):
-                b = big.slice(lo, batch_rows)
-                new = f(b)
-                yield pa.RecordBatch.from_arrays([*(b.column(i) for i in kept), *new], names=schema.names)
+        for big in arrays:
+            yield pa.StructArray.from_arrays(f(big), names=[x.name for x in fields])
+        tidy()
+
+    run.__annotations__ = {"arrays": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    # nondeterministic for the planner only: it must not compute the column once for each use
+    return F.arrow_udf(run, T.StructType(fields)).asNondeterministic()(F.col(f"`{read}`"))
+
 
-    return base.mapInArrow(run, schema)
+def with_arrow(df: DataFrame, read: str, fields: list[T.StructField], make: Callable) -> DataFrame:
+    """``df`` with the ``fields`` of ``computed``; input columns that have the name of one are replaced."""
+    held = free_name(df, "computed")
+    base = [c for c in df.columns if c.lower() not in {f.name.lower() for f in fields}]
+    out = df.withColumn(held, computed(df, read, fields, make))
+    return out.select(*[f"`{c}`" for c in base], *[F.col(f"{held}.{f.name}") for f in fields])

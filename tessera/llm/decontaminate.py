@@ -7,8 +7,10 @@ fewer, none if it has none). Hashes find candidate windows; the words themselves
 compared before anything counts as a hit.
 
 Defined results: null or wordless text has no words, no hits and is not contaminated; null
-or wordless items give no window; an empty benchmark hits nothing; repeated rows are judged
-one by one; input columns named like an output column are replaced.
+or wordless items give no window; the windows of an item without an id hit, but there is no id to
+list; an empty benchmark hits nothing; repeated rows are judged one by one. ``scan`` replaces input
+columns named like one of its own; ``drop_contaminated`` and ``cut_hits`` keep all input columns as
+they are. A very long text is hashed in steps and takes about ten times its words' count in bytes.
 """
 
 from __future__ import annotations
@@ -21,7 +23,8 @@ from pyspark.sql import types as T
 
 from . import common as C
 
-#: Broadcast windows per scan. A larger benchmark is scanned in blocks, one after another.
+#: Broadcast windows per scan. A larger benchmark is scanned in blocks, one after another: each block's
+#: hits are written before the next block's windows come to the driver.
 BLOCK_WINDOWS = 200_000
 
 IS_WORD = np.zeros(256, bool)
@@ -30,6 +33,7 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 32
 
 SPAN = "array<struct<start:int,end:int>>"
+HITS = "array<struct<start:int,end:int,from:int,to:int>>"
 
 
 def split_words(text: bytes) -> list[bytes]:
@@ -54,7 +58,7 @@ def item_windows(bench: DataFrame, item: str, text: str, n: int) -> DataFrame:
 
     kind = bench.schema[item].dataType
     schema = T.StructType([T.StructField("window", T.BinaryType()), T.StructField("item", kind)])
-    return bench.select(item, text).mapInArrow(run, schema).where("item IS NOT NULL").distinct()
+    return bench.select(item, text).mapInArrow(run, schema).distinct()
 
 
 class Scanner:
@@ -79,7 +83,7 @@ class Scanner:
 
     @staticmethod
     def hashes(low: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
-        return C.slices(C.running(C.BYTE_VALUE[low]), s, e)
+        return C.word_hashes(low, s, e)
 
     def scan(self, data: np.ndarray, off: np.ndarray):
         """Per row: number of words, hit word ranges as (row, first, last) and items."""
@@ -104,47 +108,66 @@ class Scanner:
         return s, e, wo, found
 
 
-def scan(docs: DataFrame, bench: DataFrame, *, text: str = "text", item: str = "item_id", item_text: str = "text", n: int = 13, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
-    """``docs`` with ``n_words``, ``n_hit``, ``spans`` (byte ranges of the hit words, merged
-    where the words are neighbours), ``hit_words`` (ranges of word numbers) and ``items``."""
+def hits(docs: DataFrame, bench: DataFrame, *, text: str = "text", item: str = "item_id", item_text: str = "text", n: int = 13, block_windows: int = BLOCK_WINDOWS) -> tuple[DataFrame, str]:
+    """``docs`` and the name of one more column there: a struct of ``n_words``, ``hits`` (ranges of
+    hit words and their bytes, merged where the words are neighbours) and ``items``."""
     spark = docs.sparkSession
     kind = bench.schema[item].dataType
     grams = C.stored(item_windows(bench, item, item_text, n), "grams")
     blocks = -(-max(1, grams.count()) // block_windows)
-    fields = [
-        T.StructField("n_words", T.LongType()),
-        T.StructField("n_hit", T.LongType()),
-        T.StructField("hit_words", T._parse_datatype_string(SPAN)),
-        T.StructField("spans", T._parse_datatype_string(SPAN)),
-        T.StructField("items", T.ArrayType(kind)),
-    ]
-    out = docs
+    fields = [T.StructField("n_words", T.LongType()), T.StructField("hits", T._parse_datatype_string(HITS)), T.StructField("items", T.ArrayType(kind))]
+    out, names = docs, []
     for k in range(blocks):
         rows = [tuple(r) for r in grams.where(F.pmod(F.xxhash64("window"), F.lit(blocks)) == k).collect()]  # at most about block_windows
         held = spark.sparkContext.broadcast(rows)
-        first = k == 0
 
-        def make(held=held, first=first):
+        def make(held=held):
             s = Scanner(held.value)
-            return lambda b: _columns(s, b, text, None if first else ("hit_words", "items"), kind)
+            return lambda col: _columns(s, col, kind)
+
+        names.append(C.free_name(out, f"block{k}"))
+        out = out.withColumn(names[-1], C.computed(out, text, fields, make))
+        if blocks > 1:
+            out = C.stored(out, "block")
+            held.unpersist()
+    if blocks == 1:
+        return out, names[0]
+    every = F.array_sort(F.flatten(F.array(*[F.col(f"{c}.hits") for c in names])))
+
+    def join(done, h):
+        last = F.element_at(done, -1)
+        longer = F.struct(last["start"].alias("start"), F.greatest(last["end"], h["end"]).alias("end"), last["from"].alias("from"), F.greatest(last["to"], h["to"]).alias("to"))
+        touches = (F.size(done) > 0) & (h["start"] <= F.get(done, F.size(done) - 1)["end"])
+        return F.when(touches, F.concat(F.slice(done, 1, F.size(done) - 1), F.array(longer))).otherwise(F.concat(done, F.array(h)))
+
+    merged = F.aggregate(every, F.array().cast(HITS), join)
+    items = F.array_sort(F.array_distinct(F.flatten(F.array(*[F.col(f"{c}.items") for c in names]))))
+    name = C.free_name(out, "found")
+    return out.withColumn(name, F.struct(F.col(f"{names[0]}.n_words").alias("n_words"), merged.alias("hits"), items.alias("items"))).drop(*names), name
+
 
-        if not first:  # the earlier blocks' hits travel along and are merged in
-            out = out.withColumnsRenamed({"hit_words": "__hit", "items": "__items"})
+def _n_hit(found: str) -> Column:
+    return F.aggregate(f"{found}.hits", F.lit(0).cast("long"), lambda a, h: a + h["end"] - h["start"])
 
-            def make(held=held):  # noqa: F811
-                s = Scanner(held.value)
-                return lambda b: _columns(s, b, text, ("__hit", "__items"), kind)
 
-        out = C.with_arrow(out, fields, make)
-        if not first:
-            out = out.drop("__hit", "__items")
-    return out
+def scan(docs: DataFrame, bench: DataFrame, **options) -> DataFrame:
+    """``docs`` with ``n_words``, ``n_hit``, ``spans`` (byte ranges of the hit words, merged
+    where the words are neighbours), ``hit_words`` (ranges of word numbers) and ``items``."""
+    out, found = hits(docs, bench, **options)
+    own = {
+        "n_words": F.col(f"{found}.n_words"), "n_hit": _n_hit(found),
+        "hit_words": F.transform(f"{found}.hits", lambda h: F.struct(h["start"].alias("start"), h["end"].alias("end"))),
+        "spans": F.transform(f"{found}.hits", lambda h: F.struct(h["from"].alias("start"), h["to"].alias("end"))),
+        "items": F.col(f"{found}.items"),
+    }
+    return out.select(*[f"`{c}`" for c in docs.columns if c.lower() not in own], *[v.alias(k) for k, v in own.items()])
+
 
+def _columns(scanner: Scanner, col: pa.Array, kind: T.DataType) -> list[pa.Array]:
+    from pyspark.sql.pandas.types import to_arrow_type
 
-def _columns(scanner: Scanner, b: pa.RecordBatch, text: str, earlier, kind) -> list[pa.Array]:
-    data, off = C.text_buffer(b.column(b.schema.get_field_index(text)))
-    n_words, n_hit, hit, spans, items = [], [], [], [], []
-    before = [(h or [], i or []) for h, i in zip(*(b.column(b.schema.get_field_index(c)).to_pylist() for c in earlier), strict=True)] if earlier else None
+    data, off = C.text_buffer(col)
+    n_words, hit, items = [], [], []
     for i, j in C.steps(off):
         s, e, wo, found = scanner.scan(data[off[i] : off[j]], off[i : j + 1] - off[i])
         n_words += np.diff(wo).tolist()
@@ -153,46 +176,41 @@ def _columns(scanner: Scanner, b: pa.RecordBatch, text: str, earlier, kind) -> l
             by_row.setdefault(row, []).append((lo - int(wo[row]), hi - int(wo[row]), ids))
         for row in range(j - i):
             got = by_row.get(row, [])
-            ranges, ids = [(lo, hi) for lo, hi, _ in got], {x for *_, xs in got for x in xs}
-            if before:
-                ranges += [(x["start"], x["end"]) for x in before[i + row][0]]
-                ids |= set(before[i + row][1])
             merged: list[list[int]] = []
-            for lo, hi in sorted(ranges):
+            for lo, hi, _ in sorted(got, key=lambda x: x[:2]):
                 if merged and lo <= merged[-1][1]:
                     merged[-1][1] = max(hi, merged[-1][1])
                 else:
                     merged.append([lo, hi])
             w0, b0 = int(wo[row]), int(off[i + row] - off[i])
-            n_hit.append(sum(hi - lo for lo, hi in merged))
-            hit.append([{"start": lo, "end": hi} for lo, hi in merged])
-            spans.append([{"start": int(s[w0 + lo]) - b0, "end": int(e[w0 + hi - 1]) - b0} for lo, hi in merged])
-            items.append(sorted(ids))
-    span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    return [pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(hit, span), pa.array(spans, span), pa.array(items, pa.list_(to_arrow_type(kind)))]
+            hit.append([{"start": lo, "end": hi, "from": int(s[w0 + lo]) - b0, "to": int(e[w0 + hi - 1]) - b0} for lo, hi in merged])
+            items.append(sorted({x for *_, ids in got for x in ids if x is not None}))
+    span = pa.list_(pa.struct([(c, pa.int32()) for c in ("start", "end", "from", "to")]))
+    return [pa.array(n_words, pa.int64()), pa.array(hit, span), pa.array(items, pa.list_(to_arrow_type(kind)))]
 
 
-def contaminated() -> Column:
+def contaminated(n_hit: Column, n_words: Column) -> Column:
     """Hit words are at least a twentieth of all words."""
-    return (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))
+    return (n_hit > 0) & (20 * n_hit >= n_words)
 
 
 def drop_contaminated(docs: DataFrame, bench: DataFrame, **options) -> DataFrame:
     """The documents that are not contaminated, with their own columns."""
-    return scan(docs, bench, **options).where(~contaminated()).select(*docs.columns)
+    out, found = hits(docs, bench, **options)
+    return out.where(~contaminated(_n_hit(found), F.col(f"{found}.n_words"))).drop(found)
 
 
 def cut_hits(docs: DataFrame, bench: DataFrame, *, text: str = "text", **options) -> DataFrame:
     """All documents, with the hit spans cut out of their texts."""
-    found = scan(docs, bench, text=text, **options)
-    cut = "aggregate(spans, struct(cast(0 as int) as at, cast(x'' as binary) as kept), (a, s) -> struct(s.end as at, cast(concat(a.kept, substring(raw, a.at + 1, s.start - a.at)) as binary) as kept), a -> concat(a.kept, substring(raw, a.at + 1)))"
-    new = F.when(F.size("spans") > 0, F.expr(f"decode({cut}, 'UTF-8')")).otherwise(F.col(text))
-    return found.withColumn("raw", F.col(text).cast("binary")).withColumn(text, new).select(*docs.columns)
+    out, found = hits(docs, bench, text=text, **options)
+    raw, spans = F.col(f"`{text}`").cast("binary"), F.col(f"{found}.hits")
+    start = F.struct(F.lit(0).alias("at"), F.lit(b"").alias("kept"))
+    step = lambda a, h: F.struct(h["to"].alias("at"), F.concat(a["kept"], F.substring(raw, a["at"] + 1, h["from"] - a["at"])).alias("kept"))
+    cut = F.aggregate(spans, start, step, lambda a: F.concat(a["kept"], F.substring(raw, a["at"] + 1, F.octet_length(raw))))
+    return out.withColumn(text, F.when(F.size(spans) > 0, F.decode(cut, "UTF-8")).otherwise(F.col(f"`{text}`"))).drop(found)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     d = scan(C.table(spark, sf_dir, "documents").select("doc_id", "text"), C.table(spark, sf_dir, "benchmark"))
     ids = F.array_sort(F.transform("items", lambda x: x.cast("string")))
-    return d.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", ids), 256).alias("items_sha256"), contaminated().alias("contaminated"))
+    return d.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", ids), 256).alias("items_sha256"), contaminated(F.col("n_hit"), F.col("n_words")).alias("contaminated"))

@@ -1,14 +1,22 @@
-"""FLAC columns: 8-bit mono streams made from bytes, decoded block by block with checks.
+"""FLAC columns: 8-bit mono streams made from bytes; any FLAC stream decoded block by block with checks.
 
 The encoder cuts a payload into blocks of 1,024 samples (byte - 128), takes for each block the
 cheapest of the fixed predictors of order 0 and 1 and a fitted linear predictor of order 2, and
 writes its residual in Rice codes, a constant or plain samples where that is shorter, with a seek
-table of every block. The decoder follows the frames, verifies the CRC-8 of the headers, the
-CRC-16 of the frames and the MD5 of the samples, and advances all blocks of a batch one sample
-a step, so each step is a few numpy operations over thousands of blocks.
+table of every block.
+
+The decoder takes streams of any encoder: 4 to 24 bits, 1 to 8 channels, left/side, side/right and
+mid/side stereo, fixed predictors up to order 4 and linear ones up to order 32, both Rice methods
+with escapes, wasted bits, fixed and variable block sizes. It finds frames by their headers, with or
+without a seek table, verifies the CRC-8 of the headers, the CRC-16 of the frames and the MD5 of the
+samples, and advances ``CHUNK`` blocks together one sample a step, so each step is a few numpy
+operations over hundreds of blocks. The query writes the streams as a table in the shared folder,
+reads that, and decodes what it read; ``blocks`` gives the PCM blocks, ``samples_at`` seeks.
 
 Defined results: null is an empty payload; an empty stream has no blocks and decodes to no bytes;
-a damaged stream raises ``ValueError`` naming what failed; equal payloads give equal streams.
+a damaged stream raises ``ValueError`` naming what failed; equal payloads give equal streams; a very
+long payload is coded ``CHUNK`` blocks at a time, so it takes a few times its own size; columns
+named like a new one (``media``, ``payload``, ...) are replaced, others stay.
 """
 
 from __future__ import annotations
@@ -27,8 +35,8 @@ BLOCK = 1024
 RATE = 8000
 #: Bits of a linear predictor's coefficients, and by how much they are shifted.
 PRECISION, SHIFT = 8, 6
-#: Payload bytes that one batch of blocks holds.
-BATCH_BYTES = 1 << 20
+#: Payload bytes that are handled together, and blocks that are coded in step.
+BATCH_BYTES, CHUNK = 1 << 20, 512
 
 
 def _crc_table(poly: int, bits: int) -> np.ndarray:
@@ -102,14 +110,29 @@ def encode_many(payloads: list[bytes]) -> list[bytes]:
     sizes = np.fromiter(map(len, payloads), np.int64, len(payloads))
     blocks = -(-sizes // BLOCK)
     n = int(blocks.sum())
-    if not n:
-        return [_stream(p, [], []) for p in payloads]
     owner = np.repeat(np.arange(len(payloads)), blocks)
     number = np.arange(n) - np.repeat(np.cumsum(blocks) - blocks, blocks)
     size = np.minimum(sizes[owner] - number * BLOCK, BLOCK)
+    at = np.concatenate([[0], np.cumsum(size)])
+    joined = np.frombuffer(b"".join(payloads), np.uint8)
+    parts, frames = [], []
+    for i in range(0, n, CHUNK):
+        j = min(i + CHUNK, n)
+        raw, lengths = _encode_blocks(joined[at[i] : at[j]], number[i:j], size[i:j])
+        parts.append(raw)
+        frames += lengths.tolist()
+    raw = b"".join(parts)
+    start = np.cumsum([0, *frames]).tolist()
+    first = np.concatenate([[0], np.cumsum(blocks)]).tolist()
+    return [_stream(p, frames[a:b], size[a:b].tolist(), raw[start[a] : start[b]]) for p, a, b in zip(payloads, first, first[1:], strict=False)]
+
+
+def _encode_blocks(data: np.ndarray, number: np.ndarray, size: np.ndarray) -> tuple[bytes, np.ndarray]:
+    """The frames of blocks that lie one after another in ``data``, joined, and their lengths."""
+    n = len(size)
     inside = np.arange(BLOCK) < size[:, None]
     s = np.zeros((n, BLOCK), np.int32)
-    s[inside] = np.frombuffer(b"".join(payloads), np.uint8)
+    s[inside] = data
     s[inside] -= 128
 
     # residuals of the three predictors, and what they cost about
@@ -186,10 +209,7 @@ def encode_many(payloads: list[bytes]) -> list[bytes]:
     end = start + frame - 2
     crc = crc16(out, start, end)
     out[end], out[end + 1] = crc >> 8, crc & 255
-    raw = out.tobytes()
-    first_block = np.concatenate([[0], np.cumsum(blocks)]).tolist()
-    start, frame = [*start.tolist(), len(raw)], frame.tolist()
-    return [_stream(p, frame[a:b], size[a:b].tolist(), raw[start[a] : start[b]]) for p, a, b in zip(payloads, first_block, first_block[1:], strict=False)]
+    return out.tobytes(), frame
 
 
 def _stream(payload: bytes, frames: list[int], sizes: list[int], body: bytes = b"") -> bytes:
@@ -204,152 +224,321 @@ def _stream(payload: bytes, frames: list[int], sizes: list[int], body: bytes = b
     return b"fLaC" + b"\x00" + len(info).to_bytes(3, "big") + info + b"\x83" + len(seek).to_bytes(3, "big") + seek + body
 
 
-def _frames(stream: bytes) -> tuple[list[tuple[int, int, int, int]], bytes, int]:
-    """(first sample, samples, start, end of the header) of each frame, MD5 and length."""
+def _metadata(stream: bytes) -> tuple[dict, int]:
+    """STREAMINFO, the seek points, and where the frames start."""
     if stream[:4] != b"fLaC":
         raise ValueError("not a FLAC stream")
-    at, last, md5, total, seek = 4, False, b"", 0, None
+    at, last, got = 4, False, {"seek": []}
     while not last:
         kind, n = stream[at], int.from_bytes(stream[at + 1 : at + 4], "big")
         block, last, at = stream[at + 4 : at + 4 + n], kind >> 7, at + 4 + n
         if kind & 127 == 0:
-            md5, total = block[18:], int.from_bytes(block[10:18], "big") & ((1 << 36) - 1)
+            x = int.from_bytes(block[10:18], "big")
+            got |= {"block": int.from_bytes(block[:2], "big"), "channels": (x >> 41 & 7) + 1, "bits": (x >> 36 & 31) + 1, "total": x & ((1 << 36) - 1), "md5": block[18:34]}
         elif kind & 127 == 3:
-            seek = np.frombuffer(block, [("sample", ">u8"), ("offset", ">u8"), ("n", ">u2")])
+            points = np.frombuffer(block, [("sample", ">u8"), ("offset", ">u8"), ("n", ">u2")])
+            got["seek"] = [x for x in points.tolist() if x[0] != 2**64 - 1]
+    if "bits" not in got:
+        raise ValueError("no STREAMINFO")
+    return got, at
+
+
+def _read_header(s: bytes, h: int, info: dict) -> tuple[int, int, int, int, int] | None:
+    """(first sample, samples, channel assignment, bits, end of the header) of a frame that starts at
+    ``h``; None if none does."""
+    if len(s) < h + 6 or s[h] != 0xFF or s[h + 1] & 0xFE != 0xF8:
+        return None
+    size, rate, channels, bits = s[h + 2] >> 4, s[h + 2] & 15, s[h + 3] >> 4, s[h + 3] >> 1 & 7
+    ones = 8 - (s[h + 4] ^ 0xFF).bit_length()
+    if not size or rate == 15 or channels > 10 or bits == 3 or s[h + 3] & 1 or ones in (1, 8):
+        return None
+    e = h + 4 + max(1, ones)
+    number = s[h + 4] & (0x7F >> ones)
+    for x in s[h + 5 : e]:
+        number = number << 6 | x & 63
+    if size in (6, 7):
+        n, e = int.from_bytes(s[e : e + size - 5], "big") + 1, e + size - 5
+    else:
+        n = 192 if size == 1 else 576 << (size - 2) if size < 6 else 256 << (size - 8)
+    e += {12: 1, 13: 2, 14: 2}.get(rate, 0)
+    if e >= len(s) or crc8(s[h:e]) != s[e]:
+        return None
+    # Sample sizes by their code
+    width = (info["bits"], 8, 12, 0, 16, 20, 24, 32)[bits]
+    return (number if s[h + 1] & 1 else number * info["block"]), n, channels, width, e + 1
+
+
+def _frames(stream: bytes, checked: bool = False) -> tuple[list[tuple[int, ...]], dict]:
+    """(first sample, samples, channel assignment, bits, start, end of the header, end) of each frame.
+    A frame ends where the header of the next one is; ``checked``: and where its CRC-16 holds."""
+    info, at = _metadata(stream)
+    body = np.frombuffer(stream, np.uint8, offset=at)
+    places = (at + np.flatnonzero((body[:-1] == 0xFF) & (body[1:] & 0xFE == 0xF8))).tolist() if len(body) > 1 else []
+    out: list[tuple[int, ...]] = []
+    start, head = at, _read_header(stream, at, info)
+    if head is None and at < len(stream):
+        raise ValueError("no frame, or CRC-8 of its header, at sample 0")
+    for h in places:
+        if head is None or h < start + 8 or (got := _read_header(stream, h, info)) is None or got[0] != head[0] + head[1]:
+            continue
+        if checked and int(crc16(np.frombuffer(stream, np.uint8), np.array([start]), np.array([h - 2]))[0]) != int.from_bytes(stream[h - 2 : h], "big"):
+            continue
+        out.append((*head[:4], start, head[4], h))
+        start, head = h, got
+    if head is not None:
+        out.append((*head[:4], start, head[4], len(stream)))
+    return out, info
+
+
+def _crc_fails(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    return (raw[end - 2].astype(np.int64) << 8 | raw[end - 1]) != crc16(raw, start, end - 2)
+
+
+def decode_pcm(streams: list[bytes]) -> list[tuple[np.ndarray, dict, list[tuple[int, int]]]]:
+    """Of each stream: the samples (a row for each, a column for each channel), its STREAMINFO, and its
+    blocks as (first sample, byte offset)."""
+    parsed = []
+    for s in streams:
+        frames, info = _frames(s)
+        at = np.array([f[4:] for f in frames], np.int64).reshape(-1, 3)
+        raw = np.frombuffer(s, np.uint8)
+        if len(at) and ((at[:, 2] - at[:, 1] < 3).any() or _crc_fails(raw, at[:, 0], at[:, 2]).any()):
+            frames, info = _frames(s, True)  # what looked like a header may have been data
+            at = np.array([f[4:] for f in frames], np.int64).reshape(-1, 3)
+            if _crc_fails(raw, at[:, 0], at[:, 2]).any():
+                raise ValueError("CRC-16 of a frame, or CRC-8 of the next header")
+        parsed.append((frames, info))
+    owner = [(i, f) for i, (frames, _) in enumerate(parsed) for f in frames]
+    pieces: list[list[np.ndarray]] = [[] for _ in streams]
+    for lo in range(0, len(owner), CHUNK):
+        some = owner[lo : lo + CHUNK]
+        data, shift = [], []
+        used = 0
+        for i, f in some:
+            data.append(streams[i][f[4] : f[6]])
+            shift.append(used - f[4])
+            used += f[6] - f[4]
+        f = np.array([f for _, f in some], np.int64)
+        samples = _decode_blocks(b"".join(data), f[:, 1], f[:, 2], f[:, 3], f[:, 5] + np.array(shift))
+        for (i, x), own in zip(some, samples, strict=True):
+            channels = x[2] + 1 if x[2] < 8 else 2
+            pieces[i].append(own[: x[1], :channels])
     out = []
-    for sample, offset, n in (seek.tolist() if seek is not None else ()):
-        h = at + offset
-        if stream[h : h + 2] != b"\xff\xf8":
-            raise ValueError(f"no frame at sample {sample}")
-        ones = 8 - (stream[h + 4] ^ 0xFF).bit_length()  # of the frame number's first byte
-        e = h + 4 + max(1, ones)
-        e += {6: 1, 7: 2}.get(stream[h + 2] >> 4, 0)
-        if crc8(stream[h:e]) != stream[e]:
-            raise ValueError(f"CRC-8 of the header at sample {sample}")
-        out.append((sample, n, h, e + 1))
-    return out, md5, total
+    for own, (frames, info) in zip(pieces, parsed, strict=True):
+        pcm = np.concatenate(own) if own else np.zeros((0, info["channels"]), np.int32)
+        if any(info["md5"]) and hashlib.md5(pcm_bytes(pcm, info["bits"])).digest() != info["md5"]:
+            raise ValueError("MD5 of the samples")
+        if info["total"] and info["total"] != len(pcm):
+            raise ValueError("number of samples")
+        out.append((pcm, info, [(f[0], f[4]) for f in frames]))
+    return out
 
 
-def decode_many(streams: list[bytes]) -> tuple[list[bytes], list[list[tuple[int, int]]]]:
-    """The payload of each stream, and its blocks as (first sample, byte offset)."""
-    parsed = [_frames(s) for s in streams]
-    base = np.concatenate([[0], np.cumsum([len(s) for s in streams])]).tolist()
-    size, start, body, end = [], [], [], []
-    for (frames, _, _), b, s in zip(parsed, base, streams, strict=False):
-        size += [n for _, n, _, _ in frames]
-        start += [b + h for *_, h, _ in frames]
-        body += [b + e for *_, e in frames]
-        end += [b + h for *_, h, _ in frames[1:]] + [b + len(s)] * bool(frames)
-    where = [[(sample, h) for sample, _, h, _ in frames] for frames, _, _ in parsed]
-    raw = np.frombuffer(b"".join([*streams, bytes(16)]), np.uint8)
-    pcm = _decode_blocks(raw, *(np.array(x, np.int64) for x in (size, start, body, end))) if size else np.zeros(0, np.uint8)
-    out, at = [], 0
-    for _, md5, total in parsed:
-        signed = pcm[at : at + total]
-        at += total
-        if hashlib.md5(signed.tobytes()).digest() != md5:
-            raise ValueError("MD5 of the samples")
-        out.append((signed + np.uint8(128)).tobytes())
-    return out, where
+def pcm_bytes(pcm: np.ndarray, bits: int) -> bytes:
+    """Interleaved signed samples, little end first, in whole bytes."""
+    width = -(-bits // 8)
+    return np.ascontiguousarray(pcm, "<i4").view(np.uint8).reshape(-1, 4)[:, :width].tobytes()
 
 
-def _decode_blocks(raw: np.ndarray, size: np.ndarray, start: np.ndarray, body: np.ndarray, end: np.ndarray) -> np.ndarray:
-    crc = crc16(raw, start, end - 2)
-    if ((raw[end - 2].astype(np.int64) << 8 | raw[end - 1]) != crc).any():
+def decode_many(streams: list[bytes]) -> tuple[list[bytes], list[list[tuple[int, int]]]]:
+    """The payload of each of this encoder's streams, and its blocks as (first sample, byte offset)."""
+    got = decode_pcm(streams)
+    return [((pcm[:, 0] + 128).astype(np.uint8)).tobytes() for pcm, _, _ in got], [where for _, _, where in got]
+
+
+def samples_at(stream: bytes, first: int, count: int) -> np.ndarray:
+    """Samples ``first`` to ``first + count``, decoding only the blocks that hold them: the seek table
+    names these, or without one the frames' headers."""
+    info, at = _metadata(stream)
+    points = [(sample, at + offset) for sample, offset, _ in info["seek"]] or [(f[0], f[4]) for f in _frames(stream)[0]]
+    ends = [*(p for _, p in points[1:]), len(stream)]
+    after = [*(x for x, _ in points[1:]), 2**63]
+    need = [(h, e) for (sample, h), e, nxt in zip(points, ends, after, strict=True) if sample < first + count and nxt > first]
+    heads = [_read_header(stream, h, info) for h, _ in need]
+    if not need or None in heads:
+        return np.zeros((0, info["channels"]), np.int64)
+    data = stream[need[0][0] : need[-1][1]]
+    raw, lo = np.frombuffer(data, np.uint8), need[0][0]
+    if _crc_fails(raw, np.array([h - lo for h, _ in need]), np.array([e - lo for _, e in need])).any():
         raise ValueError("CRC-16 of a frame")
+    f = np.array(heads, np.int64)
+    pcm = _decode_blocks(data, f[:, 1], f[:, 2], f[:, 3], f[:, 4] - lo)
+    pcm = np.concatenate([x[: h[1], : info["channels"]] for x, h in zip(pcm, heads, strict=True)])
+    skip = first - heads[0][0]
+    return pcm[skip : skip + count]
+
+
+class _Bits:
+    """Bits at any places of some bytes."""
+
+    def __init__(self, data: bytes) -> None:
+        self.raw = np.frombuffer(data + bytes(16), np.uint8)
+        self.words = np.zeros(len(self.raw) - 8, np.uint64)  # the 8 bytes from each byte on
+        for j in range(8):
+            self.words |= self.raw[j : j + len(self.words)].astype(np.uint64) << np.uint64(56 - 8 * j)
+
+    def window(self, pos: np.ndarray) -> np.ndarray:
+        return self.words[np.minimum(pos >> 3, len(self.words) - 1)] << (pos & 7).astype(np.uint64)
+
+    def read(self, pos: np.ndarray, k) -> np.ndarray:
+        """k bits (an int or array, under 50) at each place."""
+        return ((self.window(pos) >> np.uint64(1)) >> (np.uint64(63) - np.asarray(k, np.uint64))).astype(np.int64)
+
+    def signed(self, pos: np.ndarray, k) -> np.ndarray:
+        x, k = self.read(pos, k), np.asarray(k)
+        return np.where((k > 0) & (x >> np.maximum(k - 1, 0) & 1 == 1), x - (1 << k), x)
+
+    def zeros(self, pos: np.ndarray, x: np.ndarray | None = None) -> np.ndarray:
+        """How many 0 bits there are before the next 1."""
+        x = self.window(pos) if x is None else x
+        top = (x >> np.uint64(32)).astype(np.float64)
+        q = 32 - np.frexp(top)[1].astype(np.int64)
+        if not top.all():  # over 31: count on, a bit at a time
+            for r in np.flatnonzero(top == 0).tolist():
+                c = int(pos[r])
+                while not self.raw[c >> 3] >> (7 - (c & 7)) & 1:
+                    c += 1  # an IndexError at the end of damaged data
+                q[r] = c - int(pos[r])
+        return q
+
+
+def _decode_blocks(data: bytes, size: np.ndarray, assigned: np.ndarray, bits: np.ndarray, body: np.ndarray) -> np.ndarray:
+    """(block, sample, channel) of frames whose subframes start at byte ``body``."""
+    source, pos = _Bits(data), body * 8
+    channels = np.where(assigned < 8, assigned + 1, 2)
+    out = np.zeros((len(size), int(size.max()), int(channels.max())), np.int64)
+    for c in range(out.shape[2]):
+        on = np.flatnonzero(channels > c)
+        side = ((assigned[on] == 9) & (c == 0)) | ((assigned[on] == 8) & (c == 1)) | ((assigned[on] == 10) & (c == 1))
+        got, pos[on] = _subframes(source, pos[on], bits[on] + side, size[on])
+        out[on, : got.shape[0], c] = got.T
+    for kind in np.unique(assigned[assigned >= 8]).tolist():
+        on = np.flatnonzero(assigned == kind)
+        a, b = out[on, :, 0], out[on, :, 1]
+        if kind == 8:
+            b = a - b
+        elif kind == 9:
+            a = a + b
+        else:
+            mid = a << 1 | b & 1
+            a, b = mid + b >> 1, mid - b >> 1
+        out[on, :, 0], out[on, :, 1] = a, b
+    return out
+
+
+def _subframes(source: _Bits, pos: np.ndarray, bits: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One channel of each block, as (sample, block), and where its subframes end."""
     n, width = len(size), int(size.max())
-    words = np.zeros(len(raw) - 8, np.uint64)  # the 8 bytes from each byte on
-    for j in range(8):
-        words |= raw[j : j + len(words)].astype(np.uint64) << np.uint64(56 - 8 * j)
-
-    def read(pos, k):
-        """k bits (an int or array, under 50) at each bit position."""
-        x = words[pos >> 3] << (pos & 7).astype(np.uint64)
-        k = np.asarray(k, np.uint64)
-        return ((x >> np.uint64(1)) >> (np.uint64(63) - k)).astype(np.int64)
-
-    def signed(x, k):
-        return np.where(x >> (k - 1) & 1, x - (1 << k), x)
-
-    pos = body * 8
-    kind = read(pos, 8) >> 1
-    pos += 8
-    s = np.zeros((width + 2, n), np.int32)  # a row for each sample; two empty rows before the first
-    constant, plain = kind == 0, kind == 1
-    lpc = kind >> 5 == 1
-    order = np.where(lpc, (kind & 31) + 1, np.where((kind >> 3) == 1, kind & 7, 0))
-    if ((order > 2) | (~lpc & ~constant & ~plain & (kind >> 3 != 1))).any():
-        raise ValueError("a kind of subframe that this encoder never writes")
+    pos = pos.copy()
+    head = source.read(pos, 8)
+    kind, pos = head >> 1, pos + 8
+    wasted = np.zeros(n, np.int64)
+    on = np.flatnonzero(head & 1)
+    if len(on):
+        wasted[on] = source.zeros(pos[on]) + 1
+        pos[on] += wasted[on]
+    bits = bits - wasted
+    constant, plain, lpc, fixed = kind == 0, kind == 1, (kind >= 32) & (kind < 64), (kind >= 8) & (kind <= 12)
+    if not (constant | plain | lpc | fixed).all():
+        raise ValueError("a reserved kind of subframe")
+    order = np.where(lpc, kind - 31, np.where(fixed, kind - 8, 0))
+    if (order > size).any():
+        raise ValueError("a predictor longer than its block")
+    most = int(order.max())
+    s = np.zeros((width + most, n), np.int64)  # a row for each sample; ``most`` empty rows before the first
     live = np.flatnonzero(constant)
     if len(live):
-        s[2:, live] = signed(read(pos[live], 8), 8)
+        s[most:, live] = source.signed(pos[live], bits[live])
+        pos[live] += bits[live]
     live = np.flatnonzero(plain)
     for i in range(int(size[live].max()) if len(live) else 0):
         on = live[size[live] > i]
-        s[2 + i, on] = signed(read(pos[on] + 8 * i, 8), 8)
-    for j in range(2):
+        s[most + i, on] = source.signed(pos[on], bits[on])
+        pos[on] += bits[on]
+    for j in range(most):
         on = np.flatnonzero(order > j)
-        s[2 + j, on] = signed(read(pos[on], 8), 8)
-        pos[on] += 8
-    c1, c2, shift = np.zeros(n, np.int32), np.zeros(n, np.int32), np.zeros(n, np.int32)
-    c1[~lpc & (order >= 1)] = 1
-    on = np.flatnonzero(~lpc & (order == 2))
-    c1[on], c2[on] = 2, -1
+        s[most + j, on] = source.signed(pos[on], bits[on])
+        pos[on] += bits[on]
+    coef, shift = np.zeros((n, most), np.int64), np.zeros(n, np.int64)
+    # The fixed predictors
+    for k, row in enumerate(([], [1], [2, -1], [3, -3, 1], [4, -6, 4, -1])):
+        coef[np.flatnonzero(fixed & (order == k))[:, None], np.arange(k)[None, :]] = row
     on = np.flatnonzero(lpc)
     if len(on):
-        precision = read(pos[on], 4) + 1
-        shift[on] = read(pos[on] + 4, 5)
-        x = [signed(read(pos[on] + 9 + precision * j, precision), precision) for j in range(2)]
-        c1[on] = x[0]
-        two = order[on] == 2
-        c2[on[two]] = x[1][two]
-        pos[on] += 9 + precision * order[on]
-    # blocks in falling order of size, so those still running are always the first ones
+        precision = source.read(pos[on], 4) + 1
+        shift[on] = source.signed(pos[on] + 4, 5)
+        if (precision > 15).any() or (shift < 0).any():
+            raise ValueError("a reserved form of linear predictor")
+        pos[on] += 9
+        for j in range(most):
+            more = order[on] > j
+            coef[on[more], j] = source.signed(pos[on[more]], precision[more])
+            pos[on[more]] += precision[more]
     on = np.flatnonzero(~constant & ~plain)
-    on = on[np.argsort(-size[on], kind="stable")]
     if len(on):
-        parts = np.left_shift(1, read(pos[on] + 2, 4))
-        p, o, m = pos[on] + 6, order[on], size[on]
-        per = m // parts
-        k = read(p, 4)
-        p = p + 4
-        a, b, sh = c1[on], c2[on], shift[on]
-        t = np.ascontiguousarray(s[:, on])
-        running = np.searchsorted(-m, -np.arange(width), "left")  # blocks of over i samples
-        several = np.unique(per[parts > 1]).tolist()
-        latest = int(o.max())
-        for i in range(width):
-            f = int(running[i])
-            if any(i and i % u == 0 for u in several):
-                new = np.flatnonzero((parts[:f] > 1) & (i % per[:f] == 0))
-                k[new] = read(p[new], 4)
-                p[new] += 4
-            pp, kk = p[:f], k[:f]
-            x = words[pp >> 3] << (pp & 7).astype(np.uint64)
-            top = (x >> np.uint64(32)).astype(np.float64)
-            q = 32 - np.frexp(top)[1].astype(np.int64)
-            if not top.all():  # a quotient over 24: count on, a bit at a time
-                for r in np.flatnonzero(top == 0).tolist():
-                    c = int(pp[r])
-                    while not raw[c >> 3] >> (7 - (c & 7)) & 1:
-                        c += 1
-                    q[r] = c - int(pp[r])
-                rest = read(pp + q + 1, kk)
+        on = on[np.argsort(-size[on], kind="stable")]  # those still running are always the first ones
+        t, pos[on] = _residuals(source, pos[on], np.ascontiguousarray(s[:, on]), size[on], order[on], coef[on], shift[on])
+        s[:, on] = t
+    return s[most:] << wasted, pos
+
+
+def _residuals(source: _Bits, p: np.ndarray, t: np.ndarray, m: np.ndarray, o: np.ndarray, coef: np.ndarray, shift: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Fill ``t`` with predicted and corrected samples, one row (a sample of all blocks) at a time."""
+    most, width = coef.shape[1], len(t) - coef.shape[1]
+    method = source.read(p, 2)
+    if (method > 1).any():
+        raise ValueError("a reserved Rice method")
+    param, parts = 4 + method, np.left_shift(1, source.read(p + 2, 4))
+    p, per = p + 6, m // parts
+    k, escaped = np.zeros(len(m), np.int64), np.zeros(len(m), bool)
+
+    def begin(rows: np.ndarray) -> None:
+        """The next partition of some blocks."""
+        k[rows] = source.read(p[rows], param[rows])
+        p[rows] += param[rows]
+        escaped[rows] = k[rows] == (1 << param[rows]) - 1
+        if (plain := rows[escaped[rows]]).size:
+            k[plain] = source.read(p[plain], 5)
+            p[plain] += 5
+
+    begin(np.arange(len(m)))
+    running = np.searchsorted(-m, -np.arange(width), "left")  # blocks of over i samples
+    several = np.unique(per[parts > 1]).tolist()
+    latest = int(o.max())
+    for i in range(width):
+        f = int(running[i])
+        if i and any(i % u == 0 for u in several if u):
+            begin(np.flatnonzero((parts[:f] > 1) & (i % np.maximum(per[:f], 1) == 0)))
+        pp, kk = p[:f], k[:f]
+        x = source.window(pp)
+        if escaped[:f].any():
+            raw = escaped[:f]
+            q = np.where(raw, -1, 0)
+            q[~raw] = source.zeros(pp[~raw], x[~raw])
+            rest = source.read(pp + q + 1, kk)
+            z = np.where(raw, 0, q) << kk | rest
+            value = np.where(raw, source.signed(pp, kk), (z >> 1) ^ -(z & 1))
+        else:
+            q = source.zeros(pp, x)
+            if len(q) and int(q.max()) + int(kk.max()) > 55:
+                rest = source.read(pp + q + 1, kk)
             else:
                 rest = ((x << (q + 1).astype(np.uint64)) >> np.uint64(1) >> (63 - kk).astype(np.uint64)).astype(np.int64)
-            z = (q << kk | rest).astype(np.int32)
+            z = q << kk | rest
             value = (z >> 1) ^ -(z & 1)
-            value += (a[:f] * t[i + 1, :f] + b[:f] * t[i, :f]) >> sh[:f]
-            if i < latest:  # the first samples are given as they are
-                coded = o[:f] <= i
-                t[i + 2, :f] = np.where(coded, value, t[i + 2, :f])
-                p[:f] += np.where(coded, q + 1 + kk, 0)
-            else:
-                t[i + 2, :f] = value
-                p[:f] += q + 1 + kk
-        s[:, on] = t
-    pcm = s[2:].T.astype(np.int8).view(np.uint8)
-    return pcm[np.arange(width) < size[:, None]]
+        if most:
+            guess = coef[:f, 0] * t[i + most - 1, :f]
+            for j in range(1, most):
+                guess += coef[:f, j] * t[i + most - 1 - j, :f]
+            value += guess >> shift[:f]
+        if i < latest:  # the first samples are given as they are
+            coded = o[:f] <= i
+            t[i + most, :f] = np.where(coded, value, t[i + most, :f])
+            p[:f] += np.where(coded, q + 1 + kk, 0)
+        else:
+            t[i + most, :f] = value
+            p[:f] += q + 1 + kk
+    return t, p
 
 
 def _batches(values: list[bytes], each):
@@ -361,53 +550,51 @@ def _batches(values: list[bytes], each):
 def encode(df: DataFrame, payload: str, *, media: str = "media") -> DataFrame:
     """``df`` with the FLAC stream of each payload (binary)."""
 
-    def f(b: pa.RecordBatch) -> list[pa.Array]:
-        values = [x or b"" for x in b.column(b.schema.get_field_index(payload)).to_pylist()]
-        return [pa.array(list(_batches(values, encode_many)), pa.binary())]
+    def f(col: pa.Array) -> list[pa.Array]:
+        return [pa.array(list(_batches([x or b"" for x in col.to_pylist()], encode_many)), pa.binary())]
+
+    return C.with_arrow(df, payload, [T.StructField(media, T.BinaryType())], lambda: f)
 
-    return C.with_arrow(df, [T.StructField(media, T.BinaryType())], lambda: f, 1024)
+
+SEEK = T.ArrayType(T.StructType([T.StructField("first_sample", T.LongType()), T.StructField("byte_offset", T.LongType())]))
 
 
 def decode(df: DataFrame, media: str, *, payload: str = "payload") -> DataFrame:
-    """``df`` with the payload read back from each stream; null stays null."""
+    """``df`` with what each stream holds: the payload, ``seek`` (first sample and byte offset of its
+    blocks) and ``feature``, the samples' energy, zero crossings and peak as ``energy:crossings:peak``.
+    Null stays null."""
+
+    def read(streams: list[bytes]):
+        for (pcm, _, where), size in zip(decode_pcm(streams), map(len, streams), strict=True):
+            v = pcm[:, 0]
+            yield (v + 128).astype(np.uint8).tobytes(), [{"first_sample": x, "byte_offset": y} for x, y in where if y < size], f"{int(v @ v)}:{int(np.count_nonzero((v[1:] < 0) != (v[:-1] < 0)))}:{int(np.abs(v).max(initial=0))}"
 
-    def f(b: pa.RecordBatch) -> list[pa.Array]:
-        col = b.column(b.schema.get_field_index(media)).to_pylist()
-        got = iter(_batches([x for x in col if x is not None], lambda v: decode_many(v)[0]))
-        return [pa.array([None if x is None else next(got) for x in col], pa.binary())]
+    def f(col: pa.Array) -> list[pa.Array]:
+        all_ = col.to_pylist()
+        got = iter(_batches([x for x in all_ if x is not None], read))
+        rows = [(None, None, None) if x is None else next(got) for x in all_]
+        kinds = (pa.binary(), pa.list_(pa.struct([("first_sample", pa.int64()), ("byte_offset", pa.int64())])), pa.string())
+        return [pa.array([r[c] for r in rows], kind) for c, kind in enumerate(kinds)]
 
-    return C.with_arrow(df, [T.StructField(payload, T.BinaryType())], lambda: f, 1024)
+    return C.with_arrow(df, media, [T.StructField(payload, T.BinaryType()), T.StructField("seek", SEEK), T.StructField("feature", T.StringType())], lambda: f)
 
 
 def blocks(df: DataFrame, key: str, media: str) -> DataFrame:
-    """A row for each PCM block: key, block number, first sample, byte offset in the stream, and
-    the samples (signed bytes). Any block can be found by its sample offset."""
+    """A row for each PCM block of any FLAC stream: key, block number, first sample, byte offset in the
+    stream, and the samples as interleaved signed little-endian integers of whole bytes."""
     schema = T.StructType([df.schema[key], T.StructField("block", T.IntegerType()), T.StructField("first_sample", T.LongType()), T.StructField("byte_offset", T.LongType()), T.StructField("pcm", T.BinaryType())])
 
     def run(batches):
         for b in batches:
-            for i in range(0, b.num_rows, 64):
-                part = b.slice(i, 64)
-                rows = [(k, m) for k, m in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True) if m is not None]
-                payloads, where = decode_many([m for _, m in rows])
-                out = [(k, n, at, byte, (np.frombuffer(p[at : at + BLOCK], np.uint8) - np.uint8(128)).tobytes()) for (k, _), p, w in zip(rows, payloads, where, strict=True) for n, (at, byte) in enumerate(w)]
-                yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in out], t) for c, t in enumerate((part.schema.field(0).type, pa.int32(), pa.int64(), pa.int64(), pa.binary()))], names=schema.names)
-
-    return df.select(key, media).mapInArrow(run, schema)
-
-
-def features(df: DataFrame, payload: str, *, out: str = "feature") -> DataFrame:
-    """``df`` with energy, zero crossings and peak of the samples, as ``energy:crossings:peak``."""
-
-    def f(b: pa.RecordBatch) -> list[pa.Array]:
-        got = []
-        for x in b.column(b.schema.get_field_index(payload)).to_pylist():
-            v = (np.frombuffer(x or b"", np.uint8) ^ np.uint8(128)).view(np.int8)
-            w = v.astype(np.int64)
-            got.append(f"{int(w @ w)}:{int(np.count_nonzero((v[1:] < 0) != (v[:-1] < 0)))}:{int(np.abs(w).max(initial=0))}")
-        return [pa.array(got, pa.string())]
+            for k, m in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if m is None:
+                    continue
+                [(pcm, info, where)] = decode_pcm([m])
+                ends = [*(x for x, _ in where[1:]), len(pcm)]
+                out = [(k, n, at, byte, pcm_bytes(pcm[at:end], info["bits"])) for n, ((at, byte), end) in enumerate(zip(where, ends, strict=True))]
+                yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in out], t) for c, t in enumerate((b.schema.field(0).type, pa.int32(), pa.int64(), pa.int64(), pa.binary()))], names=schema.names)
 
-    return C.with_arrow(df, [T.StructField(out, T.StringType())], lambda: f, 1024)
+    return C.map_arrow(df.select(key, media), run, schema)
 
 
 def padded(text: Column) -> Column:
@@ -419,9 +606,9 @@ def padded(text: Column) -> Column:
 
 def query(spark, sf_dir: str) -> DataFrame:
     docs = C.table(spark, sf_dir, "documents").select("doc_id", "text")
-    stored = encode(docs.select("doc_id", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"), padded(F.col("text")).alias("raw")), "raw").drop("raw")
-    back = features(decode(stored, "media"), "payload")
-    return back.select(
+    rows = docs.select("doc_id", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"), padded(F.col("text")).alias("raw"))
+    held = C.stored(encode(rows, "raw").select("doc_id", "n_bytes", "media"), "media")
+    return decode(held, "media").select(
         "doc_id", "n_bytes",
         F.octet_length("payload").cast("long").alias("payload_bytes"),
         F.sha2("payload", 256).alias("payload_sha256"),
@@ -429,4 +616,6 @@ def query(spark, sf_dir: str) -> DataFrame:
         F.octet_length("media").cast("long").alias("media_bytes"),
         F.sha2("media", 256).alias("media_sha256"),
         "feature",
+        F.size("seek").cast("long").alias("n_blocks"),
+        F.element_at("seek", -1)["byte_offset"].alias("last_block_at"),
     )

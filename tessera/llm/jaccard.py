@@ -14,9 +14,11 @@ words has one shingle of them all. Texts are near when the Jaccard similarity of
 3. What the paths join are loose groups. Inside each, blocks of sets are compared exactly, which
    counts every link and gives the classes; pairs are counted where they are found, not emitted.
 
-Defined results: a text without words has a class of its own and no links; equal sets are one class;
-``class_id`` is the least id in the class (null if all its ids are null); repeated rows of one id
-get one row each; an empty table gives an empty result.
+Defined results: a null text or one without words has a class of its own and no links; equal sets are one
+class; ``class_id`` is the least id in the class (null if all its ids are null; two classes have the
+same if one id has two texts); repeated rows of one id get one row each; an empty table gives an
+empty result; a very long text is hashed in steps. ``join`` returns its own columns only, so names
+can't clash; ``keep_one`` keeps all columns as they are.
 """
 
 from __future__ import annotations
@@ -34,7 +36,9 @@ from .components import components
 SHINGLE, THRESHOLD, RECALL = 5, 0.8, 0.999
 SKETCH, SMALL, DEPTH = 128, 64, 6
 #: Sets, and bytes of text, in one block of an exact comparison.
-BLOCK_SETS, BLOCK_BYTES = 96, 4 << 20
+BLOCK_SETS, BLOCK_BYTES = 256, 4 << 20
+#: Parts of a large class's sets in a join with the class's one row.
+SALT = 32
 #: Four standard deviations of a sketch's estimate at the threshold.
 SLACK = 4 * math.sqrt(THRESHOLD * (1 - THRESHOLD) / SKETCH)
 
@@ -49,7 +53,7 @@ def shingles(data: np.ndarray, off: np.ndarray, size: int = SHINGLE) -> list[np.
     """The distinct shingle hashes of each row, sorted."""
     low = UPPER[data]
     s, e, wo = C.words(low, off, C.SPACE)
-    run = C.running(C.slices(C.running(C.BYTE_VALUE[low]), s, e))
+    run = C.running(C.word_hashes(low, s, e))
     n = np.diff(wo)
     count = np.where(n == 0, 0, np.maximum(1, n - size + 1))
     first = np.cumsum(count) - count
@@ -96,11 +100,12 @@ def describe(docs: DataFrame, key: str, text: str) -> DataFrame:
     from pyspark.sql import types as T
 
     schema = T.StructType([T.StructField("key", kind.dataType), *T._parse_datatype_string("tkey binary, sid binary, n int, sketch array<int>, bytes int").fields])
-    return docs.select(F.col(key), F.col(text), text_key(F.col(text)).alias("tkey")).mapInArrow(run, schema)
+    return C.map_arrow(docs.select(F.col(key), F.col(text), text_key(F.col(text)).alias("tkey")), run, schema)
 
 
 def text_key(text: Column) -> Column:
-    return F.unhex(F.md5(text.cast("binary")))
+    """MD5 of a text; of null no bytes."""
+    return F.coalesce(F.unhex(F.md5(text.cast("binary"))), F.lit(b""))
 
 
 def _drawn(node: Column) -> Column:
@@ -231,16 +236,16 @@ def exact_near(sets: list[np.ndarray], threshold: float) -> np.ndarray:
     return near
 
 
-def join(docs: DataFrame, *, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
-    """(key, class_id, n_links, n_shingles) of every row; ``n_links`` counts the other different texts near it."""
+def classed(docs: DataFrame, *, key: str, text: str, threshold: float, recall: float) -> DataFrame:
+    """(key, tkey: MD5 of the text, label: the class, class_id, n_links, n_shingles) of every row."""
     rows = C.stored(describe(docs, key, text), "rows")
     full = rows.where("sid IS NOT NULL")
-    sets = full.groupBy("sid").agg(F.min("tkey").alias("tkey"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.max("bytes").alias("bytes"))
+    sets = full.groupBy("sid").agg(F.min("tkey").alias("tkey"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.max("bytes").alias("bytes"), F.min("key").alias("least"))
     sets = C.stored(sets, "sets")
     loose = components(loose_edges(sets, threshold=threshold, recall=recall), "loose").select(F.col("node").alias("sid"), F.col("label").alias("grp"))
     # exact comparison inside the loose groups, block by block
-    texts = full.join(loose.select("sid"), "sid", "left_semi").select("sid", "tkey").distinct().groupBy("sid").agg(F.count("*").alias("texts"))
-    member = loose.join(sets.select("sid", "tkey", "bytes"), "sid").join(texts, "sid")
+    same = C.stored(full.select("sid", "tkey").distinct().groupBy("sid").agg(F.count("*").alias("texts")), "texts")
+    member = loose.join(sets.select("sid", "tkey", "bytes"), "sid").join(same, "sid")
     size = member.groupBy("grp").agg(F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("bytes") / BLOCK_BYTES)).cast("int").alias("blocks"))
     member = member.join(size, "grp").withColumn("block", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int"))
     one = docs.select(text_key(F.col(text)).alias("tkey"), F.col(text).alias("text"))
@@ -248,19 +253,36 @@ def join(docs: DataFrame, *, key: str = "doc_id", text: str = "text", threshold:
     links = C.stored(exact_links(member, threshold=threshold), "links")
     classes = components(links.select(F.col("sid").alias("a"), F.col("root").alias("b")), "classes").select(F.col("node").alias("sid"), "label")
     counts = links.groupBy("sid").agg(F.sum("links").alias("links"))
-    same = full.select("sid", "tkey").distinct().groupBy("sid").agg((F.count("*") - 1).alias("same"))
-    known = sets.select("sid").join(classes, "sid", "left").join(counts, "sid", "left").join(same, "sid").select("sid", F.coalesce("label", "sid").alias("label"), (F.coalesce("links", F.lit(0)) + F.col("same")).alias("n_links"))
-    named = full.select("key", "sid", "n").join(known, "sid")
-    least = named.groupBy("label").agg(F.min("key").alias("class_id"))
-    out = named.join(least, "label").select("key", "class_id", "n_links", F.col("n").alias("n_shingles"))
-    alone = rows.where("sid IS NULL").select("key", F.col("key").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(0).alias("n_shingles"))
-    return out.unionByName(alone).withColumnRenamed("key", key)
-
-
-def keep_one(docs: DataFrame, *, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """One row of each class: that with the least id. Rows without an id all stay."""
-    kept = join(docs.where(F.col(key).isNotNull()), key=key, text=text, **options).where(F.col(key) == F.col("class_id")).select(key).distinct()
-    return docs.join(kept, key, "left_semi").dropDuplicates([key]).select(*docs.columns).unionByName(docs.where(F.col(key).isNull()))
+    # the least id of a class goes to its sets, not to its rows; a large class's sets are dealt over SALT parts
+    own = classes.join(sets.select("sid", "least"), "sid").withColumn("salt", F.pmod(F.xxhash64("sid"), F.lit(SALT)).cast("int"))
+    least = own.groupBy("label").agg(F.min("least").alias("class_id")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    own = own.join(least, ["label", "salt"]).select("sid", "label", "class_id")
+    known = sets.select("sid", "least").join(own, "sid", "left").join(counts, "sid", "left").join(same, "sid")
+    known = known.select("sid", F.coalesce("label", "sid").alias("label"), F.when(F.col("label").isNull(), F.col("least")).otherwise(F.col("class_id")).alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("texts") - 1).alias("n_links"))
+    out = full.select("key", "tkey", "sid", "n").join(known, "sid").select("key", "tkey", "label", "class_id", "n_links", F.col("n").alias("n_shingles"))
+    alone = rows.where("sid IS NULL").select("key", "tkey", F.lit(None).cast("binary").alias("label"), F.col("key").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(0).alias("n_shingles"))
+    return out.unionByName(alone)
+
+
+def join(docs: DataFrame, *, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
+    """(key, class_id, n_links, n_shingles) of every row; ``n_links`` counts the other different texts near it."""
+    out = classed(docs, key=key, text=text, threshold=threshold, recall=recall)
+    return out.select(F.col("key").alias(key), "class_id", "n_links", "n_shingles")
+
+
+def keep_one(docs: DataFrame, *, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
+    """One row of each class, with its own columns: of the rows with the least id that with the least
+    text, by MD5, and one of the rows that are equal in both. Rows without an id all stay."""
+    found = classed(docs.where(F.col(key).isNotNull()).select(key, text), key=key, text=text, threshold=threshold, recall=recall)
+    first = found.where("key = class_id").groupBy(F.coalesce("label", F.concat(F.col("key").cast("string").cast("binary"), F.lit(b":"), "tkey")).alias("label"), "key").agg(F.min("tkey").alias("tkey"))
+    # how often each row is there: only those that repeat have to be told apart
+    often = found.groupBy("key", "tkey").agg(F.count("*").alias("times"))
+    kept = C.stored(first.select("key", "tkey").join(often, ["key", "tkey"]), "kept")
+    id_, tk, times = (C.free_name(docs, n) for n in ("kept_key", "kept_text", "kept_times"))
+    kept = kept.select(F.col("key").alias(id_), F.col("tkey").alias(tk), F.col("times").alias(times))
+    rows = docs.join(kept, (F.col(key) == kept[id_]) & (text_key(F.col(text)) == kept[tk]))
+    out = rows.where(F.col(times) == 1).unionByName(rows.where(F.col(times) > 1).dropDuplicates([id_, tk]))
+    return out.select(*[f"`{c}`" for c in docs.columns]).unionByName(docs.where(F.col(key).isNull()))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -3,12 +3,13 @@ then one-versus-one linear support vector machines tell the family's languages a
 
 Every whole text becomes one vector of hashed byte 2-grams and 3-grams (letters lower-cased,
 other ASCII one space), log-scaled and of unit length. Learning uses a sample of the labelled
-training rows, at most about ``PER_LANG`` a language and ``MOST`` in all; prediction uses the
-text alone.
+training rows of every language: about ``PER_LANG`` a language and ``MOST`` in all, but of no language
+fewer than ``LEAST`` (or all, if it has fewer). Prediction uses the text alone.
 
 Defined results: null or letterless text is ``und`` with score 0; no training rows: all are
 ``und``; one learned language: it, with score 1; ties go to the first language by name;
-repeated rows get equal predictions.
+repeated rows get equal predictions; input columns ``lang_pred`` and ``score`` are replaced, others
+stay; a very long text is counted in stretches, so it takes no more memory than others.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql import types as T
 
 from . import common as C
 
-PER_LANG, MOST = 400, 4000
+PER_LANG, MOST, LEAST = 400, 4000, 16
 D3, D2 = 4096, 1024
 DIM = D3 + D2
 
@@ -41,22 +42,23 @@ FOLD[0x80:] = np.arange(0x80, 0x100)
 FOLD[0x41:0x5B] = FOLD[0x61:0x7B] = np.arange(0x61, 0x7B)
 
 
-def vectors(data: np.ndarray, off: np.ndarray) -> np.ndarray:
+def vectors(data: np.ndarray, off: np.ndarray, step: int = C.STEP_BYTES) -> np.ndarray:
     """One unit vector (float32) for each row."""
-    n = len(off) - 1
-    x = FOLD[data].astype(np.uint32)
-    out = np.zeros((n, DIM), np.float32)
-    row = np.repeat(np.arange(n), np.diff(off))
-    for size, base, dim in ((3, 0, D3), (2, D3, D2)):
-        if len(x) < size:
-            continue
-        m = len(x) - size + 1
-        g = x[:m] * np.uint32(0x9E3779B1)
-        for j in range(1, size):
-            g = (g ^ x[j : m + j]) * np.uint32(0x85EBCA6B) + (g >> np.uint32(15))
-        ok = row[:m] == row[size - 1 :]
-        key = row[:m][ok] * dim + ((g[ok] >> np.uint32(7)) % np.uint32(dim))
-        out[:, base : base + dim] = np.bincount(key, minlength=n * dim).reshape(n, dim)
+    out = np.zeros((len(off) - 1, DIM), np.float32)
+    for first, at, o in C.cuts(off, step, 2):
+        x = FOLD[data[at : at + int(o[-1])]].astype(np.uint32)
+        n = len(o) - 1
+        row = np.repeat(np.arange(n), np.diff(o))
+        for size, base, dim in ((3, 0, D3), (2, D3, D2)):
+            m = min(len(x) - size + 1, step)  # what starts later is in the row's next stretch
+            if m < 1:
+                continue
+            g = x[:m] * np.uint32(0x9E3779B1)
+            for j in range(1, size):
+                g = (g ^ x[j : m + j]) * np.uint32(0x85EBCA6B) + (g >> np.uint32(15))
+            ok = row[:m] == row[size - 1 : m + size - 1]
+            key = row[:m][ok] * dim + ((g[ok] >> np.uint32(7)) % np.uint32(dim))
+            out[first : first + n, base : base + dim] += np.bincount(key, minlength=n * dim).reshape(n, dim)
     np.log1p(out, out=out)
     norm = np.linalg.norm(out, axis=1, keepdims=True)
     return out / np.maximum(norm, 1e-9)
@@ -71,19 +73,21 @@ def _letters(data: np.ndarray, off: np.ndarray) -> np.ndarray:
     return got
 
 
-def svm(x: np.ndarray, y: np.ndarray, c: float = 10.0, rounds: int = 200) -> tuple[np.ndarray, float]:
-    """A linear support vector machine for labels -1 and 1 (squared hinge loss, accelerated
-    gradient descent, classes weighted evenly)."""
-    x1 = np.hstack([x, np.ones((len(x), 1), np.float32)])
-    weight = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum())).astype(np.float32) * c
-    w = v = np.zeros(x1.shape[1], np.float32)
-    step, t = 1.0 / (1 + 2 * c * 2), 1.0
+def svm(x: np.ndarray, y: np.ndarray, c: float = 10.0, rounds: int = 200) -> tuple[np.ndarray, np.ndarray]:
+    """Linear support vector machines, one for each column of ``y`` (labels -1 and 1), all at once over one
+    copy of ``x`` (squared hinge loss, accelerated gradient descent, both labels weighted evenly)."""
+    up = y > 0
+    weight = (c * np.where(up, 0.5 / np.maximum(1, up.sum(0)), 0.5 / np.maximum(1, (~up).sum(0)))).astype(np.float32)
+    w = v = np.zeros((x.shape[1], y.shape[1]), np.float32)
+    bias = b = np.zeros(y.shape[1], np.float32)
+    step, t = np.float32(1.0 / (1 + 2 * c * 2)), 1.0
     for _ in range(rounds):
-        slack = np.maximum(0, 1 - y * (x1 @ v))
-        new = v - step * (0.02 * v - 2 * x1.T @ (weight * slack * y))
+        pull = 2 * weight * np.maximum(0, 1 - y * (x @ v + b)) * y
         t2 = (1 + np.sqrt(1 + 4 * t * t)) / 2
-        v, w, t = new + np.float32((t - 1) / t2) * (new - w), new, t2
-    return w[:-1], float(w[-1])
+        ahead = np.float32((t - 1) / t2)
+        new, new_bias = v - step * (np.float32(0.02) * v - x.T @ pull), b - step * (np.float32(0.02) * b - pull.sum(0))
+        v, b, w, bias, t = new + ahead * (new - w), new_bias + ahead * (new_bias - bias), new, new_bias, t2
+    return w, bias
 
 
 class Model:
@@ -95,19 +99,23 @@ class Model:
         fam = np.array([FAMILY.get(v, v) for v in langs])
         self.families = sorted(set(fam.tolist()))
         self.members = {f: [v for v in names if FAMILY.get(v, v) == f] for f in self.families}
-        machines = []
+        ws, bs, machines = [], [], 0
         if len(self.families) > 1:
-            machines += [svm(x, np.where(fam == f, 1, -1).astype(np.float32)) for f in self.families]
+            w, b = svm(x, np.where(fam[:, None] == np.array(self.families)[None, :], 1, -1).astype(np.float32))
+            ws, bs, machines = [w], [b], len(b)
         self.pairs: dict[str, list[tuple[int, int, int]]] = {}
         for f, m in self.members.items():
             self.pairs[f] = []
             for i in range(len(m)):
                 for j in range(i + 1, len(m)):
                     own = (y == m[i]) | (y == m[j])
-                    self.pairs[f].append((i, j, len(machines)))
-                    machines.append(svm(x[own], np.where(y[own] == m[i], 1, -1).astype(np.float32)))
-        self.w = np.array([w for w, _ in machines], np.float32).reshape(-1, DIM).T.copy()
-        self.b = np.array([b for _, b in machines], np.float32)
+                    self.pairs[f].append((i, j, machines))
+                    w, b = svm(x[own], np.where(y[own] == m[i], 1, -1).astype(np.float32)[:, None])
+                    ws.append(w)
+                    bs.append(b)
+                    machines += 1
+        self.w = np.hstack(ws) if ws else np.zeros((DIM, 0), np.float32)
+        self.b = np.concatenate(bs) if bs else np.zeros(0, np.float32)
 
     def predict(self, x: np.ndarray) -> tuple[list[str], np.ndarray]:
         s = x @ self.w + self.b
@@ -138,16 +146,16 @@ class Model:
 
 
 def train(rows: DataFrame, *, text: str = "text", lang: str = "lang", key: str = "doc_id") -> Model | None:
-    """Fit on labelled rows: of each language about PER_LANG at most, chosen by a hash of the
-    key; their vectors, a few MB, are the only thing that comes to the driver."""
-    rows = rows.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    counts = {r[0]: r[1] for r in rows.groupBy(lang).count().orderBy(F.desc("count")).limit(MOST // 20).collect()}
+    """Fit on labelled rows, chosen by a hash of key and text; their vectors, 10 KB a row of the bounded
+    sample, are the only thing that comes to the driver."""
+    rows = rows.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("key"), F.col(lang).alias("lang"), F.col(text).alias("text"))
+    counts = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}  # a row for each language
     if not counts:
         return None
-    per = min(PER_LANG, MOST // len(counts))
-    share = F.create_map(*[F.lit(v) for k, n in counts.items() for v in (k, min(1.0, 1.1 * per / n))])
-    u = (F.xxhash64(key) / F.lit(2.0**64)) + 0.5
-    picked = rows.where(u < F.coalesce(share[F.col(lang)], F.lit(0.0))).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
+    per = max(LEAST, min(PER_LANG, MOST // len(counts)))
+    share = F.create_map(*[F.lit(v) for k, n in counts.items() for v in (k, min(1.0, (1.1 * per + LEAST) / n))])
+    u = (F.xxhash64("key", "text") / F.lit(2.0**64)) + 0.5
+    picked = rows.where(u < share[F.col("lang")]).select("lang", "text")
 
     def run(batches):
         for b in batches:
@@ -156,9 +164,7 @@ def train(rows: DataFrame, *, text: str = "text", lang: str = "lang", key: str =
                 v = vectors(*C.text_buffer(part.column(1)))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x.tobytes() for x in v.astype(np.float16)], pa.binary())], names=["lang", "v"])
 
-    got = picked.mapInArrow(run, "lang string, v binary").limit(2 * MOST).collect()
-    if not got:
-        return None
+    got = C.map_arrow(picked, run, "lang string, v binary").collect()
     got.sort(key=lambda r: (r[0], bytes(r[1])))  # tasks end in any order
     return Model(np.array([np.frombuffer(r[1], np.float16) for r in got], np.float32), [r[0] for r in got])
 
@@ -170,12 +176,12 @@ def predict(docs: DataFrame, model: Model | None, *, text: str = "text") -> Data
     def make():
         model = held.value
 
-        def f(b: pa.RecordBatch) -> list[pa.Array]:
-            data, off = C.text_buffer(b.column(b.schema.get_field_index(text)))
-            langs: list = ["und"] * b.num_rows
-            score = np.zeros(b.num_rows)
+        def f(col: pa.Array) -> list[pa.Array]:
+            data, off = C.text_buffer(col)
+            langs: list = ["und"] * len(col)
+            score = np.zeros(len(col))
             if model is not None:
-                for i in range(0, b.num_rows, 64):
+                for i in range(0, len(col), 64):
                     for lo, hi in C.steps(off[i : i + 65]):
                         o = off[i + lo : i + hi + 1]
                         d, o = data[o[0] : o[-1]], o - o[0]
@@ -187,7 +193,7 @@ def predict(docs: DataFrame, model: Model | None, *, text: str = "text") -> Data
 
         return f
 
-    return C.with_arrow(docs, [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())], make, 1024)
+    return C.with_arrow(docs, text, [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())], make)
 
 
 def bucket(key: str, n: int) -> Column:

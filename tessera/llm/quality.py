@@ -5,29 +5,34 @@ pairs of character classes and of hashed letter 2-grams; a learned layer gives i
 gated attention a = softmax(w . (tanh(V h) * sigmoid(U h))) weighs the passages, and the document's
 label is learned from, and its score computed on, the weighted sum of the embeddings.
 
-Fitting takes a sample of the labelled training rows (about ``PER_CLASS`` a class, at most
-``BAG`` passages each, spread evenly over the text); scoring encodes every passage of every text.
+Fitting takes a bounded sample of the labelled training rows: about ``PER_CLASS`` a class, of texts of up
+to ``LONGEST`` bytes, with every passage of them. Scoring encodes every passage of every text, a
+very long one in stretches whose weighted sums are put together.
 
 Defined results: null and empty texts are one passage without counts, so they have a score; without
 training rows of both classes the score is the share of label 1 (0.5 without any); labels of a row
-that is labelled twice are averaged and rounded; repeated rows get equal scores.
+that is labelled twice are averaged and rounded; of several texts of one id the least is learned from;
+repeated rows get equal scores; input columns ``score`` and ``predicted`` are replaced, others stay.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import common as C
 from .language import bucket
 
-PER_CLASS, BAG = 1500, 24
+PER_CLASS, LONGEST = 1500, 1 << 18
 #: Steps that a fit takes at least, so that a few labels are enough.
 LEAST_STEPS = 400
 PASSAGE = 256
+#: Bytes of text that are encoded at once, a multiple of PASSAGE.
+STRETCH = 1 << 19
+FIELDS = [T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]
 KINDS, GRAMS = 16, 256
 DIM = KINDS * KINDS + GRAMS
 HIDDEN, GATE = 32, 16
@@ -83,8 +88,26 @@ class Model:
         z = np.add.reduceat(h * a[:, None], first, axis=0)
         return {"first": first, "bag": bag, "h": h, "tv": tv, "su": su, "a": a, "z": z, "y": 1 / (1 + np.exp(-np.clip(z @ c + b, -30, 30)))}
 
-    def score(self, x: np.ndarray, count: np.ndarray) -> np.ndarray:
-        return np.full(len(count), self.constant) if self.p is None else self.forward(x, count)["y"].astype(np.float64)
+    def score(self, data: np.ndarray, off: np.ndarray) -> np.ndarray:
+        """A score for each text; stretches of one long text are joined by their attention's weights."""
+        if self.p is None:
+            return np.full(len(off) - 1, self.constant)
+        n = len(off) - 1
+        top, total, z = np.full(n, -np.inf), np.zeros(n), np.zeros((n, HIDDEN))
+        e, be, v, u, w, c, b = self.p
+        for i, at, o in C.cuts(off, STRETCH):
+            x, count = encode(data[at : at + int(o[-1])], o)
+            first = np.cumsum(count) - count
+            h = np.maximum(x @ e + be, 0)
+            g = (np.tanh(h @ v) / (1 + np.exp(-np.clip(h @ u, -30, 30)))) @ w
+            own = slice(i, i + len(count))
+            new = np.maximum(top[own], np.maximum.reduceat(g, first))
+            a = np.exp(g - np.repeat(new, count))
+            keep = np.exp(top[own] - new)  # what earlier stretches of the text weigh now
+            total[own] = total[own] * keep + np.add.reduceat(a, first)
+            z[own] = z[own] * keep[:, None] + np.add.reduceat(h * a[:, None], first, axis=0)
+            top[own] = new
+        return 1 / (1 + np.exp(-np.clip((z / total[:, None]) @ c + b, -30, 30)))
 
     def fit(self, bags: list[np.ndarray], labels: np.ndarray, weight: np.ndarray, rounds: int = 12, batch: int = 64) -> None:
         r = np.random.default_rng(7)
@@ -121,27 +144,27 @@ class Model:
 def train(docs: DataFrame, labels: DataFrame, *, text: str = "text", key: str = "doc_id", label: str = "quality") -> Model:
     """Fit on ``docs`` that ``labels`` has. A bounded sample of labels picks the rows; only the
     features of those, some tens of MB, come to the driver."""
+    known = docs.where(F.col(key).isNotNull() & (F.coalesce(F.octet_length(text), F.lit(0)) <= LONGEST))
     own = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(key).agg(F.round(F.avg(label)).cast("int").alias("label"))
-    own = own.join(docs.select(key).distinct(), key, "left_semi")
-    n = {r[0]: r[1] for r in own.groupBy("label").count().collect() if r[0] in (0, 1)}
+    own = own.where(F.col("label").isin(0, 1)).join(known.select(key), key, "left_semi")
+    n = {r[0]: r[1] for r in own.groupBy("label").count().collect()}
     if len(n) < 2:
         return Model(float(next(iter(n))) if n else 0.5)
+    u = (F.xxhash64(key) / F.lit(2.0**64)) + 0.5
     share = F.when(F.col("label") == 1, min(1.0, PER_CLASS / n[1])).otherwise(min(1.0, PER_CLASS / n[0]))
-    picked = own.where(F.col("label").isin(0, 1) & ((F.xxhash64(key) / F.lit(2.0**64)) + 0.5 < share)).limit(4 * PER_CLASS)
-    rows = docs.select(key, text).join(F.broadcast(picked), key).dropDuplicates([key]).select("label", text)  # picked: at most 4 * PER_CLASS rows
+    picked = own.withColumn("u", u).where(F.col("u") < share).orderBy("u", key).limit(3 * PER_CLASS).drop("u")  # about 2 * PER_CLASS
+    rows = known.select(key, text).join(F.broadcast(picked), key)  # picked: at most 3 * PER_CLASS rows
+    rows = rows.groupBy(key).agg(F.min("label").alias("label"), F.min(text).alias("text")).select("label", "text")
 
     def run(batches):
         for b in batches:
-            for i in range(0, b.num_rows, 64):
-                part = b.slice(i, 64)
+            for i in range(0, b.num_rows, 16):
+                part = b.slice(i, 16)
                 x, count = encode(*C.text_buffer(part.column(1)))
-                at, got = 0, []
-                for c in count.tolist():
-                    got.append(x[at + np.unique(np.linspace(0, c - 1, min(c, BAG)).astype(int))].astype(np.float16).tobytes())
-                    at += c
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(got, pa.binary())], names=["label", "x"])
+                x, ends = x.astype(np.float16), np.cumsum(count).tolist()
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x[z - c : z].tobytes() for z, c in zip(ends, count.tolist(), strict=True)], pa.binary())], names=["label", "x"])
 
-    got = sorted(rows.mapInArrow(run, "label int, x binary").collect(), key=lambda r: (r[0], bytes(r[1][:4096])))
+    got = sorted(C.map_arrow(rows, run, "label int, x binary").collect(), key=lambda r: (r[0], bytes(r[1][:4096])))
     y = np.array([r[0] for r in got])
     model = Model()
     if len(set(y.tolist())) < 2:
@@ -151,24 +174,33 @@ def train(docs: DataFrame, labels: DataFrame, *, text: str = "text", key: str =
     return model
 
 
-def score(docs: DataFrame, model: Model, *, text: str = "text") -> DataFrame:
-    """``docs`` with ``score`` and ``predicted``."""
+def scored(docs: DataFrame, model: Model, text: str = "text") -> Column:
+    """A struct of ``score`` and ``predicted``."""
     held = docs.sparkSession.sparkContext.broadcast(model)  # under 100 KB
 
     def make():
         model = held.value
 
-        def f(b: pa.RecordBatch) -> list[pa.Array]:
-            data, off = C.text_buffer(b.column(b.schema.get_field_index(text)))
-            got = [np.zeros(0)]
-            for i, j in C.steps(off, 1 << 19):
-                got.append(model.score(*encode(data[off[i] : off[j]], off[i : j + 1] - off[i])))
-            s = np.concatenate(got)
+        def f(col: pa.Array) -> list[pa.Array]:
+            s = model.score(*C.text_buffer(col))
             return [pa.array(s), pa.array((s >= 0.5).astype(np.int32))]
 
         return f
 
-    return C.with_arrow(docs, [T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())], make, 1024)
+    return C.computed(docs, text, FIELDS, make)
+
+
+def score(docs: DataFrame, model: Model, *, text: str = "text") -> DataFrame:
+    """``docs`` with ``score`` and ``predicted``."""
+    held = C.free_name(docs, "scored")
+    own = [c for c in docs.columns if c.lower() not in ("score", "predicted")]
+    return docs.withColumn(held, scored(docs, model, text)).select(*[f"`{c}`" for c in own], f"{held}.score", f"{held}.predicted")
+
+
+def accepted(docs: DataFrame, model: Model, *, text: str = "text") -> DataFrame:
+    """The rows that the model takes for label 1, with their own columns."""
+    held = C.free_name(docs, "scored")
+    return docs.withColumn(held, scored(docs, model, text)).where(f"{held}.predicted = 1").drop(held)
 
 
 def learned(spark, sf_dir: str, docs: DataFrame) -> Model:

@@ -129,6 +129,7 @@ def test_flac_round_trip(spark):
     docs = X.awkward(spark)
     rows = flac.encode(docs.select("doc_id", flac.padded(F.col("text")).alias("raw")), "raw")
     back = flac.decode(rows, "media").collect()
+    assert all(len(r.seek) == -(-len(r.raw) // flac.BLOCK) for r in back)
     assert all(bytes(r.raw) == bytes(r.payload) and len(r.raw) % 64 == 0 and r.raw for r in back) and len(back) == docs.count()
     assert all(bytes(r.media[:4]) == b"fLaC" for r in back)
     r = np.random.default_rng(1)
