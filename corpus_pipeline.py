@@ -11,7 +11,7 @@ from tessera.llm import bpe, common, decontaminate, jaccard, phrases, quality
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality model accepts (5)."""
-    return quality.score(docs, quality.learned(spark, sf_dir, docs)).where("predicted = 1").select(*docs.columns)
+    return quality.accepted(docs, quality.learned(spark, sf_dir, docs))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
