@@ -1,12 +1,12 @@
-"""Shared search for repeated windows of ``length`` units (words or bytes) over all texts.
+"""Shared first steps of the two substring dedups: where repeated windows of ``length`` units (words
+or bytes) may be.
 
-Each window is marked by the ``k``-gram of least hash inside it, so equal windows have equal marks.
-Neighbouring windows of one mark form an interval; an interval's *context* is all the text that its
-windows cover. A window can only repeat if its mark's k-gram does, and where a whole context repeats,
-all its windows do. Only intervals whose k-gram repeats within different contexts need a look at
-single windows: those are counted by hash over the cluster, so no k-gram's places ever meet in one task.
+Each window is marked by the ``k``-gram of least hash inside it, so equal windows have equal marks at
+equal distances. Neighbouring windows of one mark form an interval; an interval's *context* is all
+the text that its windows cover. A window can only repeat if its mark's k-gram does. Equal contexts
+of one step are one row with the places of all, so a hot passage sends a row a step, not a text.
 
-Rows are told apart by ``rk``, an MD5 of id and text.
+Rows are told apart by ``rk``, an MD5 of id and text. Hashes of contexts and windows have 128 bits.
 """
 
 from __future__ import annotations
@@ -21,52 +21,71 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-#: Units that one search for marks works on; positions have 24 bits there.
-MOST_UNITS = 1 << 22
+#: Text bytes of one step, and units that one search for marks works on; positions have 24 bits there.
+STEP, MOST_UNITS = 1 << 18, 1 << 19
 PLACE = np.uint64((1 << 24) - 1)
 
 
 @dataclass(frozen=True)
 class Units:
-    """Words of a text (numbered), or its bytes."""
+    """Words of a text (by their hashes), or its bytes."""
 
     by_word: bool
     length: int
     k: int
-    #: Windows that are counted together, from coarse to fine.
-    widths: tuple[int, ...]
 
     def split(self, data: np.ndarray, off: np.ndarray):
-        """A value for each unit, the rows' offsets in units, and where units start and end."""
+        """The units, and the rows' offsets in them."""
         if not self.by_word:
-            return C.BYTE_VALUE[data], off, None
+            return data, off
         s, e, wo = C.words(data, off, C.SPACE)
-        return C.slices(C.running(C.BYTE_VALUE[data]), s, e), wo, (s, e)
+        return C.word_hashes(data, s, e), wo
 
+    @staticmethod
+    def values(units: np.ndarray) -> np.ndarray:
+        """64 random bits for each unit."""
+        return C.BYTE_VALUE[units] if units.dtype == np.uint8 else units
 
-WORDS = Units(True, 35, 12, (1,))
-BYTES = Units(False, 200, 40, (16, 1))
+
+WORDS = Units(True, 35, 12)
+BYTES = Units(False, 200, 40)
 
 
 def row_key(key: str, text: str) -> Column:
     return F.unhex(F.md5(F.concat(F.coalesce(F.col(key).cast("string"), F.lit("-")), F.lit(":"), F.coalesce(text, F.lit("")), F.col(text).isNull().cast("string")).cast("binary")))
 
 
-def marks(values: np.ndarray, off: np.ndarray, u: Units):
+def keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
+    return docs.select(row_key(key, text).alias("rk"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+
+
+def two_runs(values: np.ndarray):
+    """For 128-bit hashes of slices."""
+    return C.running(values), C.running(C.mix(values ^ C._MULT))
+
+
+def marks(units: np.ndarray, off: np.ndarray, u: Units):
     """Intervals of windows with one mark: row, first and last window start (in the row), the mark's
-    distance from the first, the hash of its k-gram, the hash of the context."""
-    n, w = len(values), u.length - u.k + 1
+    distance from the first, the hash of its k-gram, and two hashes of the context."""
+    n, w = len(units), u.length - u.k + 1
     if n < u.length:
         z = np.zeros(0, np.int64)
-        return z, z, z, z, z.astype(np.uint64), z.astype(np.uint64)
-    if n > MOST_UNITS:  # one very long row: windows by stretches
+        return z, z, z, z, z.astype(np.uint64), z.astype(np.uint64), z.astype(np.uint64)
+    if n > MOST_UNITS:
         out = []
-        for lo in range(0, n - u.length + 1, MOST_UNITS // 2):
-            part = values[lo : lo + MOST_UNITS // 2 + u.length - 1]
-            row, a, b, d, key, ctx = marks(part, np.array([0, len(part)]), u)
-            out.append((row, a + lo, b + lo, d, key, ctx))
+        for i, j in C.steps(off, MOST_UNITS):
+            lo, hi = int(off[i]), int(off[j])
+            if hi - lo <= MOST_UNITS:
+                row, *rest = marks(units[lo:hi], off[i : j + 1] - lo, u)
+                out.append((row + i, *rest))
+            else:  # one very long row: windows by stretches
+                for at in range(lo, hi - u.length + 1, MOST_UNITS // 2):
+                    part = units[at : min(at + MOST_UNITS // 2 + u.length - 1, hi)]
+                    row, a, b, *rest = marks(part, np.array([0, len(part)]), u)
+                    out.append((row + i, a + (at - lo), b + (at - lo), *rest))
         return tuple(np.concatenate(x) for x in zip(*out, strict=True))
-    run = C.running(values)
+    values = u.values(units)
+    run, run2 = two_runs(values)
     p = np.arange(n - u.k + 1)
     grams = C.slices(run, p, p + u.k)
     v = np.full(-(-len(p) // w) * w, ~np.uint64(0))
@@ -86,156 +105,64 @@ def marks(values: np.ndarray, off: np.ndarray, u: Units):
     last = np.flatnonzero(end & inside)
     d = at[first] - first
     with np.errstate(over="ignore"):
-        ctx = C.mix(C.slices(run, first, last + u.length) + d.astype(np.uint64))
+        ctx = [C.mix(C.slices(r, first, last + u.length) + d.astype(np.uint64)) for r in (run, run2)]
     r = row[first]
-    return r, first - off[r], last - off[r], d, grams[at[first]], ctx
+    return r, first - off[r], last - off[r], d, grams[at[first]], *ctx
 
 
 def each_step(b: pa.RecordBatch, text: int, u: Units):
-    """(first row, data, off, values, unit offsets, places) by steps of a batch."""
+    """(first row, data, its offsets, units, their offsets) by steps of a batch."""
     data, off = C.text_buffer(b.column(text))
-    for i, j in C.steps(off):
+    for i, j in C.steps(off, STEP):
         d, o = data[off[i] : off[j]], off[i : j + 1] - off[i]
         yield (i, d, o, *u.split(d, o))
 
 
-def keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
-    return docs.select(row_key(key, text).alias("rk"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-
-
 def mark_rows(rows: DataFrame, u: Units) -> DataFrame:
-    """(rk, a, b, d, key, ctx, n) of all intervals. Of equal contexts in one step the first has their
-    number as ``n``, the others, which surely repeat, have 0."""
-
-    def run(batches):
-        for big in batches:
-            for at in range(0, big.num_rows, 512):
-                batch = big.slice(at, 512)
-                for i, _, _, values, off, _ in each_step(batch, 1, u):
-                    r, a, b, d, key, ctx = marks(values, off, u)
-                    n = np.zeros(len(r), np.int32)
-                    _, first, count = np.unique(ctx, return_index=True, return_counts=True)
-                    n[first] = count
-                    yield pa.RecordBatch.from_arrays([pc.take(batch.column(0), pa.array(r + i)), pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32)), pa.array(d.astype(np.int16)), pa.array(key.view(np.int64)), pa.array(ctx.view(np.int64)), pa.array(n)], names=["rk", "a", "b", "d", "key", "ctx", "n"])
-
-    return rows.mapInArrow(run, "rk binary, a int, b int, d short, key long, ctx long, n int")
-
-
-def by_counting(rows: DataFrame, u: Units) -> DataFrame:
-    """Intervals whose k-gram repeats: (rk, a, b, d, whole: its context repeats, look: its windows are
-    to be compared). One place of each repeated context stands for all of them there."""
-    all_marks = mark_rows(rows, u)
-    keys = all_marks.where("n > 0").groupBy("key").agg(F.sum("n").alias("of_key"), F.min("ctx").alias("lo"), F.max("ctx").alias("hi"))
-    keys = keys.where("of_key > 1").select("key", (F.col("lo") != F.col("hi")).alias("mixed"))
-    # what surely repeats needs no partner: it goes anywhere instead of to its, maybe hot, k-gram
-    spread = all_marks.withColumn("key", F.when(F.col("n") > 0, F.col("key")).otherwise(F.xxhash64("rk", "a")))
-    held = C.stored(spread.join(keys, "key", "left").where("n = 0 OR mixed IS NOT NULL"), "marks")
-    plain = held.where("n = 0 OR NOT mixed").select("rk", "a", "b", "d", F.lit(True).alias("whole"), F.lit(False).alias("look"))
-    mixed = held.where("n > 0 AND mixed")
-    contexts = mixed.groupBy("ctx").agg(F.sum("n").alias("of_ctx"), F.min(F.struct("rk", "a")).alias("one"))
-    looked = mixed.join(contexts, "ctx")
-    first = (F.col("one.rk") == F.col("rk")) & (F.col("one.a") == F.col("a"))
-    looked = looked.select("rk", "a", "b", "d", (F.col("of_ctx") > 1).alias("whole"), ((F.col("of_ctx") == 1) | first).alias("look"))
-    return plain.unionByName(looked)
-
-
-def with_text(rows: DataFrame, found: DataFrame, name: str) -> DataFrame:
-    """(rk, text, marks) of the rows that have any interval, stored."""
-    own = found.groupBy("rk").agg(F.collect_set(F.struct("a", "b", "d", "whole", "look")).alias("marks"))
-    return C.stored(rows.join(own, "rk"), name)
-
-
-def contexts_of(held: DataFrame, u: Units) -> DataFrame:
-    """(rk, a, d, whole, ctx) of the intervals to be looked at."""
+    """(rk, a, b, d, key, ctx, ctx2, n, others): a row for each context of a step, with the other places
+    (rk, a) where the step has it; ``n`` counts all."""
 
     def run(batches):
-        for big in batches:
-            for at in range(0, big.num_rows, 128):
-                batch = big.slice(at, 128)
-                rks, all_marks = batch.column(0).to_pylist(), batch.column(2).to_pylist()
-                out = []
-                for i, data, _, values, off, _ in each_step(batch, 1, u):
-                    source = values if u.by_word else data
-                    for r in range(len(off) - 1):
-                        for m in all_marks[i + r]:
-                            lo = int(off[r]) + m["a"]
-                            out.append((rks[i + r], m["a"], m["d"], m["whole"], source[lo : lo + m["b"] - m["a"] + u.length].tobytes()))
-                cols = list(zip(*out, strict=True)) or [[]] * 5
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.binary(), pa.int32(), pa.int16(), pa.bool_(), pa.binary()), strict=True)], names=["rk", "a", "d", "whole", "ctx"])
-
-    looked = held.select("rk", "text", F.filter("marks", lambda m: m["look"]).alias("marks")).where(F.size("marks") > 0)
-    return looked.mapInArrow(run, "rk binary, a int, d short, whole boolean, ctx binary")
-
-
-def pieces(rows: DataFrame, u: Units, width: int) -> DataFrame:
-    """From (rk, a, d, whole, ctx, from, to): runs lo..hi of up to ``width`` windows, cut by their
-    distance from the mark. ``inner`` is a hash of what all windows of such a run have in common,
-    ``outer`` of all that the run covers: no window repeats unless ``inner`` does, and all do if
-    ``outer`` does."""
-
-    def run(batches):
-        for big in batches:
-            for at in range(0, big.num_rows, 1024):
-                t = big.slice(at, 1024)
-                data, off = C.text_buffer(t.column(4))
-                values = np.frombuffer(data.tobytes(), np.uint64) if u.by_word else C.BYTE_VALUE[data]
-                off = off // 8 if u.by_word else off
-                a, d, lo, hi = (t.column(c).to_numpy().astype(np.int64) for c in (1, 2, 5, 6))
-                n = hi - lo + 1
-                row = np.repeat(np.arange(len(n)), n)
-                s = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + (lo - a)[row]
-                cell = (d[row] - s) // width
-                first = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (cell[1:] != cell[:-1])])[: len(row)])
-                last = np.append(first[1:], len(row))[: len(first)] - 1
-                r, start, end = row[first], s[first], s[last]
-                near = off[r] + d[r] - width * cell[first]
-                h = C.running(values)
-                inner, outer = C.slices(h, near, near - width + 1 + u.length), C.slices(h, off[r] + start, off[r] + end + u.length)
-                yield pa.RecordBatch.from_arrays([pc.take(t.column(0), pa.array(r)), pa.array(a[r].astype(np.int32)), pa.array((a[r] + start).astype(np.int32)), pa.array((a[r] + end).astype(np.int32)), pc.take(t.column(3), pa.array(r)), pa.array(inner.view(np.int64)), pa.array(outer.view(np.int64))], names=["rk", "a", "lo", "hi", "whole", "inner", "outer"])
-
-    return rows.select("rk", "a", "d", "whole", "ctx", "from", "to").mapInArrow(run, "rk binary, a int, lo int, hi int, whole boolean, inner long, outer long")
-
-
-def window_starts(held: DataFrame, u: Units) -> DataFrame:
-    """(rk, lo, hi): repeated windows start at lo..hi, from the intervals that had to be looked at.
-    Counted from coarse to fine: runs of windows first, then the windows of those still open."""
-    ctx = C.stored(contexts_of(held, u), "contexts")
-    size = F.octet_length("ctx") / (8 if u.by_word else 1) - u.length
-    todo = ctx.withColumn("from", F.col("a")).withColumn("to", (F.col("a") + size).cast("int"))
-    out = []
-    for width in u.widths:
-        rows = pieces(todo, u, width)
-        often = rows.groupBy("outer").agg(F.count("*").alias("n"), F.min(F.struct("rk", "lo")).alias("one"))
-        if width == 1:
-            out.append(rows.where("NOT whole").join(often.where("n > 1"), "outer").select("rk", "lo", "hi"))
-            break
-        inner = rows.groupBy("inner").agg(F.count("*").alias("k")).where("k > 1").select("inner")
-        rows = C.stored(rows.join(inner, "inner").join(often, "outer"), f"runs{width}")
-        out.append(rows.where("n > 1 AND NOT whole").select("rk", "lo", "hi"))
-        first = (F.col("one.rk") == F.col("rk")) & (F.col("one.lo") == F.col("lo"))
-        open_ = rows.where((F.col("n") == 1) | first).select("rk", "a", F.col("lo").alias("from"), F.col("hi").alias("to"), (F.col("n") > 1).alias("full"))
-        todo = ctx.join(open_, ["rk", "a"]).withColumn("whole", F.col("whole") | F.col("full"))
-    both = out[0]
-    for x in out[1:]:
-        both = both.unionByName(x)
-    return both
-
-
-def spans_of(marks_: list[dict], starts: list[dict] | None, length: int) -> list[tuple[int, int]]:
-    """Maximal ranges of units covered by repeated windows."""
-    got = [(m["a"], m["b"]) for m in marks_ if m["whole"]] + [(s["lo"], s["hi"]) for s in starts or ()]
+        for batch in batches:
+            for i, _, _, units, off in each_step(batch, 1, u):
+                r, a, b, d, key, ctx, ctx2 = marks(units, off, u)
+                _, first, group = np.unique(ctx, return_index=True, return_inverse=True)
+                odd = np.flatnonzero(ctx2 != ctx2[first][group])  # equal in the one hash only
+                group[odd] = len(first) + np.arange(len(odd))
+                first = np.concatenate([first, odd])
+                n = np.bincount(group, minlength=len(first))
+                later = np.ones(len(r), bool)
+                later[first] = False
+                later = np.flatnonzero(later)
+                later = later[np.argsort(group[later], kind="stable")]
+                rk = lambda at, r=r, i=i, batch=batch: pc.take(batch.column(0), pa.array(r[at] + i))
+                others = C.list_array(pa.StructArray.from_arrays([rk(later), pa.array(a[later].astype(np.int32))], names=["rk", "a"]), n - 1)
+                cols = [rk(first), *(pa.array(x[first].astype(np.int32)) for x in (a, b)), pa.array(d[first].astype(np.int16)), *(pa.array(x[first].view(np.int64)) for x in (key, ctx, ctx2)), pa.array(n.astype(np.int32)), others]
+                yield pa.RecordBatch.from_arrays(cols, names=["rk", "a", "b", "d", "key", "ctx", "ctx2", "n", "others"])
+
+    return C.map_arrow(rows, run, "rk binary, a int, b int, d short, key long, ctx long, ctx2 long, n int, others array<struct<rk:binary,a:int>>")
+
+
+def recurring_marks(rows: DataFrame, u: Units) -> DataFrame:
+    """Of ``mark_rows`` those whose k-gram recurs, with ``entries`` (rows of the k-gram), ``mixed`` (its
+    contexts differ), ``of_key`` (its places) and ``one`` (its least place), stored."""
+    every = mark_rows(rows, u)
+    ends = [f(c).alias(f"{f.__name__}_{c}") for c in ("ctx", "ctx2") for f in (F.min, F.max)]
+    keys = every.groupBy("key").agg(F.sum("n").alias("of_key"), F.count("*").alias("entries"), F.min(F.struct("rk", "a")).alias("one"), *ends)
+    keys = keys.where("of_key > 1").select("key", "of_key", "entries", "one", F.expr("min_ctx <> max_ctx OR min_ctx2 <> max_ctx2").alias("mixed"))
+    return C.stored(every.join(keys, "key"), "marks")
+
+
+def spans_type() -> pa.DataType:
+    return pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+
+
+def merged(ranges: list[tuple[int, int]]) -> list[list[int]]:
+    """Maximal ranges of what the given ones cover."""
     out: list[list[int]] = []
-    for a, b in sorted(got):
+    for a, b in sorted(ranges):
         if out and a <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], b + length)
+            out[-1][1] = max(out[-1][1], b)
         else:
-            out.append([a, b + length])
-    return [(a, b) for a, b in out]
-
-
-def with_starts(held: DataFrame, u: Units) -> DataFrame:
-    """(rk, text, marks, starts); rows without windows to look at don't move."""
-    starts = window_starts(held, u).groupBy("rk").agg(F.collect_set(F.struct("lo", "hi")).alias("starts"))
-    open_ = F.exists("marks", lambda m: ~m["whole"])
-    done = held.where(~open_).withColumn("starts", F.lit(None).cast("array<struct<lo:int,hi:int>>"))
-    return done.unionByName(held.where(open_).join(starts, "rk", "left"))
+            out.append([a, b])
+    return out

@@ -17,7 +17,8 @@ def awkward(spark, extra=()):
     one = docs.where("doc_id = 3").first()["text"]
     rows = [(9001, None, "en", "s", None), (9002, "", "en", "s", 0), (9003, " \t\n ", None, None, 3), (9004, long_, "en", "s", 1), (9005, one, "en", "s", 2), (9006, one.upper(), "fr", "s", 2), (None, "no id " * 20, "en", "s", 2), (9007, "Ünïcödé 日本語 \U0001f600 " * 60, "en", "s", 2), *extra]
     out = docs.unionByName(spark.createDataFrame(rows, SCHEMA)).unionByName(docs.where("doc_id = 5"))
-    return out.withColumns({"n_words": F.lit("mine"), "score": F.lit("mine"), "n_tokens": F.lit(-1)})
+    clash = ("n_words", "score", "kept", "rk", "raw", "class", "computed", "found", "predicted")
+    return out.withColumns({c: F.lit("mine") for c in clash}).withColumn("n_tokens", F.lit(-1))
 
 
 def texts(df):

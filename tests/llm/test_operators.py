@@ -158,11 +158,18 @@ def test_substring_dedup(spark):
     for r in named:
         n, kept = want[r.doc_id, r.text]
         assert (r.n_removed or 0) == n and (r.kept is None or r.kept == kept)
-    assert phrases.dedup(docs).columns == docs.columns and phrases.dedup(docs.limit(0)).count() == 0
-
-
-def test_suffix_dedup(spark):
-    docs = X.awkward(spark).where("doc_id IS NULL OR doc_id <> 9004")
+    cut = phrases.dedup(docs)
+    assert cut.columns == docs.columns and phrases.dedup(docs.limit(0)).count() == 0
+    assert cut.select("kept", "rk", "score").distinct().collect() == [("mine", "mine", "mine")]
+
+
+@pytest.mark.parametrize("hot", [suffixes.HOT, 1])
+def test_suffix_dedup(spark, monkeypatch, hot):
+    monkeypatch.setattr(suffixes, "HOT", hot)  # 1: all marks with differing contexts go by cells and windows
+    monkeypatch.setattr(suffixes, "RUN", 3000)
+    line = "a line of over forty bytes that very many texts have in common, "
+    docs = X.awkward(spark, [(9300 + i, f"{i * i} " * (i % 7 + 30) + line + f"{i % 9} and {i // 9} " * 40 + line * (i % 5), "en", "s", 1) for i in range(90)])
+    docs = docs.where("doc_id IS NULL OR doc_id <> 9004")
     pairs = X.texts(docs)
     raw = [(t or "").encode() for _, t in pairs]
     want = {}
@@ -171,8 +178,7 @@ def test_suffix_dedup(spark):
         want[i, t] = (sum(c), spans, bytes(b for b, y in zip(x, c, strict=True) if not y))
     from tessera.llm.repeats import row_key
 
-    rk = F.substring(row_key("doc_id", "text"), 1, suffixes.KEY)
-    named = docs.select("doc_id", "text", rk.alias("rk")).join(suffixes.removed(docs).dropDuplicates(["rk"]), "rk", "left").collect()
+    named = docs.select("doc_id", "text", row_key("doc_id", "text").alias("rk")).join(suffixes.removed(docs).dropDuplicates(["rk"]), "rk", "left").collect()
     assert sum(r.n_removed or 0 for r in named) > 0 and len(named) == len(pairs)
     for r in named:
         n, spans, kept = want[r.doc_id, r.text]
@@ -180,15 +186,29 @@ def test_suffix_dedup(spark):
     assert suffixes.removed(docs.limit(0)).count() == 0
 
 
+def _entries(r, n, width):
+    """Entries in order, of distinct suffixes over two letters."""
+    return [(x.tobytes(), b"", bytes(16), i, 0, 0, 1) for i, x in enumerate(np.unique(r.integers(97, 99, (n, width), dtype=np.uint8), axis=0))]
+
+
 def test_loser_tree_merges_in_order():
     r = np.random.default_rng(5)
-    rows = [np.unique(r.integers(97, 99, (n, 12), dtype=np.uint8), axis=0) for n in (1, 50, 300, 7)]
-    runs = [suffixes.Run(suffixes.pack(x, np.zeros(len(x), suffixes.PLACE))) for x in rows]
-    out = list(suffixes.merge(runs))
-    texts = [s for s, *_ in out]
-    assert texts == sorted(x.tobytes() for x in np.concatenate(rows))
-    for (a, *_), (b, common, *_) in zip(out, out[1:], strict=False):
-        assert common == next((i for i in range(12) if a[i] != b[i]), 12)
+    rows = [sorted(_entries(r, n, 12) + _entries(r, n, 9)) for n in (1, 50, 300, 7)]
+    out = list(suffixes.merge([suffixes.Run(suffixes.pack(x)) for x in rows]))
+    texts = [e[0] for e, _ in out]
+    assert texts == sorted(e[0] for x in rows for e in x)
+    for (a, _), (b, common) in zip(out, out[1:], strict=False):
+        assert common == suffixes.lcp(a[0], b[0], 0)
+    whole = list(suffixes.joined(iter(out)))
+    assert [e[0] for e, _, twin in whole if twin is None] == sorted(set(texts)) and len(whole) == len(out)
+
+
+def test_runs_are_merged_in_levels(spark):
+    r = np.random.default_rng(6)
+    blobs = [(0, 40, False, suffixes.pack([(b"x" * 39 + b"%04d" % j + b"y" * 157, b"z" * 10, bytes([i]) * 16, 10, 0, 10, 1) for j in sorted(r.choice(400, 9, replace=False))])) for i in range(40)]
+    runs = spark.createDataFrame(blobs, suffixes.BLOBS)
+    got = [sorted(map(tuple, suffixes.recurring_windows(runs, 200, fan).collect())) for fan in (256, 4)]
+    assert got[0] == got[1] and got[0]
 
 
 def test_hmm_base_score_and_counts(spark):
