@@ -3,7 +3,7 @@
 The encoder cuts a payload into blocks of 1,024 samples (byte - 128), takes for each block the
 cheapest of the fixed predictors of order 0 and 1 and a fitted linear predictor of order 2, and
 writes its residual in Rice codes, a constant or plain samples where that is shorter, with a seek
-table of every block.
+point at every ``SEEK_EVERY``-th block.
 
 The decoder takes streams of any encoder: 4 to 24 bits, 1 to 8 channels, left/side, side/right and
 mid/side stereo, fixed predictors up to order 4 and linear ones up to order 32, both Rice methods
@@ -36,7 +36,8 @@ RATE = 8000
 #: Bits of a linear predictor's coefficients, and by how much they are shifted.
 PRECISION, SHIFT = 8, 6
 #: Payload bytes that are handled together, and blocks that are coded in step.
-BATCH_BYTES, CHUNK = 1 << 20, 512
+BATCH_BYTES, CHUNK = 1 << 20, 1024
+SEEK_EVERY = 8
 
 
 def _crc_table(poly: int, bits: int) -> np.ndarray:
@@ -160,6 +161,10 @@ def _encode_blocks(data: np.ndarray, number: np.ndarray, size: np.ndarray) -> tu
     mean = z.sum(1) / np.maximum(1, size)
     k = np.clip(np.floor(np.log2(np.maximum(mean, 1))), 0, 14).astype(np.int32)
     k = np.maximum(k, np.ceil(np.log2((z.max(1) + 1) / 24.0)).clip(0)).astype(np.int32)  # quotients stay short
+    # of the parameter that the mean suggests and its neighbours the one that takes least bits
+    bits_of = np.array([(z >> np.maximum(k + j, 0)[:, None]).sum(1) + np.maximum(k + j, 0) * size for j in (-1, 0, 1)])
+    k = np.clip(k + bits_of.argmin(0) - 1, 0, 14).astype(np.int32)
+    k = np.maximum(k, np.ceil(np.log2((z.max(1) + 1) / 24.0)).clip(0)).astype(np.int32)
     q = z >> k[:, None]
     coded = inside & (np.arange(BLOCK) >= order[:, None])
     length = np.where(coded, q + 1 + k[:, None], 0)
@@ -220,7 +225,7 @@ def _stream(payload: bytes, frames: list[int], sizes: list[int], body: bytes = b
     at = np.cumsum([0, *frames[:-1]]) if frames else np.zeros(0, np.int64)
     points = np.zeros(len(frames), [("sample", ">u8"), ("offset", ">u8"), ("n", ">u2")])
     points["sample"], points["offset"], points["n"] = np.arange(len(frames)) * BLOCK, at, sizes
-    seek = points.tobytes()
+    seek = points[::SEEK_EVERY].tobytes()
     return b"fLaC" + b"\x00" + len(info).to_bytes(3, "big") + info + b"\x83" + len(seek).to_bytes(3, "big") + seek + body
 
 
@@ -347,24 +352,23 @@ def decode_many(streams: list[bytes]) -> tuple[list[bytes], list[list[tuple[int,
 
 
 def samples_at(stream: bytes, first: int, count: int) -> np.ndarray:
-    """Samples ``first`` to ``first + count``, decoding only the blocks that hold them: the seek table
-    names these, or without one the frames' headers."""
+    """Samples ``first`` to ``first + count``, reading only from the last seek point before them on, and
+    decoding only the blocks that hold them."""
     info, at = _metadata(stream)
-    points = [(sample, at + offset) for sample, offset, _ in info["seek"]] or [(f[0], f[4]) for f in _frames(stream)[0]]
-    ends = [*(p for _, p in points[1:]), len(stream)]
-    after = [*(x for x, _ in points[1:]), 2**63]
-    need = [(h, e) for (sample, h), e, nxt in zip(points, ends, after, strict=True) if sample < first + count and nxt > first]
-    heads = [_read_header(stream, h, info) for h, _ in need]
-    if not need or None in heads:
+    points = [(sample, at + offset) for sample, offset, _ in info["seek"]]
+    start = max((h for sample, h in points if sample <= first), default=at)
+    stop = min((h for sample, h in points if sample >= first + count and h > start), default=len(stream))
+    frames, _ = _frames(stream[:at] + stream[start:stop])
+    need = [f for f in frames if f[0] < first + count and f[0] + f[1] > first]
+    if not need:
         return np.zeros((0, info["channels"]), np.int64)
-    data = stream[need[0][0] : need[-1][1]]
-    raw, lo = np.frombuffer(data, np.uint8), need[0][0]
-    if _crc_fails(raw, np.array([h - lo for h, _ in need]), np.array([e - lo for _, e in need])).any():
+    raw = np.frombuffer(stream[:at] + stream[start:stop], np.uint8)
+    f = np.array(need, np.int64)
+    if _crc_fails(raw, f[:, 4], f[:, 6]).any():
         raise ValueError("CRC-16 of a frame")
-    f = np.array(heads, np.int64)
-    pcm = _decode_blocks(data, f[:, 1], f[:, 2], f[:, 3], f[:, 4] - lo)
-    pcm = np.concatenate([x[: h[1], : info["channels"]] for x, h in zip(pcm, heads, strict=True)])
-    skip = first - heads[0][0]
+    pcm = _decode_blocks(raw.tobytes(), f[:, 1], f[:, 2], f[:, 3], f[:, 5])
+    pcm = np.concatenate([x[: h[1], : info["channels"]] for x, h in zip(pcm, need, strict=True)])
+    skip = max(0, first - need[0][0])
     return pcm[skip : skip + count]
 
 

@@ -146,6 +146,131 @@ def test_flac_round_trip(spark):
     assert (np.frombuffer(whole, np.uint8) + np.uint8(128)).tobytes() == bytes(next(x.raw for x in back if x.doc_id == 9004))
 
 
+class Writer:
+    """Bits of a FLAC stream, written one field at a time."""
+
+    def __init__(self):
+        self.bits = []
+
+    def put(self, value, width):
+        self.bits += [value >> (width - 1 - i) & 1 for i in range(width)]
+        return self
+
+    def rice(self, x, k):
+        z = 2 * x if x >= 0 else -2 * x - 1
+        self.bits += [0] * (z >> k) + [1]
+        return self.put(z & ((1 << k) - 1), k)
+
+    def bytes(self):
+        self.bits += [0] * (-len(self.bits) % 8)
+        return np.packbits(self.bits).tobytes()
+
+
+def bitwise_crc(data, poly, width):
+    c = 0
+    for byte in data:
+        c ^= byte << (width - 8)
+        for _ in range(8):
+            c = (c << 1 ^ (poly if c >> (width - 1) & 1 else 0)) & ((1 << width) - 1)
+    return c
+
+
+def foreign_stream(channels, bits, frames, seektable=b""):
+    """Frames are (assignment, number, size, [function that writes a subframe]); the samples are given."""
+    info = bytes.fromhex("00100010000000000000") + ((8000 << 44) | (channels - 1) << 41 | (bits - 1) << 36 | sum(f[2] for f in frames)).to_bytes(8, "big") + bytes(16)
+    out = b"fLaC" + b"\x80" + len(info).to_bytes(3, "big") + info
+    for assigned, number, size, write in frames:
+        head = b"\xff\xf8" + bytes([0x70 | 4, assigned << 4]) + bytes([number]) + (size - 1).to_bytes(2, "big")
+        head += bytes([bitwise_crc(head, 7, 8)])
+        w = Writer()
+        for f in write:
+            f(w)
+        frame = head + w.bytes()
+        out += frame + bitwise_crc(frame, 0x8005, 16).to_bytes(2, "big")
+    return out
+
+
+def test_flac_reads_streams_of_other_encoders():
+    r = np.random.default_rng(3)
+    x = np.cumsum(r.integers(-40, 40, 16))  # 16 samples, 16 bits
+    y = x + r.integers(-5, 6, 16)
+
+    def signed(w, v, n):
+        w.put(int(v) & ((1 << n) - 1), n)
+
+    def lpc(v, order, coef, shift, n, partitions, method=0, escape=False, wasted=0):
+        """A linear predictor's subframe with its residual."""
+
+        def write(w):
+            w.put(0, 1).put(31 + order, 6).put(int(wasted > 0), 1)
+            if wasted:
+                w.put(1, wasted)
+            u, width = [int(a) >> wasted for a in v], n - wasted
+            for a in u[:order]:
+                signed(w, a, width)
+            w.put(14, 4).put(shift, 5)
+            for c in coef:
+                signed(w, c, 15)
+            res = [u[i] - (sum(c * u[i - 1 - j] for j, c in enumerate(coef)) >> shift) for i in range(order, len(u))]
+            w.put(method, 2).put(partitions, 4)
+            per = len(u) >> partitions
+            for q in range(1 << partitions):
+                own = res[max(0, q * per - order) : (q + 1) * per - order]
+                if escape and q % 2 == 0:
+                    w.put((1 << (4 + method)) - 1, 4 + method).put(20, 5)
+                    for e in own:
+                        signed(w, e, 20)
+                else:
+                    w.put(3, 4 + method)
+                    for e in own:
+                        w.rice(e, 3)
+
+        return write
+
+    def fixed(v, order, n):
+        def write(w):
+            w.put(0, 1).put(8 + order, 6).put(0, 1)
+            for a in v[:order]:
+                signed(w, a, n)
+            w.put(0, 2).put(0, 4).put(2, 4)
+            for e in np.diff(v, order):
+                w.rice(int(e), 2)
+
+        return write
+
+    def plain(v, n):
+        return lambda w: [w.put(2, 8), *(signed(w, a, n) for a in v)]
+
+    def constant(a, n):
+        return lambda w: (w.put(0, 8), signed(w, a, n))
+
+    cases = [
+        (1, [(0, 0, 16, [lpc(x, 8, [3000, -700, 30, 5, -9, 2, 1, 1], 12, 16, 0)])], [x]),
+        (1, [(0, 0, 16, [lpc(x, 2, [3, -1], 1, 16, 2, method=1, escape=True)]), (0, 1, 16, [fixed(y, 4, 16)])], [np.concatenate([x, y])]),
+        (1, [(0, 0, 16, [lpc(x * 4, 3, [3, -3, 1], 0, 16, 1, wasted=2)])], [x * 4]),
+        (2, [(1, 0, 16, [plain(x, 16), fixed(y, 3, 16)])], [x, y]),
+        (2, [(8, 0, 16, [fixed(x, 1, 16), fixed(x - y, 2, 17)])], [x, y]),
+        (2, [(9, 0, 16, [fixed(x - y, 0, 17), fixed(y, 2, 16)])], [x, y]),
+        (2, [(10, 0, 16, [fixed((x + y) >> 1, 2, 16), fixed(x - y, 0, 17)]), (1, 1, 16, [constant(-7, 16), constant(9, 16)])], [np.concatenate([x, [-7] * 16]), np.concatenate([y, [9] * 16])]),
+    ]
+    for channels, frames, want in cases:
+        s = foreign_stream(channels, 16, frames)
+        [(pcm, info, where)] = flac.decode_pcm([s])
+        assert info["bits"] == 16 and pcm.T.tolist() == [list(map(int, w)) for w in want] and len(where) == len(frames)
+        hurt = bytearray(s)
+        hurt[-3] ^= 4
+        with pytest.raises(ValueError):
+            flac.decode_pcm([bytes(hurt)])
+
+
+def test_flac_seeks():
+    r = np.random.default_rng(4)
+    data = r.integers(90, 122, 40_000, dtype=np.uint8)
+    [stream] = flac.encode_many([data.tobytes()])
+    for first, count in ((0, 5), (1023, 2), (9000, 3000), (39_990, 100), (50_000, 3)):
+        assert (flac.samples_at(stream, first, count)[:, 0] + 128).tolist() == data[first : first + count].tolist()
+
+
 def test_substring_dedup(spark):
     docs = X.awkward(spark)
     pairs = X.texts(docs)
