@@ -1,25 +1,27 @@
 """LM scoring with a hidden Markov model.
 
 Tokens are lower-cased (A-Z) words ``[^\\x20\\x09-\\x0D]+`` and one end. The model has ``STATES``
-latent states that emit classes: each of the most frequent tokens is a class of its own, the others
-fall in ``BUCKETS`` classes by hash, and within a class a token has its smoothed share of the
-class's count. Baum-Welch runs over all training tokens, in stretches of ``STRETCH``; each task gives
-its expected counts and Spark adds them up. Scoring is exact: a stretch becomes the product of its
-scaled transition-emission matrices, and a text the product of its stretches.
+latent states that emit classes: each of the ``HEAD`` most frequent tokens is a class of its own, the
+others fall in ``BUCKETS`` classes by hash, and within a class a token has its smoothed share of the
+class's count, which is gathered for every token of the corpus. Baum-Welch runs over all training
+tokens; each task gives its expected counts and Spark adds them up. A long text is worked on in
+stretches of ``STRETCH``: the scaled product of a stretch's transition-emission matrices carries the
+forward and backward vectors from one to the next, so training and scoring are exact for whole texts.
 
 Counts of rare tokens reach the documents by a join, those of the ``KNOWN`` most frequent ones by
-broadcast, so neither the vocabulary nor a hot word is ever in one place.
+broadcast (a histogram of counts says from which count on), so neither the vocabulary nor a hot word
+is ever in one place.
 
 Defined results: null and empty texts are just the end token; without training rows all counts are
 0 and the model is uniform over the classes; repeated rows get equal scores; rows are told apart
-by an own number, so repeated or null ids stay apart.
+by an own number, so repeated or null ids stay apart; ``score`` returns the columns of ``keep`` and its
+own, which mustn't clash; a very long text is tokenised and trained on in steps.
 """
 
 from __future__ import annotations
 
 import math
 import zlib
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -31,43 +33,58 @@ from pyspark.sql import types as T
 from . import common as C
 from .language import bucket
 
-STATES, HEAD, BUCKETS, STRETCH, ROUNDS = 6, 2000, 64, 256, 6
-#: Tokens whose counts are broadcast, a few MB.
+STATES, HEAD, BUCKETS, STRETCH, ROUNDS = 6, 16_000, 64, 1024, 6
+#: Tokens whose counts are broadcast, at most: a few MB.
 KNOWN = 50_000
-#: Distinct words a task counts before it passes them on.
-FLUSH = 200_000
+#: Distinct words a task counts before it passes them on; tokens of one step of the recursions.
+FLUSH, STEP_TOKENS = 200_000, 1 << 18
 SMOOTH = 0.1
 END = b""
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[0x41:0x5B] += 32
 
 
-def tokens_of(b: pa.RecordBatch, text: str):
-    """The words of each row, as lists of bytes (bytes.split() cuts at just these characters)."""
-    data, off = C.text_buffer(b.column(b.schema.get_field_index(text)))
-    raw, o = data.tobytes().lower(), off.tolist()
-    for i, j in zip(o, o[1:], strict=False):
-        yield raw[i:j].split()
+def tokens_of(col: pa.Array):
+    """By steps of a column: the first row, all its words (without ends), and the rows' offsets in them."""
+    data, off = C.text_buffer(col)
+    for i, j in C.steps(off):
+        low = LOWER[data[off[i] : off[j]]]
+        s, e, wo = C.words(low, off[i : j + 1] - off[i], C.SPACE)
+        ends = np.concatenate([[0], np.cumsum(e - s)]).astype(np.int64)
+        words = pa.Array.from_buffers(pa.large_binary(), len(s), [None, pa.py_buffer(ends), pa.py_buffer(low[C.SPACE[low]])])
+        yield i, words, wo
 
 
 def count_tokens(docs: DataFrame, text: str) -> DataFrame:
     """(token, c) over all rows; the end token is the empty string."""
 
     def run(batches):
-        held: Counter = Counter()
+        held: list[pa.Table] = []
+        rows = size = 0
 
-        def rows():
-            out = pa.RecordBatch.from_arrays([pa.array(list(held.keys()), pa.binary()), pa.array(list(held.values()), pa.int64())], names=["token", "c"])
-            held.clear()
-            return out
+        def add_up() -> pa.Table:
+            got = pa.concat_tables(held).group_by("token").aggregate([("c", "sum")])
+            return pa.table([got.column("token").cast(pa.binary()), got.column("c_sum")], names=["token", "c"])
 
         for b in batches:
-            for w in tokens_of(b, text):
-                held.update(w)
-                held[END] += 1
-                if len(held) > FLUSH:
-                    yield rows()
-        yield rows()
-
-    return docs.select(text).mapInArrow(run, "token binary, c long").groupBy("token").agg(F.sum("c").alias("c"))
+            rows += b.num_rows
+            for _, words, _ in tokens_of(b.column(0)):
+                got = words.value_counts()
+                held.append(pa.table([got.field(0), got.field(1)], names=["token", "c"]))
+                size += len(got)
+                if size > FLUSH:
+                    all_ = add_up()
+                    if all_.num_rows > FLUSH // 2:
+                        yield from all_.to_batches(max_chunksize=20_000)
+                        held, size = [], 0
+                    else:
+                        held, size = [all_.cast(held[0].schema)], all_.num_rows
+        if held:
+            yield from add_up().to_batches(max_chunksize=20_000)
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array([END], pa.binary()), pa.array([rows], pa.int64())], names=["token", "c"])
+
+    return C.map_arrow(docs.select(text), run, "token binary, c long").groupBy("token").agg(F.sum("c").alias("c"))
 
 
 def tail_class(token: Column) -> Column:
@@ -75,60 +92,52 @@ def tail_class(token: Column) -> Column:
 
 
 class Vocabulary:
-    """What a worker knows of the tokens: classes, and the counts of the KNOWN most frequent."""
+    """What a worker knows of the tokens: classes, and the counts of the most frequent."""
 
     def __init__(self, top: list[tuple[bytes, int]], total: int, distinct: int, sums: dict[int, tuple[int, int]]) -> None:
+        """``top``: in falling order of counts, the end token first; ``sums`` of each bucket without the head."""
         self.n, self.v = total, distinct
-        self.top = {bytes(t): c for t, c in top}
-        head = [t for t in self.top if t != END][:HEAD]
-        self.head = {END: 0, **{t: i + 1 for i, t in enumerate(head)}}
-        self.first_bucket = len(self.head)
+        self.tokens = pa.array([t for t, _ in top], pa.large_binary())
+        c = np.array([c for _, c in top], np.int64)
+        self.first_bucket = min(len(top), HEAD + 1)
         self.classes = self.first_bucket + BUCKETS
         #: of each bucket: log10 of the smoothed count of its tokens, one unseen included
-        self.bucket_log = [math.log10(s + SMOOTH * (d + 1)) for s, d in (sums.get(i, (0, 0)) for i in range(BUCKETS))]
+        self.bucket_log = np.array([math.log10(s + SMOOTH * (d + 1)) for s, d in (sums.get(i, (0, 0)) for i in range(BUCKETS))])
         self.class_counts = np.full(self.classes, SMOOTH)
-        for t, i in self.head.items():
-            self.class_counts[i] += self.top.get(t, 0)
+        self.class_counts[: self.first_bucket] += c[: self.first_bucket]
         for i, (s, _) in sums.items():
             self.class_counts[self.first_bucket + i] += s
-
-
-class _Lookup(dict):
-    """(class, log10(c + 0.1), log10 share in the class, known) of a token, made when first asked for."""
-
-    def __init__(self, v: Vocabulary) -> None:
-        self.v = v
-
-    def __missing__(self, token: bytes):
-        v = self.v
-        c = v.top.get(token)
-        if token in v.head:
-            got = (v.head[token], math.log10((c or 0) + SMOOTH), 0.0, int(c is not None))
-        else:
-            k = zlib.crc32(token) % BUCKETS
-            if c is None:
-                got = (v.first_bucket + k, 0.0, -v.bucket_log[k], -1)  # the join brings the rest
-            else:
-                a = math.log10(c + SMOOTH)
-                got = (v.first_bucket + k, a, a - v.bucket_log[k], 1)
-        if len(self) > 300_000:
-            self.clear()
-        self[token] = got
-        return got
+        #: of each token of ``top``: class, log10(c + 0.1), log10 of its share in the class
+        self.cls = np.arange(len(top))
+        self.log_c = np.log10(c + SMOOTH)
+        self.log_share = np.zeros(len(top))
+        for i in range(self.first_bucket, len(top)):
+            k = zlib.crc32(top[i][0]) % BUCKETS
+            self.cls[i] = self.first_bucket + k
+            self.log_share[i] = self.log_c[i] - self.bucket_log[k]
+        self.end_known = int(c[0] > 0)
 
 
 def vocabulary(counts: DataFrame) -> Vocabulary:
     total = counts.agg(F.sum("c"), F.count("*")).first()
-    top = [(r[0], r[1]) for r in counts.orderBy(F.desc("c"), "token").limit(KNOWN).collect()]
-    # the end token may be rare in a small table of long texts, but it is always a class
-    top += [(r[0], r[1]) for r in counts.where(F.octet_length("token") == 0).collect() if all(t != END for t, _ in top)]
-    head = [(bytes(t), c) for t, c in top if bytes(t) != END][:HEAD]
-    sums = {r[0]: [r[1], r[2]] for r in counts.where(F.octet_length("token") > 0).groupBy(tail_class(F.col("token"))).agg(F.sum("c"), F.count("*")).collect()}
-    for t, c in head:  # head tokens aren't in the buckets
+    words = counts.where(F.octet_length("token") > 0)
+    # from which count on there are KNOWN words at most: by a histogram of a few hundred cells
+    cell = F.floor(8 * F.log2("c"))
+    least, seen = math.inf, 0
+    for k, n in sorted(((r[0], r[1]) for r in words.groupBy(cell).count().collect()), reverse=True):
+        seen += n
+        if seen > KNOWN:
+            break
+        least = k
+    top = [] if least == math.inf else [(bytes(r[0]), r[1]) for r in words.where(cell >= int(least)).collect()]
+    top.sort(key=lambda r: (-r[1], r[0]))
+    end = counts.where(F.octet_length("token") == 0).agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
+    sums = {r[0]: [r[1], r[2]] for r in words.groupBy(tail_class(F.col("token"))).agg(F.sum("c"), F.count("*")).collect()}
+    for t, c in top[:HEAD]:  # head tokens aren't in the buckets
         k = zlib.crc32(t) % BUCKETS
         sums[k][0] -= c
         sums[k][1] -= 1
-    return Vocabulary(top, total[0] or 0, total[1] or 0, {k: tuple(v) for k, v in sums.items()})
+    return Vocabulary([(END, end), *top], total[0] or 0, total[1] or 0, {k: tuple(v) for k, v in sums.items()})
 
 
 def prepare(docs: DataFrame, v: Vocabulary, *, text: str, keep: list[str]) -> DataFrame:
@@ -138,32 +147,40 @@ def prepare(docs: DataFrame, v: Vocabulary, *, text: str, keep: list[str]) -> Da
     fields = [T.StructField("classes", T.ArrayType(T.ShortType())), T.StructField("log_c", T.DoubleType()), T.StructField("log_share", T.DoubleType()), T.StructField("known", T.LongType()), T.StructField("tail", tail)]
 
     def make():
-        look = _Lookup(held.value)
-        end = look[END]
-
-        def f(b: pa.RecordBatch) -> list[pa.Array]:
-            classes, sizes, log_c, log_share, known, rare, freq, rares = [], [], [], [], [], [], [], []
-            for w in tokens_of(b, text):
-                got = list(map(look.__getitem__, w))
-                got.append(end)
-                k, c, s, n = zip(*got, strict=True)
-                classes.append(np.array(k, np.int16))
-                sizes.append(len(k))
-                log_c.append(math.fsum(c))
-                log_share.append(math.fsum(s))
-                n = np.array(n, np.int8)
-                known.append(int((n > 0).sum()))
-                tail = Counter([w[i] for i in np.flatnonzero(n < 0).tolist()])
-                rare += tail.keys()
-                freq += tail.values()
-                rares.append(len(tail))
-            struct = pa.StructArray.from_arrays([pa.array(rare, pa.binary()), pa.array(freq, pa.int32())], names=["token", "tf"])
-            return [C.list_array(pa.array(np.concatenate(classes or [np.zeros(0, np.int16)])), np.array(sizes, np.int64)), pa.array(log_c), pa.array(log_share), pa.array(known, pa.int64()), C.list_array(struct, np.array(rares, np.int64))]
+        v = held.value
+
+        def f(col: pa.Array) -> list[pa.Array]:
+            parts = []
+            for _, words, off in tokens_of(col):
+                n = len(off) - 1
+                coded = words.dictionary_encode()
+                code, distinct = coded.indices.to_numpy().astype(np.int64), coded.dictionary
+                at = pc.fill_null(pc.index_in(distinct, value_set=v.tokens), -1).to_numpy()
+                rare = np.flatnonzero(at < 0)
+                k = np.array([zlib.crc32(t) % BUCKETS for t in distinct.take(pa.array(rare)).to_pylist()], np.int64)
+                cls, log_c, share = v.cls[at], v.log_c[at], v.log_share[at]
+                cls[rare], log_c[rare], share[rare] = v.first_bucket + k, 0, -v.bucket_log[k]
+                row = np.repeat(np.arange(n), np.diff(off))
+                classes = np.zeros(len(code) + n, np.int16)  # the end token is class 0
+                classes[np.arange(len(code)) + row] = cls[code]
+                own = at[code] < 0
+                pair, tf = np.unique(row[own] * len(distinct) + code[own], return_counts=True)
+                struct = pa.StructArray.from_arrays([distinct.take(pa.array(pair % max(1, len(distinct)))).cast(pa.binary()), pa.array(tf.astype(np.int32))], names=["token", "tf"])
+                parts.append([
+                    C.list_array(pa.array(classes), np.diff(off) + 1),
+                    *(pa.array(np.bincount(row, x[code], n) + end) for x, end in ((log_c, v.log_c[0]), (share, 0.0))),
+                    pa.array(np.bincount(row, ~own, n).astype(np.int64) + v.end_known),
+                    C.list_array(struct, np.bincount(pair // max(1, len(distinct)), minlength=n)),
+                ])
+            if not parts:
+                kinds = (pa.list_(pa.int16()), pa.float64(), pa.float64(), pa.int64(), pa.list_(pa.struct([("token", pa.binary()), ("tf", pa.int32())])))
+                return [pa.array([], t) for t in kinds]
+            return [pa.concat_arrays(x) for x in zip(*parts, strict=True)]
 
         return f
 
     rows = docs.select(*keep, text).withColumn("row", F.monotonically_increasing_id())
-    return C.with_arrow(rows, fields, make, 256).drop(text)
+    return C.with_arrow(rows, text, fields, make).drop(text)
 
 
 class Params:
@@ -179,12 +196,6 @@ class Params:
         move = r.uniform(0.5, 1.5, (STATES, STATES)) + 8 * STATES * np.eye(STATES)  # texts keep to a state at first
         return Params(np.full(STATES, 1 / STATES), move / move.sum(1, keepdims=True), emit / emit.sum(0))
 
-    def stationary(self) -> np.ndarray:
-        p = np.full(STATES, 1 / STATES)
-        for _ in range(50):
-            p = p @ self.move
-        return p
-
     @staticmethod
     def updated(flat: np.ndarray, classes: int) -> Params:
         s, m = STATES, STATES * STATES
@@ -206,23 +217,68 @@ def stretches(flat: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return flat[at], size, row, number
 
 
+def _products(x: np.ndarray, size: np.ndarray, number: np.ndarray, p: Params) -> tuple[np.ndarray, np.ndarray]:
+    """The product of each stretch's transition-emission matrices, scaled, and the log10 of the scale."""
+    steps, n = x.shape[1], len(x)
+    running = np.searchsorted(-size, -np.arange(steps), "left")
+    mat = np.zeros((n, STATES, STATES))
+    log = np.zeros(n)
+    for t in range(steps):
+        m = running[t]
+        e = p.emit[x[:m, t]]
+        if t == 0:  # a text's first token has no move before it
+            mat[:] = np.where((number == 0)[:, None, None], np.eye(STATES), p.move) * e[:, None, :]
+        else:
+            mat[:m] = (mat[:m].reshape(-1, STATES) @ p.move).reshape(m, STATES, STATES) * e[:, None, :]
+        s = mat[:m].sum((1, 2))
+        mat[:m] /= s[:, None, None]
+        log[:m] += np.log10(s)
+    return mat, log
+
+
+def _by_number(number: np.ndarray):
+    """The stretches that are first in their texts, then those that are second, ..."""
+    order = np.argsort(number, kind="stable")
+    cut = np.searchsorted(number[order], np.arange(int(number.max()) + 2))
+    return [order[cut[i] : cut[i + 1]] for i in range(len(cut) - 1)]
+
+
 def expected_counts(flat: np.ndarray, off: np.ndarray, p: Params) -> np.ndarray:
-    """Forward-backward over each stretch: expected starts, moves and emissions, flattened."""
-    x, size, _, number = stretches(flat, off)
+    """Forward-backward over each row: expected starts, moves and emissions, flattened."""
+    x, size, row, number = stretches(flat, off)
     steps, n = x.shape[1], len(x)
+    before = np.tile(p.start, (n, 1))  # the forward vector before a stretch, and the backward one after it
+    after = np.ones((n, STATES))
+    several = np.flatnonzero(np.bincount(row)[row] > 1)
+    if len(several):
+        mat, _ = _products(x[several], size[several], number[several], p)
+        groups = _by_number(number[several])
+        v, at = np.tile(p.start, (len(off) - 1, 1)), row[several]
+        for some in groups:
+            before[several[some]] = v[at[some]]
+            new = np.einsum("ij,ijk->ik", v[at[some]], mat[some])
+            v[at[some]] = new / new.sum(1, keepdims=True)
+        v[:] = 1
+        for some in reversed(groups):
+            after[several[some]] = v[at[some]]
+            new = np.einsum("ijk,ik->ij", mat[some], v[at[some]])
+            v[at[some]] = new / new.sum(1, keepdims=True)
     emit, move = p.emit.astype(np.float32), p.move.astype(np.float32)
     e = emit[x.T]  # step, stretch, state
     running = np.searchsorted(-size, -np.arange(steps), "left")
     alpha = np.zeros((steps, n, STATES), np.float32)
     scale = np.ones((steps, n, 1), np.float32)
-    a = np.where((number == 0)[:, None], p.start, p.stationary()).astype(np.float32)
+    later = number > 0
+    before = before.astype(np.float32)
+    a = np.where(later[:, None], before @ move, before)
     for t in range(steps):
         m = running[t]
         a = (a[:m] if t == 0 else a[:m] @ move) * e[t, :m]
         scale[t, :m] = s = np.maximum(a.sum(1, keepdims=True), 1e-30)
         a = a / s
         alpha[t, :m] = a
-    beta = np.ones((n, STATES), np.float32)
+    beta = after.astype(np.float32)
+    beta /= (alpha[size - 1, np.arange(n)] * beta).sum(1, keepdims=True)
     moved = np.zeros((STATES, STATES))
     for t in range(steps - 1, -1, -1):
         m = running[t]
@@ -231,37 +287,23 @@ def expected_counts(flat: np.ndarray, off: np.ndarray, p: Params) -> np.ndarray:
             eb = e[t + 1, :k] * beta[:k] / scale[t + 1, :k]
             moved += alpha[t, :k].T @ eb
             beta[:k] = eb @ move.T
+        if t == 0:  # the moves into a stretch from the one before
+            moved += before[later].T @ (e[0, later] * beta[later] / scale[0, later])
         alpha[t, :m] *= beta[:m]
     moved *= p.move
     inside = np.arange(steps)[:, None] < size
     gamma, cls = alpha[inside], x.T[inside]
     emitted = np.stack([np.bincount(cls, weights=gamma[:, k], minlength=len(p.emit)) for k in range(STATES)], 1)
-    return np.concatenate([alpha[0, number == 0].sum(0, dtype=np.float64), moved.ravel(), emitted.ravel()])
+    return np.concatenate([alpha[0, ~later].sum(0, dtype=np.float64), moved.ravel(), emitted.ravel()])
 
 
 def log10_likelihood(flat: np.ndarray, off: np.ndarray, p: Params) -> np.ndarray:
     """Exact log10 probability of each row's classes."""
     x, size, row, number = stretches(flat, off)
-    steps, n = x.shape[1], len(x)
-    running = np.searchsorted(-size, -np.arange(steps), "left")
-    mat = np.zeros((n, STATES, STATES))
-    log = np.zeros(n)
-    for t in range(steps):
-        m = running[t]
-        e = p.emit[x[:m, t]]
-        if t == 0:  # a text's first token has no move before it
-            mat[:] = np.where((number == 0)[:, None, None], np.eye(STATES), p.move) * e[:, None, :]
-        else:
-            mat[:m] = (mat[:m].reshape(-1, STATES) @ p.move).reshape(m, STATES, STATES) * e[:, None, :]
-        s = mat[:m].sum((1, 2))
-        mat[:m] /= s[:, None, None]
-        log[:m] += np.log10(s)
+    mat, log = _products(x, size, number, p)
     out = np.zeros(len(off) - 1)
     a = np.tile(p.start, (len(out), 1))
-    by_number = np.argsort(number, kind="stable")
-    cut = np.searchsorted(number[by_number], np.arange(int(number.max()) + 2))
-    for i in range(len(cut) - 1):
-        some = by_number[cut[i] : cut[i + 1]]
+    for some in _by_number(number):
         r = row[some]
         v = np.einsum("ij,ijk->ik", a[r], mat[some])
         s = v.sum(1)
@@ -270,11 +312,10 @@ def log10_likelihood(flat: np.ndarray, off: np.ndarray, p: Params) -> np.ndarray
     return out
 
 
-def _class_steps(b: pa.RecordBatch, name: str):
-    col = b.column(b.schema.get_field_index(name))
+def _class_steps(col: pa.Array):
     flat = col.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
     off = np.concatenate([[0], np.cumsum(pc.list_value_length(col).to_numpy(zero_copy_only=False).astype(np.int64))])
-    for i, j in C.steps(off, 1 << 17):
+    for i, j in C.steps(off, STEP_TOKENS):
         yield i, j, flat[off[i] : off[j]], off[i : j + 1] - off[i]
 
 
@@ -288,7 +329,7 @@ def baum_welch(prepared: DataFrame, v: Vocabulary, rounds: int = ROUNDS) -> Para
         def run(batches, held=held):
             p, total = held.value, None
             for b in batches:
-                for _, _, flat, off in _class_steps(b, "classes"):
+                for _, _, flat, off in _class_steps(b.column(0)):
                     got = expected_counts(flat, off, p)
                     total = got if total is None else total + got
             if total is not None:
@@ -296,7 +337,7 @@ def baum_welch(prepared: DataFrame, v: Vocabulary, rounds: int = ROUNDS) -> Para
                 yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["at", "x"])
 
         flat = np.zeros(STATES + STATES * STATES + STATES * v.classes)
-        for at, x in prepared.select("classes").mapInArrow(run, "at int, x double").groupBy("at").agg(F.sum("x").alias("x")).collect():
+        for at, x in C.map_arrow(prepared.select("classes"), run, "at int, x double").groupBy("at").agg(F.sum("x").alias("x")).collect():
             flat[at] = x  # one row for each parameter of the model
         if not flat.any():
             break
@@ -312,18 +353,18 @@ def score(docs: DataFrame, training: Column, *, text: str = "text", keep: tuple[
     counts = C.stored(count_tokens(docs.where("__training"), text), "counts")
     v = vocabulary(counts)
     rows = C.stored(prepare(docs, v, text=text, keep=[*keep, "__training"]), "classes")
-    held = spark.sparkContext.broadcast((v.bucket_log, baum_welch(rows.where("__training"), v)))
+    held = spark.sparkContext.broadcast(baum_welch(rows.where("__training"), v))
 
     def make():
-        p = held.value[1]
+        p = held.value
 
-        def f(b: pa.RecordBatch) -> list[pa.Array]:
-            got = [log10_likelihood(flat, off, p) for _, _, flat, off in _class_steps(b, "classes")]
+        def f(col: pa.Array) -> list[pa.Array]:
+            got = [log10_likelihood(flat, off, p) for _, _, flat, off in _class_steps(col)]
             return [pa.array(np.concatenate(got or [np.zeros(0)]))]
 
         return f
 
-    own = C.with_arrow(rows.drop("tail"), [T.StructField("sequence", T.DoubleType())], make, 1024)
+    own = C.with_arrow(rows.drop("tail"), "classes", [T.StructField("sequence", T.DoubleType())], make)
     own = own.withColumn("n_tokens", F.size("classes").cast("long")).drop("classes")
     # a rare token's share of its bucket is (c + 0.1) / the bucket's sum, which is already in log_share
     tail = rows.select("row", F.explode("tail").alias("t")).select("row", "t.token", "t.tf").join(counts, "token", "left")
@@ -344,4 +385,4 @@ def score(docs: DataFrame, training: Column, *, text: str = "text", keep: tuple[
 def query(spark, sf_dir: str) -> DataFrame:
     docs = C.table(spark, sf_dir, "documents").select("doc_id", "text")
     out = score(docs, bucket("doc_id", 10) != 0)
-    return out.withColumn("held_out", bucket("doc_id", 10) == 0)
+    return out.select("doc_id", (bucket("doc_id", 10) == 0).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")

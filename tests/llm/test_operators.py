@@ -355,7 +355,7 @@ def test_hmm_base_score_and_counts(spark):
 def test_hmm_likelihood_is_exact():
     r = np.random.default_rng(2)
     p = hmm.Params(r.dirichlet(np.ones(hmm.STATES)), r.dirichlet(np.ones(hmm.STATES), hmm.STATES), r.dirichlet(np.ones(9), hmm.STATES).T)
-    seqs = [r.integers(0, 9, n) for n in (1, 2, 255, 256, 257, 1000)]
+    seqs = [r.integers(0, 9, n) for n in (1, 2, 255, 1023, 1024, 1025, 4000)]
     got = hmm.log10_likelihood(np.concatenate(seqs), np.cumsum([0, *map(len, seqs)]), p)
     for s, g in zip(seqs, got, strict=True):
         a, log = p.start * p.emit[s[0]], 0.0
@@ -367,6 +367,31 @@ def test_hmm_likelihood_is_exact():
     assert abs(sum(10**x for x in total) - 1) < 1e-9
 
 
+def test_hmm_expected_counts_are_those_of_whole_texts():
+    r = np.random.default_rng(8)
+    p = hmm.Params(r.dirichlet(np.ones(hmm.STATES)), r.dirichlet(np.ones(hmm.STATES), hmm.STATES), r.dirichlet(np.ones(9), hmm.STATES).T)
+    seqs = [r.integers(0, 9, n) for n in (1, 5, 1024, 1025, 3333)]
+    start, move, emit = np.zeros(hmm.STATES), np.zeros((hmm.STATES, hmm.STATES)), np.zeros((9, hmm.STATES))
+    for s in seqs:
+        alpha, beta = np.zeros((len(s), hmm.STATES)), np.ones((len(s), hmm.STATES))
+        alpha[0] = p.start * p.emit[s[0]]
+        alpha[0] /= alpha[0].sum()
+        for t in range(1, len(s)):
+            alpha[t] = alpha[t - 1] @ p.move * p.emit[s[t]]
+            alpha[t] /= alpha[t].sum()
+        for t in range(len(s) - 2, -1, -1):
+            beta[t] = p.move @ (p.emit[s[t + 1]] * beta[t + 1])
+            beta[t] /= beta[t].sum()
+            both = alpha[t][:, None] * p.move * (p.emit[s[t + 1]] * beta[t + 1])[None, :]
+            move += both / both.sum()
+        gamma = alpha * beta
+        gamma /= gamma.sum(1, keepdims=True)
+        start += gamma[0]
+        np.add.at(emit, s, gamma)
+    got = hmm.expected_counts(np.concatenate(seqs), np.cumsum([0, *map(len, seqs)]), p)
+    assert np.allclose(got, np.concatenate([start, move.ravel(), emit.ravel()]), rtol=2e-3, atol=2e-2)
+
+
 def test_bpe_is_tiktoken(spark):
     import public_tokenizers as P
 
