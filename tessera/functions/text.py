@@ -15,14 +15,18 @@ ASTRAL = r"[\x{10000}-\x{1FFFF}\x{2EBF0}-\x{10FFFF}]"
 
 #: Frequent words by which Latin-script languages are told apart.
 STOPWORDS = {
-    "en": "the and of to in is that for with this are was",
-    "de": "der die das und ist nicht ein eine mit den von zu",
-    "fr": "le la les des est une pour dans que par sur et",
-    "es": "el los las del una que por con para en es y",
+    "en": "a an and are as be document for from in is of on please project that the this to user with",
+    "it": "che con da del della di documento e il la le non per preferenze progetto questo questa un una utente",
+    "fr": "avec ce cette de des document du et la le les pour préférences projet que un une utilisateur",
+    "es": "con de del documento el esta este la las los para preferencias proyecto que un una usuario y",
+    "de": "benutzer das der die diese dieser dokument ein eine für ist mit nicht projekt und zu",
+    "pt": "a as com da de do documento e este esta o os para preferências preferencias projeto que um uma usuário usuario",
 }
+#: Letters that speak for a language.
+ACCENTS = {"it": "àèéìòù", "fr": "àâæçéèêëîïôœùûüÿ", "es": "áéíóúüñ¿¡", "de": "äöüß", "pt": "áâãàçéêíóôõú"}
 
 #: Phrases of an answer that declines.
-REFUSALS = ["not mentioned", "no information", "cannot be answered", "not provided", "don't know", "unable to answer"]
+REFUSALS = ["not mentioned", "no information", "cannot be answered", "none", "unknown", "don't know"]
 
 
 def once(value: Column, f: Callable[[Column], Column]) -> Column:
@@ -72,23 +76,41 @@ def _among(values: Column):
     return lambda x: F.array_contains(values, x)
 
 
-def detect_language(text: Column) -> Column:
-    """By script where that tells; else by frequent words; under three words, English."""
-    words = F.filter(F.split(F.lower(text), r"[^\p{L}]+"), lambda w: w != "")
-    scripts = {"ja": r"[\x{3040}-\x{30FF}]", "ko": r"[\x{AC00}-\x{D7AF}]", "zh": r"[\x{4E00}-\x{9FFF}]", "ru": r"[\x{0400}-\x{04FF}]", "ar": r"[\x{0600}-\x{06FF}]"}
-    letters = F.greatest(count(text, r"\p{L}"), F.lit(1))
-    hits = {}
-    for lang, text_words in STOPWORDS.items():
-        own = F.array(*[F.lit(w) for w in text_words.split()])
-        hits[lang] = F.size(F.filter(words, _among(own)))
-    most = F.greatest(*hits.values())
-    latin = F.lit("en")
-    for lang in reversed(list(hits)):
-        latin = F.when(hits[lang] == most, lang).otherwise(latin)
-    out = F.when(F.size(words) < 3, "en").otherwise(latin)
-    for lang, pattern in reversed(scripts.items()):
-        out = F.when(count(text, pattern) / letters > 0.1, lang).otherwise(out)
-    return out
+def detect_language(text: Column, fallback: str = "en") -> Column:
+    """By script where that tells, else by frequent words and accents; weak or tied signals are English.
+
+    Scripts and languages other than English, Chinese and ``fallback`` need a strong majority. Addresses
+    don't count; a text without letters of any known script has the fallback."""
+    t = F.regexp_replace(F.coalesce(text, F.lit("")), r"\b(?:\w+)://[^\s<>\])\"']+", " ")
+    scripts = {"zh-CN": r"[\x{4E00}-\x{9FFF}]", "ko": r"[\x{AC00}-\x{D7AF}]", "ru": r"[\x{0400}-\x{04FF}]", "ar": r"[\x{0600}-\x{06FF}]"}
+    n = {k: count(t, p) for k, p in scripts.items()}
+    kana, latin = count(t, r"[\x{3040}-\x{30FF}\x{31F0}-\x{31FF}\x{FF66}-\x{FF9F}]"), count(t, r"[A-Za-z\x{00C0}-\x{024F}]")
+    total = sum(n.values(), kana + latin)
+    ours = {"en", "zh-CN", fallback}
+    japanese = n["zh-CN"] + kana
+    is_japanese = (kana >= 3) & (F.lit("ja" in ours) | ((kana >= 10) & (japanese >= 0.95 * total) & (kana >= 0.3 * japanese)))
+    most = F.greatest(*n.values())
+    script = F.lit(None).cast("string")
+    for k in reversed(n):
+        script = F.when(n[k] == most, k).otherwise(script)
+    told = (most >= 2) & (most >= 0.20 * total) & (script.isin(*ours) | ((most >= 10) & (most >= 0.95 * total)))
+    latin_language = once(F.filter(F.split(F.lower(t), r"[^a-z\x{00C0}-\x{024F}]+"), lambda w: w != ""), lambda words: _latin(words, F.lower(t), ours))
+    return F.when(total == 0, fallback).when(is_japanese, "ja").when(told, script).when(latin > 0, latin_language).otherwise(fallback)
+
+
+def _latin(words: Column, lowered: Column, ours: set[str]) -> Column:
+    stop = {k: F.size(F.filter(words, _among(F.array(*[F.lit(w) for w in sorted(set(v.split()))])))) for k, v in STOPWORDS.items()}
+    accent = {k: count(lowered, f"[{v}]") for k, v in ACCENTS.items()}
+    scores = F.array(*[F.struct((stop[k] + accent.get(k, F.lit(0))).alias("score"), F.lit(-i).alias("first"), F.lit(k).alias("lang"), stop[k].alias("stop"), accent.get(k, F.lit(0)).alias("accent")) for i, k in enumerate(stop)])
+
+    def judge(all_: Column) -> Column:
+        best, english = F.get(all_, F.lit(0)), F.get(F.filter(all_, lambda x: x["lang"] == "en"), F.lit(0))["score"]
+        size = F.size(words)
+        strong = (size >= 20) & (best["score"] >= 6) & (best["score"] >= english + 4)
+        ok = (size >= 6) & ((best["accent"] > 0) | (best["stop"] >= 4)) & (best["score"] >= 3) & (best["score"] >= english + 2) & (best["lang"].isin(*ours) | strong)
+        return F.when((size < 3) | (best["lang"] == "en") | ~ok, "en").otherwise(best["lang"])
+
+    return once(F.sort_array(scores, asc=False), judge)
 
 
 def looks_binary(text: Column) -> Column:
@@ -145,16 +167,65 @@ def media_strategy(n_images: Column, ratio: Column) -> Column:
     return F.when((ratio > 0.3) | (n_images >= 5), "full_page").when(n_images > 0, "extract").otherwise("text_only")
 
 
-def html_text(html: Column) -> Column:
-    """Main text of a page: no scripts, styles, navigation or tags, blank lines collapsed."""
-    t = F.regexp_replace(html, r"(?is)<(script|style|nav|header|footer|noscript|head)\b.*?</\1\s*>", " ")
-    t = F.regexp_replace(t, r"(?is)<!--.*?-->", " ")
-    t = F.regexp_replace(t, r"(?i)<(br|/p|/div|/li|/tr|/h[1-6])\b[^>]*>", "\n")
+#: Elements that aren't part of a page's text.
+ASIDE = ["script", "style", "head", "title", "nav", "header", "footer", "noscript", "svg", "form"]
+
+
+def _without(html: Column, names: list[str]) -> Column:
+    for n in names:
+        html = F.regexp_replace(html, rf"(?is)<{n}\b[^>]*>.*?</{n}\s*>", " ")
+    return F.regexp_replace(html, r"(?s)<!--.*?-->", " ")
+
+
+def _plain(t: Column) -> Column:
+    """No tags, entities as characters, white space collapsed, blank lines single."""
     t = F.regexp_replace(t, r"(?s)<[^>]*>", " ")
     for a, b in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
         t = F.replace(t, F.lit(a), F.lit(b))
-    t = F.regexp_replace(F.regexp_replace(t, r"[ \t]+", " "), r" ?\n ?", "\n")
-    return F.btrim(F.regexp_replace(t, r"\n{2,}", "\n\n"), F.lit(" \n"))
+    t = F.regexp_replace(F.regexp_replace(t, r"[ \t\r]+", " "), r" ?\n ?", "\n")
+    return F.btrim(F.regexp_replace(t, r"\n{3,}", "\n\n"), F.lit(" \n"))
+
+
+def html_text(html: Column) -> Column:
+    """Main text of a page: no scripts, styles, navigation or tags, blank lines collapsed."""
+    return _plain(F.regexp_replace(_without(html, ASIDE), r"(?i)<(br|/p|/div|/li|/tr|/h[1-6])\b[^>]*>", "\n"))
+
+
+def _table_rules(html: Column) -> Column:
+    """Cells between bars; the line under a table's first row has as many cells as that."""
+    row = lambda t: F.regexp_extract(t, r"(?is)<tr\b[^>]*>(.*?)</tr\s*>", 1)
+    rule = lambda t: F.concat(F.lit("\n| "), F.repeat(F.lit("--- | "), count(row(t), r"(?i)</t[hd]\s*>")))
+    head = lambda t: F.instr(F.lower(t), "</tr")
+    ruled = lambda t: F.concat(F.substring(t, F.lit(1), head(t) - 1), rule(t), F.substring(t, head(t), F.length(t)))
+    parts = F.transform(F.split(html, r"(?i)(?=<table\b)"), lambda t: F.when(F.lower(t).startswith("<table") & (head(t) > 0), ruled(t)).otherwise(t))
+    t = F.array_join(parts, "")
+    t = F.regexp_replace(t, r"(?is)\s*</t[hd]\s*>[ \t]*", " | ")
+    return F.regexp_replace(F.regexp_replace(t, r"(?is)\s*<tr\b[^>]*>\s*", "\n| "), r"(?i)</table\s*>", "\n\n")
+
+
+def html_markdown(html: Column) -> Column:
+    """A page as Markdown: headings, emphasis, links, images (none inline), lists and tables of its main
+    part; the title as heading where the text hasn't got it; of a page without text its noscript notice."""
+    t = _table_rules(_without(html, ASIDE))
+    t = F.regexp_replace(t, r"(?i)<img\b[^>]*?src\s*=\s*['\"]data:image/[^>]*>", "")
+    t = F.regexp_replace(t, r"(?is)<img\b[^>]*?src\s*=\s*['\"]([^'\"]*)['\"][^>]*>", "![]($1)")
+    t = F.regexp_replace(t, r"(?is)<a\b[^>]*?href\s*=\s*['\"]([^'\"]*)['\"][^>]*>\s*(.*?)\s*</a\s*>", "[$2]($1)")
+    for i in range(1, 7):
+        t = F.regexp_replace(t, rf"(?is)<h{i}\b[^>]*>\s*(.*?)\s*</h{i}\s*>", f"\n\n{'#' * i} $1\n\n")
+    for names, mark in ((("b", "strong"), "**"), (("i", "em"), "*"), (("code",), "`")):
+        for n in names:
+            t = F.regexp_replace(t, rf"(?is)<{n}(?:\s[^>]*)?>\s*(.*?)\s*</{n}\s*>", f"{mark}$1{mark}")
+    t = F.regexp_replace(F.regexp_replace(t, r"(?i)<li\b[^>]*>\s*", "\n- "), r"(?i)<br\b[^>]*>", "\n")
+    t = _plain(F.regexp_replace(t, r"(?i)</(p|div|ul|ol|section|article|blockquote|pre)\s*>", "\n\n"))
+    t = F.regexp_replace(F.regexp_replace(t, r"!\[[^\]]*\]\(data:image/[^)]+\)", ""), r"\[ ?([^\[\]]*?) ?\]\(", "[$1](")
+    notice = F.array_join(F.filter(F.transform(F.regexp_extract_all(html, F.lit(r"(?is)<noscript\b[^>]*>(.*?)</noscript\s*>"), 1), lambda x: one_line(_plain(x))), lambda x: x != ""), "\n\n")
+
+    def titled(body: Column) -> Column:
+        title = one_line(_plain(html_title(html)))
+        head = F.concat(F.lit("# "), title)
+        return F.when((title == "") | F.contains(body, title), body).when(body == "", head).otherwise(F.concat(head, F.lit("\n\n"), body))
+
+    return once(F.when(t == "", notice).otherwise(t), titled)
 
 
 def html_title(html: Column) -> Column:
@@ -263,6 +334,30 @@ def split_chunks(df: DataFrame, text: str, budget: int = 1024) -> DataFrame:
     return df.select("*", F.posexplode(F.filter(got, lambda c: c != "")).alias("n", "chunk"))
 
 
+def smart_split(df: DataFrame, text: str, *, most: int = 1024, least: int = 512) -> DataFrame:
+    """Pieces (n, chunk) that make up the whole text again, none over ``most`` tokens: the text itself if it
+    fits, else its sections by Markdown headings; sections under ``least`` are merged with the next ones
+    while they fit, those over ``most`` are cut at line ends, and where a line is over it, by characters."""
+    step = max(1, most // 2)
+    small = lambda p: F.transform(F.sequence(F.lit(0), F.ceil(F.char_length(p) / step).cast("int") - 1), lambda i: F.substring(p, i * step + 1, F.lit(step)))
+    cut = lambda p: F.flatten(F.transform(F.split(p, "(?<=\n)"), lambda x: F.when(estimate_tokens(x) <= most, F.array(x)).otherwise(small(x))))
+    empty = F.from_json(F.lit("[]"), "array<string>")
+
+    def packed(parts: Column, until: int) -> Column:
+        """Neighbours joined while what is gathered is under ``until`` and the sum fits."""
+
+        def fold(a: Column, p: Column) -> Column:
+            fits = (estimate_tokens(a["last"]) < until) & (estimate_tokens(F.concat(a["last"], p)) <= most)
+            return F.struct(F.when(fits, a["done"]).otherwise(F.array_append(a["done"], a["last"])).alias("done"), F.when(fits, F.concat(a["last"], p)).otherwise(p).alias("last"))
+
+        return F.aggregate(parts, F.struct(empty.alias("done"), F.lit("").alias("last")), fold, lambda a: F.array_append(a["done"], a["last"]))
+
+    sections = F.split(F.col(text), r"(?m)(?=^#{1,6} )")
+    fitted = F.flatten(F.transform(sections, lambda p: F.when(estimate_tokens(p) <= most, F.array(p)).otherwise(packed(cut(p), most))))
+    got = F.when(estimate_tokens(F.col(text)) <= most, F.array(F.col(text))).otherwise(packed(fitted, least))
+    return df.select("*", F.posexplode(F.filter(got, lambda c: c != "")).alias("n", "chunk"))
+
+
 def words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit("[a-z]+"), 0)
 

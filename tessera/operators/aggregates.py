@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators import topk
+from tessera.sources.store import stored
+
 
 def group_count(df: DataFrame, fields: list[str], *, multi: bool = False, gt: int = -1, max_entry: int = 10_000) -> DataFrame:
     """(key, count) by one or two fields, in key order; each element of a list field counts."""
@@ -35,17 +38,31 @@ def scores(df: DataFrame, score: str) -> DataFrame:
     return df.agg(F.count(score).alias("n"), F.round(F.min(score), 6).alias("min"), F.round(F.max(score), 6).alias("max"), F.round(F.avg(score), 6).alias("mean"))
 
 
-def latency(df: DataFrame, by: list[str], value: str, ok: Column) -> DataFrame:
+def quantiles(df: DataFrame, by: str, value: str, shares: dict[str, float]) -> DataFrame:
+    """Exact quantiles (interpolated) of each group, a column for each share: rows are numbered in the order
+    of group and value over ranges of both, so no group's values meet in one task or buffer."""
+    rows = topk.numbered(df.where(F.col(value).isNotNull()).select(by, value), by, value)
+    ends = rows.groupBy(by).agg(F.min("index").alias("base"), F.count("*").alias("n"))
+    wanted = F.array(*[F.struct(F.lit(k).alias("name"), (F.lit(q) * (F.col("n") - 1)).alias("at")) for k, q in shares.items()])
+    ends = ends.withColumn("w", F.explode(wanted)).select(by, "w.name", "w.at", F.explode(F.array_distinct(F.array(F.floor("w.at"), F.ceil("w.at")))).alias("i"), "base")
+    places = ends.select(by, "name", "at", "i", (F.col("base") + F.col("i")).alias("index"))
+    got = rows.select("index", F.col(value).alias("x")).join(places, "index")
+    part = F.when(F.col("i") == F.floor("at"), 1 - (F.col("at") - F.floor("at"))).otherwise(F.col("at") - F.floor("at"))
+    return got.groupBy(by).agg(*[F.sum(F.when(F.col("name") == k, F.col("x") * part)).alias(k) for k in shares])
+
+
+def latency(df: DataFrame, by: str, value: str, ok: Column) -> DataFrame:
     """Count, share of successes, quantiles and maximum of each group."""
-    q = {p: F.round(F.percentile(value, p / 100), 6).alias(f"p{p}") for p in (50, 95, 99)}
-    return df.groupBy(*by).agg(F.count("*").alias("n"), F.round(F.avg(ok.cast("double")), 6).alias("success"), *q.values(), F.round(F.max(value), 6).alias("max"))
+    own = df.groupBy(by).agg(F.count("*").alias("n"), F.round(F.avg(ok.cast("double")), 6).alias("success"), F.round(F.max(value), 6).alias("max"))
+    q = quantiles(df, by, value, {f"p{p}": p / 100 for p in (50, 95, 99)})
+    return own.join(q, by, "left").select(by, "n", "success", *[F.round(f"p{p}", 6).alias(f"p{p}") for p in (50, 95, 99)], "max")
 
 
 def median_mad(df: DataFrame, by: str, value: str) -> DataFrame:
     """Median, and median of the distances to it."""
-    m = df.groupBy(by).agg(F.median(value).alias("median"))
-    far = df.join(m, by).groupBy(by).agg(F.max("median").alias("median"), F.median(F.abs(F.col(value) - F.col("median"))).alias("mad"))
-    return far.select(by, F.round("median", 6).alias("median"), F.round("mad", 6).alias("mad"))
+    m = stored(quantiles(df, by, value, {"median": 0.5}), "median")
+    far = df.where(F.col(value).isNotNull()).join(F.broadcast(m) if m.count() <= 10_000 else m, by).select(by, F.abs(F.col(value) - F.col("median")).alias("far"))  # a row for each group
+    return m.join(quantiles(far, by, "far", {"mad": 0.5}), by).select(by, F.round("median", 6).alias("median"), F.round("mad", 6).alias("mad"))
 
 
 def token_f1(pairs: DataFrame, key: str, a: Column, b: Column) -> DataFrame:

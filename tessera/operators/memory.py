@@ -37,14 +37,23 @@ MERGE = {"sum": merge_sum, "immutable": merge_immutable, "replace": merge_replac
 
 #: Types of memory, with the merge operator of each field.
 MEMORY_TYPES = {
-    "profile": {"content": "patch"},
-    "preferences": {"topic": "immutable", "content": "patch"},
+    "cases": {"case_name": "immutable", "task_signature": "immutable", "input": "immutable", "rubric": "immutable", "evidence": "immutable"},
     "entities": {"name": "immutable", "content": "patch"},
-    "events": {"name": "immutable", "content": "replace"},
-    "cases": {"name": "immutable", "content": "replace"},
-    "tools": {"name": "immutable", "call_count": "sum", "success_time": "sum", "content": "patch"},
-    "skills": {"name": "immutable", "content": "patch"},
-}
+    "events": {"event_name": "immutable", "goal": "patch", "summary": "patch", "ranges": "immutable"},
+    "experiences": {"experience_name": "immutable", "content": "replace", "supersedes": "replace"},
+    "identity": {"creature": "patch", "name": "immutable", "vibe": "patch", "emoji": "patch", "avatar": "patch", "introduction": "patch"},
+    "preferences": {"topic": "immutable", "content": "patch"},
+    "profile": {"content": "patch"},
+    "skills": {"skill_name": "immutable", "total_executions": "sum", "success_count": "sum", "fail_count": "sum", "best_for": "patch", "recommended_flow": "patch", "key_dependencies": "patch", "common_failures": "patch", "recommendation": "patch", "guidelines": "patch"},
+    "soul": {"core_truths": "patch", "boundaries": "patch", "vibe": "patch", "continuity": "patch"},
+    "tools": {"tool_name": "immutable", "static_desc": "patch", "call_count": "sum", "success_time": "sum", "when_to_use": "patch", "optimal_params": "patch", "common_failures": "patch", "recommendation": "patch", "guidelines": "patch"},
+    "trajectories": {"trajectory_name": "immutable", "outcome": "immutable", "task_query": "immutable", "retrieval_anchor": "immutable", "content": "patch"},
+}
+
+
+def merged_memories(patches: DataFrame, kind: str, key: str, order: str) -> DataFrame:
+    """Patches of one type of memory as one row a key, by the merge operators of the type's fields."""
+    return merged(patches, key, order, {f: op for f, op in MEMORY_TYPES[kind].items() if f in patches.columns})
 
 
 def merged(patches: DataFrame, key: str, order: str, ops: dict[str, str]) -> DataFrame:

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.assembly import overfetch
 from tessera.operators.changes import best
 from tessera.sources.store import stored
 
@@ -42,6 +43,14 @@ def quick(scored: DataFrame, *, uri: str, score: str, limit: int, threshold: flo
     return best(hits, uri, score, key).orderBy(F.desc(score), key).limit(limit)
 
 
+def without(scored: DataFrame, left_out: DataFrame, *, key: str, score: str, want: int) -> DataFrame:
+    """The best ``want`` hits that aren't left out, of a page that is larger by as many as may drop out, but
+    three times as large at most."""
+    fetch = overfetch(want, left_out.limit(2 * want).count())
+    page = scored.orderBy(F.desc(score), key).limit(fetch)
+    return page.join(left_out, key, "left_anti").orderBy(F.desc(score), key).limit(want)
+
+
 def expand_all(nodes: DataFrame, roots: DataFrame, *, alpha: float = 0.5, most_levels: int = 50) -> DataFrame:
     """(uri, level, final): every node under the roots with its propagated score, level by level.
 

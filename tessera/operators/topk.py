@@ -29,15 +29,15 @@ def scroll(df: DataFrame, key: str, after, n: int) -> DataFrame:
     return (df if after is None else df.where(F.col(key) > after)).orderBy(key).limit(n)
 
 
-def numbered(df: DataFrame, key: str) -> DataFrame:
-    """``df`` with ``index`` 0.. in key order. Each range of keys counts its rows, so only a few
+def numbered(df: DataFrame, *key: str) -> DataFrame:
+    """``df`` with ``index`` 0.. in the order of some columns. Each range of keys counts its rows, so only a few
     numbers of ranges meet in one place."""
     from tessera.sources.store import stored
 
-    parts = stored(df.repartitionByRange(key).sortWithinPartitions(key).withColumn("part", F.spark_partition_id()), "numbered")
+    parts = stored(df.repartitionByRange(*key).sortWithinPartitions(*key).withColumn("part", F.spark_partition_id()), "numbered")
     sizes = parts.groupBy("part").agg(F.count("*").alias("n"))
     base = sizes.withColumn("base", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("part", "base")
-    inside = F.row_number().over(Window.partitionBy("part").orderBy(key)) - 1
+    inside = F.row_number().over(Window.partitionBy("part").orderBy(*key)) - 1
     return parts.withColumn("index", inside).join(F.broadcast(base), "part").withColumn("index", F.col("index") + F.col("base")).drop("part", "base")  # base: one row for each partition
 
 

@@ -108,7 +108,7 @@ def with_query(df: DataFrame, key: str, value, vec: str = "embedding") -> DataFr
 
 
 def random_order(df: DataFrame, key: str, seed: int, k: int) -> DataFrame:
-    return df.withColumn("draw", F.xxhash64(F.col(key), F.lit(seed))).orderBy("draw", key).limit(k)
+    return df.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")).cast("binary")), key).limit(k)
 
 
 def knn(queries: DataFrame, rows: DataFrame, *, key: str, vec: str, k: int, block: int = BLOCK) -> DataFrame:

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as TX
 from tessera.operators import aggregates as A
+from tessera.operators import usage
 from tessera.operators import retrieval
 from tessera.plans.registry import query
 
@@ -78,7 +79,7 @@ def _(t):
 
 @query("a12_latency", """SELECT event_type, count(*) AS n, round(avg(CASE WHEN value < 100 THEN 1.0 ELSE 0.0 END), 6) AS success, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, round(quantile_cont(value, 0.99), 6) AS p99, round(max(value), 6) AS max FROM events GROUP BY 1""")  # A12
 def _(t):
-    return A.latency(t.events, ["event_type"], "value", F.col("value") < 100)
+    return A.latency(t.events, "event_type", "value", F.col("value") < 100)
 
 
 @query("a13_median_mad", "SELECT event_type, round(median(value), 6) AS median, round(mad(value), 6) AS mad FROM events GROUP BY 1")  # A13
@@ -121,12 +122,17 @@ def _(t):
     return t.events.groupBy(F.col("event_type").alias("operation")).agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"), F.round(F.avg("value"), 6).alias("mean"), ok.alias("ok"), F.round(100.0 * ok / F.count("*"), 4).alias("ok_percent"), F.min("ts").cast("date").cast("string").alias("first"), F.max("ts").cast("date").cast("string").alias("last"))
 
 
-@query("a20_usage_events", """WITH w AS (SELECT role, unnest(list_distinct(regexp_extract_all(text, '[A-Z][a-z]+'))) AS name FROM conversations WHERE role <> 'user')
-SELECT name, CASE role WHEN 'system' THEN 'injection' ELSE 'recall' END AS kind, count(*) AS n FROM w GROUP BY ALL""")  # A20
+PART = "CASE WHEN turn % 3 = 0 THEN 'memory_search' WHEN turn % 3 = 1 THEN 'memory_read' ELSE 'shell' END"
+
+
+@query("a20_usage_events", f"""WITH p AS (SELECT conv_id, turn, {PART} AS tool, turn % 5 <> 4 AS done, [conv_id % 7, turn, turn % 2] AS ids FROM conversations WHERE role <> 'user'),
+u AS (SELECT conv_id, turn, CASE tool WHEN 'memory_search' THEN 'recall' ELSE 'injection' END AS kind, unnest(list_distinct(ids)) AS id FROM p WHERE done AND tool <> 'shell')
+SELECT 'ctx://user/u1/memories/experiences/e' || id || '.md' AS uri, kind, count(*) AS n FROM u GROUP BY ALL""")  # A20
 def _(t):
-    names = F.array_distinct(F.regexp_extract_all("text", F.lit("[A-Z][a-z]+"), 0))
-    kind = F.when(F.col("role") == "system", "injection").otherwise("recall").alias("kind")
-    return t.conversations.where("role <> 'user'").select(kind, F.explode(names).alias("name")).groupBy("name", "kind").agg(F.count("*").alias("n"))
+    m = t.conversations.where("role <> 'user'")
+    links = F.transform(F.array(F.col("conv_id") % 7, F.col("turn"), F.col("turn") % 2), lambda i: F.concat(F.lit("see <ctx://user/u1/memories/experiences/e"), i, F.lit(".md>, not ctx://user/u1/memories/cases/c.md")))
+    parts = m.select(F.concat_ws("-", "conv_id", "turn").alias("message"), F.expr(PART).alias("tool"), F.when(F.col("turn") % 5 != 4, "completed").otherwise("error").alias("status"), F.array_join(links, "; ").alias("output"))
+    return usage.counts(usage.events(parts))
 
 
 @query("ax_cube", "SELECT l_returnflag, l_linestatus, count(*) AS n, round(sum(l_quantity), 2) AS quantity FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)")

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from tessera.functions import text as X
-from tessera.operators import assembly, memory, retrieval, sessions, topk, vectors
+from tessera.operators import assembly, memory, retrieval, sessions, summaries, topk, vectors
 from tessera.plans.aggregates import HOT, USERS, users
 from tessera.plans.registry import query
 
@@ -37,7 +37,7 @@ def _(t):
     return retrieval.expand_all(n, n.where("parent_uri IS NULL").select("uri", F.col("score").alias("final"))).withColumn("final", F.round("final", 6))
 
 
-@query("h02_best_first")  # H2, H3: stops early; rows only so far
+@query("h02_best_first")  # H2, H3: stops early, tested by brute force
 def _(t):
     n = nodes(t)
     return retrieval.best_first(n, n.where("parent_uri IS NULL").select("uri", F.col("score").alias("final")), limit=10)
@@ -74,7 +74,7 @@ def candidates(t):
     return d.select("lang", "doc_id", "score", *[X.estimate_tokens(c).alias(n) for n, c in tiers.items()])
 
 
-@query("h10_pack")  # H10, H13: an ordered fold; rows only so far
+@query("h10_pack")  # H10: an ordered fold, tested by brute force
 def _(t):
     return assembly.pack(candidates(t), query="lang", key="doc_id", score="score", sizes=["a", "o", "f"], budget=4000)
 
@@ -84,6 +84,37 @@ def _(t):
     return t.documents.select("doc_id", assembly.abstract(F.col("text")).alias("abstract"))
 
 
+@query("h11_overview", r"""SELECT doc_id, substr(regexp_extract(trim(text, ' ' || chr(10) || chr(9) || chr(13)), '(?s)^(.*?)(\n\s*\n|$)', 1), 1, 400) AS overview FROM documents WHERE NOT regexp_matches(text, '(?m)^#{1,6} ')""")  # H11
+def _(t):
+    return t.documents.select("doc_id", assembly.overview(F.col("text")).alias("overview"))
+
+
+@query("h12_prune", "SELECT event_id % 700 AS uri, max(user_id) AS turn FROM events WHERE user_id > 2 GROUP BY 1 ORDER BY turn DESC, uri LIMIT 500")  # H12
+def _(t):
+    return assembly.pruned(t.events.select((F.col("event_id") % 700).alias("uri"), F.col("user_id").alias("turn")), uri="uri", turn="turn", now=10, turns=2)
+
+
+@query("h13_overfetch", f"WITH x AS (SELECT vec_id FROM embeddings WHERE vec_id % 20 = 3), s AS (SELECT * FROM ({SCORED}) ORDER BY score DESC, vec_id LIMIT 12 + least((SELECT count(*) FROM x), 24)) SELECT vec_id, score FROM s WHERE vec_id NOT IN (SELECT vec_id FROM x) ORDER BY score DESC, vec_id LIMIT 12")  # H13
+def _(t):
+    left_out = t.embeddings.where("vec_id % 20 = 3").select("vec_id")
+    return retrieval.without(scored(t), left_out, key="vec_id", score="score", want=12).select("vec_id", "score")
+
+
+LEAVES = f"SELECT path, '/' || string_split(path, '/')[2] AS d1, '/' || string_split(path, '/')[2] || '/' || string_split(path, '/')[3] AS d2, 'page ' || path AS abstract FROM (SELECT DISTINCT '/' || array_to_string(list_filter(string_split(regexp_replace(regexp_replace(url, '^[a-z]+://', '/'), '[?#].*$', ''), '/'), lambda s: s <> ''), '/') AS path FROM pages)"
+KIDS = "list_filter(list_transform(generate_series(0, least(len({x}), 32) - 1), lambda k: {x}[1 + CASE WHEN len({x}) <= 32 THEN k ELSE k * (len({x}) - 1) // 31 END]), lambda v: v IS NOT NULL)"
+
+
+@query("h22_bottom_up", f"""WITH l AS ({LEAVES}), a AS (SELECT d2 AS path, list(abstract ORDER BY path) AS c FROM l GROUP BY d2), b AS (SELECT path, len(c) AS children, {KIDS.format(x="c")} AS c FROM a), b2 AS (SELECT path, '/' || string_split(path, '/')[2] AS up, children, substr(c[1], 1, 120) AS abstract, array_to_string(c, chr(10)) AS overview FROM b),
+d AS (SELECT up AS path, list(abstract ORDER BY path) AS c FROM b2 GROUP BY up), e AS (SELECT path, len(c) AS children, {KIDS.format(x="c")} AS c FROM d), e2 AS (SELECT path, children, substr(c[1], 1, 120) AS abstract, array_to_string(c, chr(10)) AS overview FROM e),
+r AS (SELECT list(abstract ORDER BY path) AS c FROM e2), r2 AS (SELECT '/' AS path, len(c) AS children, {KIDS.format(x="c")} AS c FROM r)
+SELECT path, abstract, overview, children FROM b2 UNION ALL SELECT path, abstract, overview, children FROM e2 UNION ALL SELECT path, substr(c[1], 1, 120), array_to_string(c, chr(10)), children FROM r2""")  # H22
+def _(t):
+    from tessera.plans.texts import pages
+
+    leaves = pages(t).select("path").distinct().withColumn("abstract", F.concat(F.lit("page "), "path"))
+    return summaries.bottom_up(leaves, "path", "abstract")
+
+
 @query("h12_ledger", "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT event_id FROM events WHERE event_type <> 'view' AND user_id > 90)")  # H12, J7
 def _(t):
     ledger = t.events.select(F.col("event_id").alias("doc_id"), "user_id", F.when(F.col("event_type") == "view", "uri").otherwise("full").alias("detail"))
@@ -109,7 +140,9 @@ def _(t):
     return sessions.retention(t.conversations, F.ceil(F.char_length("text") * 0.25), keep_turns=3, budget=300).select("conv_id", "turn_id", "tokens", "kept")
 
 
-@query("h19_newest_turn")  # H19: rows only so far
+@query("h19_newest_turn", f"""WITH x AS (SELECT *, steps - min(steps - (role = 'assistant')::INT) OVER (PARTITION BY conv_id, turn_id) AS step_id, max(turn_id) OVER (PARTITION BY conv_id) AS newest FROM ({TURN})),
+s AS (SELECT conv_id, turn_id, step_id, sum(tok) AS tokens FROM x WHERE turn_id = newest GROUP BY ALL), y AS (SELECT *, sum(tokens) OVER w AS tail, row_number() OVER w AS age FROM s WINDOW w AS (PARTITION BY conv_id ORDER BY step_id DESC))
+SELECT conv_id, CAST(turn_id AS BIGINT) AS turn_id, CAST(step_id AS BIGINT) AS step_id, CAST(tokens AS BIGINT) AS tokens, step_id = 0 OR age <= 1 OR tail <= 150 AS kept FROM y""")  # H19
 def _(t):
     return sessions.newest_turn_tail(t.conversations, F.ceil(F.char_length("text") * 0.25), budget=200)
 
@@ -133,12 +166,17 @@ def _(t):
     return sessions.idle_sessions(t.events, "user_id", "ts").select("user_id", "n", F.col("first").cast("date").cast("string").alias("first"))
 
 
-@query("r03_threshold_commits")  # R3: an ordered fold; rows only so far
+@query("r03_threshold_commits", """WITH RECURSIVE m AS (SELECT conv_id, ceil(coalesce(length(text), 0) * 0.25)::BIGINT AS t, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM conversations),
+f AS (SELECT conv_id, 0::BIGINT AS i, 0::BIGINT AS commits, 0::BIGINT AS pending, 0::BIGINT AS pending_tokens FROM m WHERE i = 1 UNION ALL
+SELECT f.conv_id, m.i, f.commits + (pending_tokens + t >= 200 OR pending + 1 >= 3)::BIGINT, CASE WHEN pending_tokens + t >= 200 OR pending + 1 >= 3 THEN 0 ELSE pending + 1 END, CASE WHEN pending_tokens + t >= 200 OR pending + 1 >= 3 THEN 0 ELSE pending_tokens + t END FROM f JOIN m ON m.conv_id = f.conv_id AND m.i = f.i + 1)
+SELECT conv_id, max_by(commits, i) AS commits, max_by(pending, i) AS pending, max_by(pending_tokens, i) AS pending_tokens FROM f GROUP BY 1""")  # R3
 def _(t):
     return sessions.threshold_commits(t.conversations, F.ceil(F.char_length("text") * 0.25), most_tokens=200, most_messages=3)
 
 
-@query("r04_dedupe_window")  # R4: anchored at the last accepted one; rows only so far
+@query("r04_dedupe_window", """WITH RECURSIVE m AS (SELECT user_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+f AS (SELECT user_id, i, t AS last, 1::BIGINT AS n FROM m WHERE i = 1 UNION ALL SELECT f.user_id, m.i, CASE WHEN m.t - f.last >= 86400000000 THEN m.t ELSE f.last END, f.n + (m.t - f.last >= 86400000000)::BIGINT FROM f JOIN m ON m.user_id = f.user_id AND m.i = f.i + 1)
+SELECT user_id, max(n) AS n_accepted, CAST(max(i) - max(n) AS BIGINT) AS n_dropped FROM f GROUP BY 1""")  # R4
 def _(t):
     return sessions.accepted(t.events, "user_id", "ts", "event_id", 86_400)
 
@@ -161,3 +199,9 @@ def _(t):
 def _(t):
     links = t.events.select(F.concat(F.lit("u"), "user_id").alias("from_uri"), F.col("event_type").alias("to_uri"), (F.get_json_object("props", "$.k").cast("int") % 3).alias("match_text"), F.col("value").alias("weight"), F.lit("x").alias("link_type"), F.col("event_id").alias("description"), F.col("event_id").alias("created_at"))
     return memory.merged_links(links).drop("link_type")
+
+
+@query("d06_tools", """SELECT event_type AS tool, min_by('t' || user_id, event_id) AS tool_name, count(*) AS call_count, CAST(sum(CAST(floor(value) AS BIGINT)) AS BIGINT) AS success_time, max_by(props, event_id) AS guidelines FROM events GROUP BY 1""")  # D6
+def _(t):
+    p = t.events.select(F.col("event_type").alias("tool"), "event_id", F.concat(F.lit("t"), "user_id").alias("tool_name"), F.lit(1).cast("long").alias("call_count"), F.floor("value").alias("success_time"), F.col("props").alias("guidelines"))
+    return memory.merged_memories(p, "tools", "tool", "event_id")

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from tessera.functions import text as TX
 from tessera.operators import changes as C
 from tessera.operators import filters as X
-from tessera.operators import memory, paths, topk
+from tessera.operators import memory, paths, snapshots, topk, usage
 from tessera.plans.registry import query
 from tessera.sources import files
 from tessera.sources.store import fresh_path
@@ -56,10 +56,10 @@ def _(t):
     return C.alive(t.events, ends, F.lit("2024-01-20").cast("timestamp_ntz").cast("timestamp")).select("event_id")
 
 
-@query("s09_replay", f"SELECT user_id, event_id, value FROM ({LAST.format(chr(87) + 'HERE event_id > 200')}) WHERE event_type <> 'error'")  # S9
+@query("s09_replay", f"SELECT user_id, event_id, value FROM ({LAST.format("WHERE ts > TIMESTAMP '2024-01-10'")}) WHERE event_type <> 'error'")  # S9
 def _(t):
     log = t.events.select("user_id", F.struct("ts", "event_id").alias("at"), "event_id", "value", F.when(F.col("event_type") == "error", 1).otherwise(0).alias("op"))
-    return C.replay(log.where("event_id > 200"), "user_id", "at", "op", F.struct(F.lit("1970-01-01").cast("timestamp_ntz"), F.lit(0).cast("bigint"))).select("user_id", "event_id", "value")
+    return C.replay(log, "user_id", "at", "op", F.struct(F.lit("2024-01-10").cast("timestamp_ntz"), F.lit(1 << 62).cast("bigint"))).select("user_id", "event_id", "value")
 
 
 PAGE = "SELECT page_id, '/' || array_to_string(list_filter(string_split(regexp_replace(regexp_replace(url, '^[a-z]+://', '/'), '[?#].*$', ''), '/'), lambda s: s <> ''), '/') AS path FROM pages"
@@ -96,6 +96,49 @@ def _(t):
     return C.diff(old, new, "o_orderkey", "d")
 
 
+@query("s14_scan", "SELECT r_name AS name, r_regionkey + 1 AS size FROM region WHERE r_name NOT IN ('ASIA', 'EUROPE')")  # S14
+def _(t):
+    """A file for each region, in folders by name; some folders and suffixes are left out."""
+    path = fresh_path(t.spark, "scan")
+    text = F.expr("repeat('x', r_regionkey)")
+    t.region.select(text.alias("text"), F.col("r_name").alias("name")).repartition(5, "name").write.partitionBy("name").text(path)
+    found = files.scan(t.spark, path, include=["*.txt"], exclude=["name=ASIA/*", "name=EUR*/*"])
+    return found.select(F.regexp_extract("path", "name=([A-Z %0-9]+)/", 1).alias("name"), "size")
+
+
+@query("s16_pack_vectors", "SELECT vec_id, label, round(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[]), 4) AS norm FROM embeddings")  # S16
+def _(t):
+    path = fresh_path(t.spark, "backup")
+    C.export_pack(t.embeddings, path, "vec_id")
+    e = C.import_pack(t.spark, path, "vec_id")
+    return e.select("vec_id", "label", F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")), 4).alias("norm"))
+
+
+def history(t):
+    """Two versions of the orders' states, committed; the second changes, adds and deletes."""
+    root = fresh_path(t.spark, "history")
+    path = F.concat(F.lit("/orders/"), "o_orderkey")
+    snapshots.commit(t.orders.where("o_orderkey % 10 <> 0").select(path.alias("path"), F.col("o_orderstatus").alias("content")), root, "first", "a")
+    snapshots.commit(t.orders.where("o_orderkey % 11 <> 0").select(path.alias("path"), F.when(F.col("o_orderkey") % 7 == 0, "X").otherwise(F.col("o_orderstatus")).alias("content")), root, "second", "b")
+    return root
+
+
+@query("s17_log", "SELECT 1 AS version, 'first' AS message, count(*) AS files FROM orders WHERE o_orderkey % 10 <> 0 UNION ALL SELECT 2, 'second', count(*) FROM orders WHERE o_orderkey % 11 <> 0")  # S17
+def _(t):
+    return snapshots.log(t.spark, history(t)).select("version", "message", "files")
+
+
+@query("s17_show_diff", """WITH a AS (SELECT o_orderkey, o_orderstatus AS d FROM orders WHERE o_orderkey % 10 <> 0), b AS (SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN 'X' ELSE o_orderstatus END AS d FROM orders WHERE o_orderkey % 11 <> 0)
+SELECT '/orders/' || o_orderkey AS path, CASE WHEN b.d IS NULL THEN 'delete' WHEN a.d IS NULL OR a.d <> b.d THEN 'write' ELSE 'same' END AS change FROM a FULL JOIN b USING (o_orderkey)""")  # S17
+def _(t):
+    return snapshots.diff(t.spark, history(t), 1, 2)
+
+
+@query("s17_restore", "SELECT '/orders/' || o_orderkey AS path, o_orderstatus AS content FROM orders WHERE o_orderkey % 10 <> 0")  # S17
+def _(t):
+    return snapshots.restore(t.spark, history(t), 1)
+
+
 @query("s20_agent_log", "SELECT conv_id, turn, CASE role WHEN 'system' THEN 'tool' ELSE role END AS role FROM conversations WHERE trim(regexp_replace(text, '\\s+', ' ', 'g')) <> ''")  # S20
 def _(t):
     return files.agent_log(t.conversations).select("conv_id", "turn", "role")
@@ -153,6 +196,20 @@ def _(t):
     return a.join(b, "n_regionkey").where("from_name <> to_name").select("from_name", "to_name")
 
 
+@query("j10_resource_refs", """WITH m AS (SELECT c_custkey AS memory, unnest(['/docs/n' || c_nationkey || '/f' || c_custkey, '/docs/n' || (c_custkey % 25)]) AS ref FROM customer), r AS (SELECT '/docs/n' || n_nationkey AS resource FROM nation WHERE n_nationkey % 2 = 0 UNION ALL SELECT '/docs/n1/f' || c_custkey FROM customer WHERE c_nationkey = 1)
+SELECT DISTINCT memory, 'ctx:/' || resource AS resource FROM m JOIN r ON ref = resource OR starts_with(ref, resource || '/')""")  # J10
+def _(t):
+    ref = lambda *x: F.concat(F.lit("ctx://docs/n"), *x)
+    m = t.customer.select(F.col("c_custkey").alias("memory"), F.array(ref("c_nationkey", F.lit("/f"), "c_custkey"), ref(F.col("c_custkey") % 25)).alias("refs"))
+    r = t.nation.where("n_nationkey % 2 = 0").select(ref("n_nationkey").alias("resource")).unionByName(t.customer.where("c_nationkey = 1").select(ref("c_nationkey", F.lit("/f"), "c_custkey").alias("resource")))
+    return usage.referencing(m, r)
+
+
+@query("d10_plugin", "SELECT event_id, 'k' AS name, json_extract_string(props, '$.k') AS value FROM events")  # D10
+def _(t):
+    return files.sections(t.events.select("event_id", "props"), "props", files.JsonFields).select("event_id", "name", "value")
+
+
 @query("u01_set_algebra", "(SELECT o_custkey AS k FROM orders WHERE o_orderstatus = 'F' INTERSECT SELECT c_custkey FROM customer WHERE c_nationkey < 10) EXCEPT SELECT user_id FROM events WHERE event_type = 'error' AND value > 90")  # U1, U2
 def _(t):
     a = t.orders.where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("k"))

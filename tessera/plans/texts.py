@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from tessera.functions import repair
 from tessera.functions import text as X
 from tessera.functions import uris
 from tessera.operators import paths
@@ -26,25 +27,83 @@ def _(t):
     return t.documents.select("doc_id", X.truncated(F.col("text"), 100).alias("text"))
 
 
-@query("f03_detect_language")  # rows only so far
+WORDS = {
+    "en": "a an and are as be document for from in is of on please project that the this to user with",
+    "it": "che con da del della di documento e il la le non per preferenze progetto questo questa un una utente",
+    "fr": "avec ce cette de des document du et la le les pour préférences projet que un une utilisateur",
+    "es": "con de del documento el esta este la las los para preferencias proyecto que un una usuario y",
+    "de": "benutzer das der die diese dieser dokument ein eine für ist mit nicht projekt und zu",
+    "pt": "a as com da de do documento e este esta o os para preferências preferencias projeto que um uma usuário usuario",
+}
+LETTERS = {"en": "\x01", "it": "àèéìòù", "fr": "àâæçéèêëîïôœùûüÿ", "es": "áéíóúüñ¿¡", "de": "äöüß", "pt": "áâãàçéêíóôõú"}
+SCORES = ", ".join(
+    f"{{'s': len(list_filter(w, lambda x: x IN ({', '.join(repr(x) for x in v.split())}))) + len(regexp_extract_all(l, '[{LETTERS[k]}]')), 'i': {-i}, 'g': '{k}', 'stop': len(list_filter(w, lambda x: x IN ({', '.join(repr(x) for x in v.split())}))), 'acc': len(regexp_extract_all(l, '[{LETTERS[k]}]'))}}"
+    for i, (k, v) in enumerate(WORDS.items())
+)
+
+
+@query("f03_detect_language", rf"""WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '\b(?:\w+)://[^\s<>\])"'']+', ' ', 'g') AS t FROM documents),
+c AS (SELECT doc_id, lower(t) AS l, list_filter(regexp_split_to_array(lower(t), '[^a-z\x{{00C0}}-\x{{024F}}]+'), lambda x: x <> '') AS w, len(regexp_extract_all(t, '[\x{{4E00}}-\x{{9FFF}}]')) AS zh, len(regexp_extract_all(t, '[\x{{3040}}-\x{{30FF}}\x{{31F0}}-\x{{31FF}}\x{{FF66}}-\x{{FF9F}}]')) AS kana,
+  len(regexp_extract_all(t, '[\x{{AC00}}-\x{{D7AF}}]')) AS ko, len(regexp_extract_all(t, '[\x{{0400}}-\x{{04FF}}]')) AS ru, len(regexp_extract_all(t, '[\x{{0600}}-\x{{06FF}}]')) AS ar, len(regexp_extract_all(t, '[A-Za-z\x{{00C0}}-\x{{024F}}]')) AS latin FROM t),
+d AS (SELECT *, zh + kana + ko + ru + ar + latin AS total, greatest(zh, ko, ru, ar) AS most, list_sort([{SCORES}], 'DESC') AS s FROM c),
+e AS (SELECT *, s[1] AS best, list_filter(s, lambda x: x.g = 'en')[1].s AS en, CASE WHEN most = zh THEN 'zh-CN' WHEN most = ko THEN 'ko' WHEN most = ru THEN 'ru' ELSE 'ar' END AS script FROM d)
+SELECT doc_id, CASE WHEN total = 0 THEN 'en' WHEN kana >= 10 AND zh + kana >= 0.95 * total AND kana >= 0.3 * (zh + kana) THEN 'ja'
+  WHEN most >= 2 AND most >= 0.20 * total AND (script = 'zh-CN' OR (most >= 10 AND most >= 0.95 * total)) THEN script WHEN latin = 0 OR len(w) < 6 OR best.g = 'en' THEN 'en'
+  WHEN (best.acc > 0 OR best.stop >= 4) AND best.s >= 3 AND best.s >= en + 2 AND len(w) >= 20 AND best.s >= 6 AND best.s >= en + 4 THEN best.g ELSE 'en' END AS lang_pred FROM e""")  # F3
 def _(t):
     return t.documents.select("doc_id", X.detect_language(F.col("text")).alias("lang_pred"))
 
 
-@query("f05_looks_binary", r"SELECT doc_id, coalesce(contains(substr(text, 1, 1000), chr(0)) OR len(regexp_extract_all(substr(text, 1, 1000), '[\x01-\x08\x0B\x0C\x0E-\x1F]')) > 0.05 * least(length(text), 1000), FALSE) AS is_binary FROM documents")  # F4, F5
+@query("f04_decode_text", "SELECT doc_id, CASE WHEN text IS NULL THEN NULL WHEN doc_id % 3 = 0 THEN 'utf-16' WHEN doc_id % 3 = 1 THEN 'utf-8-sig' ELSE 'utf-8' END AS encoding, md5(text) AS digest FROM documents WHERE length(text) > 0")  # F4
+def _(t):
+    mark = lambda h: F.unhex(F.lit(h))
+    raw = F.when(F.col("doc_id") % 3 == 0, F.concat(mark("FFFE"), F.encode("text", "UTF-16LE"))).when(F.col("doc_id") % 3 == 1, F.concat(mark("EFBBBF"), F.encode("text", "UTF-8"))).otherwise(F.encode("text", "UTF-8"))
+    got = t.documents.where("length(text) > 0").select("doc_id", repair.decode_text(raw).alias("d"))
+    return got.select("doc_id", "d.encoding", F.md5("d.text").alias("digest"))
+
+
+@query("f05_looks_binary", r"SELECT doc_id, coalesce(contains(substr(text, 1, 1000), chr(0)) OR len(regexp_extract_all(substr(text, 1, 1000), '[\x01-\x08\x0B\x0C\x0E-\x1F]')) > 0.05 * least(length(text), 1000), FALSE) AS is_binary FROM documents")  # F5
 def _(t):
     return t.documents.select("doc_id", F.coalesce(X.looks_binary(F.col("text")), F.lit(False)).alias("is_binary"))
 
 
-@query("f06_html_text")  # rows only so far
+def replaced(x, *steps):
+    """SQL: some regular expressions replaced, one after another."""
+    for pattern, new in steps:
+        x = f"regexp_replace({x}, '{pattern}', {new}, 'g')"
+    return x
+
+
+NL = "chr(10)"
+PLAIN = [("(?s)<[^>]*>", "' '"), ("&nbsp;", "' '"), ("&lt;", "'<'"), ("&gt;", "'>'"), ("&quot;", "'\"'"), ("&#39;", "chr(39)"), ("&amp;", "'&'"), ("[ \\t\\r]+", "' '"), (" ?\\n ?", NL), ("\\n{3,}", f"{NL} || {NL}")]
+ASIDE = [(rf"(?is)<{n}\b[^>]*>.*?</{n}\s*>", "' '") for n in ("script", "style", "head", "title", "nav", "header", "footer", "noscript", "svg", "form")] + [("(?s)<!--.*?-->", "' '")]
+TRIM = f"' ' || {NL}"
+LINK = (r"\[ ?([^\[\]]*?) ?\]\(", r"'[\1]('")
+MARKUP = [
+    (r"""(?i)<img\b[^>]*?src\s*=\s*[''"]data:image/[^>]*>""", "''"), (r"""(?is)<img\b[^>]*?src\s*=\s*[''"]([^''"]*)[''"][^>]*>""", r"'![](\1)'"),
+    (r"""(?is)<a\b[^>]*?href\s*=\s*[''"]([^''"]*)[''"][^>]*>\s*(.*?)\s*</a\s*>""", r"'[\2](\1)'"),
+    *((rf"(?is)<h{i}\b[^>]*>\s*(.*?)\s*</h{i}\s*>", rf"{NL} || {NL} || '{'#' * i} \1' || {NL} || {NL}") for i in range(1, 7)),
+    *((rf"(?is)<{n}(?:\s[^>]*)?>\s*(.*?)\s*</{n}\s*>", rf"'{m}\1{m}'") for n, m in (("b", "**"), ("strong", "**"), ("i", "*"), ("em", "*"), ("code", "`"))),
+    (r"(?i)<li\b[^>]*>\s*", f"{NL} || '- '"), (r"(?i)<br\b[^>]*>", NL), (r"(?i)</(p|div|ul|ol|section|article|blockquote|pre)\s*>", f"{NL} || {NL}"),
+]
+
+
+@query("f06_html_text", f"""SELECT page_id, trim({replaced("html", *ASIDE, ("(?i)<(br|/p|/div|/li|/tr|/h[1-6])\\b[^>]*>", NL), *PLAIN)}, {TRIM}) AS text FROM pages""")  # F6
 def _(t):
     return t.pages.select("page_id", X.html_text(F.col("html")).alias("text"))
 
 
-@query("f07_split", "SELECT doc_id, length(text) AS n_chars, TRUE AS fits FROM documents WHERE coalesce(text, '') <> ''")  # pieces make up the text, none is over the budget
+@query("f06_html_markdown", f"""WITH m AS (SELECT page_id, html, {replaced(f"trim({replaced('html', *ASIDE, *MARKUP, *PLAIN)}, {TRIM})", LINK)} AS body, trim(regexp_replace(trim({replaced("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)", *PLAIN)}, {TRIM}), '\\s+', ' ', 'g')) AS title FROM pages WHERE NOT regexp_matches(html, '(?i)<(table|noscript)'))
+SELECT page_id, CASE WHEN title = '' OR contains(body, title) THEN body WHEN body = '' THEN '# ' || title ELSE '# ' || title || {NL} || {NL} || body END AS markdown FROM m""")  # tables and notices are tested on a fixture, no page has any
 def _(t):
-    c = X.split_chunks(t.documents.select("doc_id", "text").where("coalesce(text, '') <> ''"), "text", 256)
-    own = c.groupBy("doc_id").agg(F.sum(F.char_length("chunk")).alias("n_chars"), F.bool_and(X.estimate_tokens(F.col("chunk")) <= 256).alias("fits"))
+    return t.pages.select("page_id", X.html_markdown(F.col("html")).alias("markdown"))
+
+
+@query("f07_split", """SELECT doc_id, length(text) AS n_chars, TRUE AS fits, sha256(text) AS digest, ceil(length(text) * 0.25) <= 1024 AS whole FROM documents""")  # which pieces there are is tested by brute force
+def _(t):
+    c = X.smart_split(t.documents.select("doc_id", "text"), "text")
+    parts = F.array_sort(F.collect_list(F.struct("n", "chunk")))
+    own = c.groupBy("doc_id").agg(F.sum(F.char_length("chunk")).alias("n_chars"), F.bool_and(X.estimate_tokens(F.col("chunk")) <= 1024).alias("fits"), F.sha2(F.array_join(F.transform(parts, lambda p: p["chunk"]), ""), 256).alias("digest"), (F.count("*") == 1).alias("whole"))
     return own
 
 
@@ -90,9 +149,36 @@ def _(t):
     return d.select("doc_id", head.alias("head"), body.alias("body"))
 
 
-@query("f17_json_shape", "SELECT event_id, 'OBJECT<k: BIGINT>' AS shape FROM events")  # F17, F32
+@query("f17_json_shape", "SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'OBJECT<k: BIGINT>' WHEN 1 THEN 'ARRAY<STRING>' WHEN 2 THEN 'OBJECT<a: OBJECT<b: DECIMAL(2,1)>, t: STRING>' END AS shape FROM events")  # F17
+def _(t):
+    kind = F.to_json(F.array("event_type"))
+    text = F.when(F.col("event_id") % 4 == 0, F.col("props")).when(F.col("event_id") % 4 == 1, kind).when(F.col("event_id") % 4 == 2, F.concat(F.lit('{"a": {"b": 1.5}, "t": "'), "event_type", F.lit('"}'))).otherwise("no json")
+    return t.events.select("event_id", X.json_shape(text).alias("shape"))
+
+
+@query("f32_repair_json", "SELECT event_id, CASE WHEN event_id % 8 < 7 THEN CAST(json_extract_string(props, '$.k') AS BIGINT) END AS k FROM events")  # F32
+def _(t):
+    k, way = F.get_json_object("props", "$.k"), F.col("event_id") % 8
+    broken = (
+        F.when(way == 0, F.col("props")).when(way == 1, F.concat(F.lit("Here it is:\n```json\n{'k': "), k, F.lit(",}\n```\nDone.")))
+        .when(way == 2, F.concat(F.lit("{k: "), k, F.lit(", ok: True}"))).when(way == 3, F.concat(F.lit('{"k": '), k, F.lit(', "l": [1, 2, {"m": "x'))).when(way == 4, F.concat(F.lit("[{'k': "), k, F.lit("}, None]")))
+        .when(way == 5, F.concat(F.lit('Sure! {"k": '), k, F.lit(', // the key\n "t": "a {b"} I hope it helps.'))).when(way == 6, F.concat(F.lit('{"k": '), k, F.lit(', "l": [1, 2,')))
+        .otherwise("nothing of the kind")
+    )
+    v = F.try_parse_json(repair.repaired_json(broken))
+    got = F.coalesce(F.try_variant_get(v, "$.k", "bigint"), F.try_variant_get(v, "$[0].k", "bigint"))
+    return t.events.select("event_id", got.alias("k"))
+
+
+@query("f33_surrogates", r"""SELECT event_id, '{"a": "' || event_type || CASE event_id % 3 WHEN 0 THEN '\ufffd' WHEN 1 THEN '\ud83d\ude00' ELSE 'x\ufffdy' END || '"}' AS json FROM events""")  # F33
+def _(t):
+    tail = F.when(F.col("event_id") % 3 == 0, r"\ud800").when(F.col("event_id") % 3 == 1, r"\ud83d\ude00").otherwise(r"x\udc00y")
+    return t.events.select("event_id", repair.without_lone_surrogates(F.concat(F.lit('{"a": "'), "event_type", tail, F.lit('"}'))).alias("json"))
+
+
+@query("f25_snowflake", "SELECT event_id, ((epoch_us(ts) // 1000 - 1704067200000) << 22) + (5 << 12) + row_number() OVER (PARTITION BY epoch_us(ts) // 1000 ORDER BY event_id) - 1 AS id FROM events")  # F25
 def _(t):
-    return t.events.select("event_id", X.json_shape(F.col("props")).alias("shape"))
+    return repair.snowflakes(t.events.select("event_id", "ts"), F.unix_millis(F.col("ts").cast("timestamp")), "event_id", worker=5).select("event_id", "id")
 
 
 @query("f18_kind", "SELECT event_id, 'json' AS kind, 'csv' AS table_kind FROM events")  # F18, F19
@@ -110,10 +196,10 @@ def _(t):
     return t.benchmark.select("item_id", X.normal_answer(F.col("text")).alias("answer"))
 
 
-@query("f22_refusal", "SELECT conv_id, turn, turn % 7 = 0 AS refuses FROM conversations")  # F22
+@query("f22_refusal", """SELECT conv_id, turn, p <> 'fine' AND p <> 'noon' AS refuses FROM (SELECT conv_id, turn, ['not mentioned', 'no information', 'cannot be answered', 'none', 'unknown', 'don''t know', 'fine', 'noon'][1 + (conv_id + turn) % 8] AS p FROM conversations)""")  # F22
 def _(t):
-    text = F.when(F.col("turn") % 7 == 0, F.concat(F.coalesce("text", F.lit("")), F.lit(" It is Not Mentioned."))).otherwise("fine")
-    return t.conversations.select("conv_id", "turn", X.refuses(text).alias("refuses"))
+    said = F.array(*[F.lit(x) for x in ("It is Not Mentioned.", "NO INFORMATION here", "this cannot be answered", "None.", "Unknown", "I don't know", "fine", "at noon")])
+    return t.conversations.select("conv_id", "turn", X.refuses(F.get(said, ((F.col("conv_id") + F.col("turn")) % 8).cast("int"))).alias("refuses"))
 
 
 @query("f23_date_time", "SELECT event_id, epoch_us(ts) // 1000 AS ms FROM events")  # F23
@@ -163,7 +249,7 @@ def _(t):
     return s.where(ok).groupBy("doc_id").agg(F.count("*").alias("n"), F.min("offset").alias("first"))
 
 
-@query("f35_content_id", "SELECT doc_id, 'tr_' || substr(sha256(text), 1, 24) AS id FROM documents")  # F25, F33, F35
+@query("f35_content_id", "SELECT doc_id, 'tr_' || substr(sha256(text), 1, 24) AS id FROM documents")  # F35
 def _(t):
     return t.documents.select("doc_id", X.content_id(F.col("text")).alias("id"))
 

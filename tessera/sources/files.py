@@ -9,7 +9,7 @@ from tessera.functions import text as X
 from tessera.operators import paths
 
 #: Parsers by extension: expressions from a file's text. A plug-in adds its own, e.g. a pandas UDF over bytes.
-PARSERS = {"txt": lambda t: t, "md": lambda t: X.frontmatter(t)[1], "html": X.html_text, "htm": X.html_text, "json": lambda t: t, "csv": lambda t: t}
+PARSERS = {"txt": lambda t: t, "md": lambda t: X.frontmatter(t)[1], "html": X.html_markdown, "htm": X.html_markdown, "json": lambda t: t, "csv": lambda t: t}
 
 
 def scan(spark: SparkSession, root: str, *, include: list[str] | None = None, exclude: list[str] | None = None) -> DataFrame:
@@ -41,3 +41,25 @@ def agent_log(rows: DataFrame, role: str = "role", text: str = "text") -> DataFr
     r = F.lower(F.col(role))
     known = F.when(r.isin("user", "human"), "user").when(r.isin("assistant", "ai", "model"), "assistant").otherwise("tool")
     return rows.withColumn(role, known).where(F.coalesce(F.btrim(F.regexp_replace(text, r"\s+", " ")) != "", F.lit(False)))
+
+
+class JsonFields:
+    """A parser plug-in: the fields of a JSON object as (name, value) rows. Any class with such an ``eval``
+    is one; it runs as a table function, a row in, rows out."""
+
+    def eval(self, text: str):
+        import json
+
+        try:
+            got = json.loads(text or "")
+        except ValueError:
+            return
+        if isinstance(got, dict):
+            for name, value in got.items():
+                yield name, value if isinstance(value, str) else json.dumps(value)
+
+
+def sections(rows: DataFrame, text: str, plugin: type, returns: str = "name string, value string") -> DataFrame:
+    """``rows`` with what a plug-in makes of each text, a row for each piece."""
+    table_function = F.udtf(plugin, returnType=returns)
+    return rows.lateralJoin(table_function(F.col(text).outer()))

@@ -12,8 +12,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; a folder of our own where that is unset, as in tests."""
-    return spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file:///tmp/checkpoints"
+    """``spark.checkpoint.dir`` of the session; where that is unset, a folder of our own if all runs on one
+    machine, and else an error, since other executors wouldn't see it."""
+    if path := spark.sparkContext.getConf().get("spark.checkpoint.dir"):
+        return path
+    if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return "file:///tmp/checkpoints"
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:

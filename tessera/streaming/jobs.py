@@ -56,20 +56,35 @@ def appended(stream: DataFrame) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(out)
 
 
-def merged(stream: DataFrame, key: str, order: list[str]) -> DataFrame:
-    """Incremental upsert: each batch's last rows are merged into the table so far, which is written anew."""
-    spark, out = stream.sparkSession, fresh_path(stream.sparkSession, "merged")
-    state: dict = {"path": None}
+def committed(spark: SparkSession, out: str, before: int | None = None) -> int | None:
+    """The last batch (before one) whose table was written to its end."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(out)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    done = [int(s.getPath().getName()) for s in (fs.listStatus(root) if fs.exists(root) else ()) if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
+    return max((n for n in done if before is None or n < before), default=None)
+
+
+def merged(stream: DataFrame, key: str, order: list[str], *, out: str | None = None, checkpoint: str | None = None) -> DataFrame:
+    """Incremental upsert: each batch's last rows are merged into the table of the batch before, which is
+    found in ``out`` itself. With the same ``out`` and ``checkpoint`` a new driver goes on where the last one
+    ended, and a batch that is done again writes the same table. Only the newest two tables stay."""
+    spark = stream.sparkSession
+    out, checkpoint = out or fresh_path(spark, "merged"), checkpoint or fresh_path(spark, "stream")
 
     def each(df: DataFrame, batch: int) -> None:
-        new = changes.latest(df, key, order)
-        if state["path"]:
-            new = changes.latest(spark.read.parquet(state["path"]).unionByName(new), key, order)
+        new, last = changes.latest(df, key, order), committed(spark, out, batch)
+        if last is not None:
+            new = changes.latest(spark.read.parquet(f"{out}/{last}").unionByName(new), key, order)
         new.write.mode("overwrite").parquet(f"{out}/{batch}")
-        state["path"] = f"{out}/{batch}"
-
-    run(stream, each, mode="append")
-    return spark.read.schema(changes.latest(spark.createDataFrame([], stream.schema), key, order).schema).parquet(state["path"])
+        if last is not None and (old := committed(spark, out, last)) is not None:
+            p = spark._jvm.org.apache.hadoop.fs.Path(f"{out}/{old}")
+            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+    stream.writeStream.outputMode("append").foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    last = committed(spark, out)
+    if last is None:
+        return changes.latest(spark.createDataFrame([], stream.schema), key, order)
+    return spark.read.parquet(f"{out}/{last}")
 
 
 def sessions(stream: DataFrame, key: str, ts: str, gap: str = "1 day") -> DataFrame:
