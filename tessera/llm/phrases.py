@@ -33,7 +33,6 @@ from . import repeats as R
 SHARD_WORDS, PART_BYTES = 250_000, 8 << 20
 #: Parts of a shard's rows in joins with the shard's one row.
 SALT = 32
-PHRASES = "source binary, words binary, starts array<int>, sizes array<int>"
 
 
 def automaton(phrases: list[list[bytes]]):
@@ -66,67 +65,66 @@ def located(words: list[bytes], auto, number: dict[bytes, int]) -> list[list[int
 
 
 def _contexts(recurring: DataFrame, u: R.Units) -> DataFrame:
-    """(rk, a, rep, look, words): the words of the intervals that are to be read, joined by a space."""
+    """(rk, row, a, rep, look, words): the words of the intervals that are to be read, joined by a space."""
 
     def run(batches):
         for b in batches:
             out = []
             for rk, text, own in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                 w = text.encode().split()
-                out += [(rk, m["a"], m["rep"], m["look"], b" ".join(w[m["a"] : m["b"] + u.length])) for m in own]
+                out += [(rk, m["row"], m["a"], m["rep"], m["look"], b" ".join(w[m["a"] : m["b"] + u.length])) for m in own]
             for i in range(0, max(1, len(out)), 4096):
-                yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in out[i : i + 4096]], t) for c, t in enumerate((pa.binary(), pa.int32(), pa.bool_(), pa.bool_(), pa.binary()))], names=["rk", "a", "rep", "look", "words"])
+                yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in out[i : i + 4096]], t) for c, t in enumerate((pa.binary(), pa.int64(), pa.int32(), pa.bool_(), pa.bool_(), pa.binary()))], names=["rk", "row", "a", "rep", "look", "words"])
 
-    return C.map_arrow(recurring.where(F.size("marks") > 0).select("rk", "text", "marks"), run, "rk binary, a int, rep boolean, look boolean, words binary")
+    return C.map_arrow(recurring.where(F.size("marks") > 0).select("rk", "text", "marks"), run, "rk binary, row long, a int, rep boolean, look boolean, words binary")
 
 
 def _windows(contexts: DataFrame, u: R.Units) -> DataFrame:
-    """(rk, a, s, whole, h, h2) of each window in the contexts whose windows are compared."""
+    """(rk, row, a, s, whole, h, h2) of each window in the contexts whose windows are compared."""
 
     def run(batches):
         for b in batches:
-            for i, _, _, units, off in R.each_step(b, 3, u):
+            for i, _, _, units, off in R.each_step(b, 4, u):
                 n = np.diff(off) - u.length + 1
                 row = np.repeat(np.arange(len(n)), n)
                 s = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
                 h = [pa.array(C.slices(x, off[row] + s, off[row] + s + u.length).view(np.int64)) for x in R.two_runs(units)]
-                take = pa.array(row + i)
-                a = b.column(1).take(take)
-                yield pa.RecordBatch.from_arrays([b.column(0).take(take), a, pa.array((s + a.to_numpy()).astype(np.int32)), b.column(2).take(take), *h], names=["rk", "a", "s", "whole", "h", "h2"])
+                own = [b.column(c).take(pa.array(row + i)) for c in range(4)]
+                yield pa.RecordBatch.from_arrays([*own[:3], pa.array((s + own[2].to_numpy()).astype(np.int32)), own[3], *h], names=["rk", "row", "a", "s", "whole", "h", "h2"])
 
-    return C.map_arrow(contexts.where("look").select("rk", "a", F.col("rep").alias("whole"), "words"), run, "rk binary, a int, s int, whole boolean, h long, h2 long")
+    return C.map_arrow(contexts.where("look").select("rk", "row", "a", F.col("rep").alias("whole"), "words"), run, "rk binary, row long, a int, s int, whole boolean, h long, h2 long")
 
 
 def confirmed(rows: DataFrame, u: R.Units) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The phrases (PHRASES), the texts that may hold any: (rk, bytes, text, sources, marks) in buckets by
-    ``rk``, and more sources of those: (rk, source)."""
+    """The phrases (source, words, starts, sizes), the texts that may hold any: (rk, bytes, text, sources,
+    marks) in buckets by ``rk``, and more sources of those: (rk, source). A source is the ``row`` of the
+    text that stands for a phrase, the least of those that have it."""
     held = R.recurring_marks(rows, u)
-    ctx = held.where("mixed").groupBy("ctx", "ctx2").agg(F.sum("n").alias("of_ctx"), F.min(F.struct("rk", "a")).alias("first"))
-    cols = ["rk", "a", "b", "others", "mixed", "of_ctx", "first"]
-    plain = held.where("NOT mixed").withColumns({"of_ctx": F.col("of_key"), "first": F.col("one")}).select(cols)
-    both = plain.unionByName(held.where("mixed").join(ctx, ["ctx", "ctx2"]).select(cols))
-    rep = (F.col("of_ctx") > 1) & (F.col("first.rk") == F.col("rk")) & (F.col("first.a") == F.col("a"))
-    look = F.col("mixed") & ((F.col("of_ctx") == 1) | rep)
-    both = both.withColumns({"rep": rep, "look": look})
-    mark = "struct<a:int,b:int,rep:boolean,look:boolean>"
-    own = F.when(F.col("rep") | F.col("look"), F.struct("a", "b", "rep", "look").cast(mark))
-    source = F.when(F.col("of_ctx") > 1, F.col("first.rk"))
+    ctx = C.stored(held.where("mixed").groupBy("ctx", "ctx2").agg(F.sum("n").alias("of_ctx"), F.min("row").alias("source")), "counts")
+    cols = ["rk", "row", "a", "b", "others", "mixed", "of_ctx", "source"]
+    plain = held.where("NOT mixed").withColumns({"of_ctx": F.col("of_key"), "source": F.col("least")}).select(cols)
+    both = plain.unionByName(held.where("mixed").join(ctx.hint("shuffle_hash"), ["ctx", "ctx2"]).select(cols))
+    often, first = F.col("of_ctx") > 1, F.col("row") == F.col("source")
+    both = both.withColumns({"rep": often & first, "look": F.col("mixed") & (~often | first)})
+    mark = "struct<row:long,a:int,b:int,rep:boolean,look:boolean>"
+    own = F.when(F.col("rep") | F.col("look"), F.struct("row", "a", "b", "rep", "look").cast(mark))
     # a context's first place with its mark, and its other places, all with the context's source
-    places = both.select(source.alias("source"), F.explode(F.concat(F.array(F.struct("rk", own.alias("mark"))), F.transform("others", lambda o: F.struct(o["rk"].alias("rk"), F.lit(None).cast(mark).alias("mark"))))).alias("x"))
+    others = F.transform("others", lambda o: F.struct(o["rk"].alias("rk"), F.lit(None).cast(mark).alias("mark")))
+    places = both.select(F.when(often, F.col("source")).alias("source"), F.explode(F.concat(F.array(F.struct("rk", own.alias("mark"))), others)).alias("x"))
     of_row = places.select("x.rk", "source", "x.mark").where("source IS NOT NULL OR mark IS NOT NULL").groupBy("rk").agg(F.collect_set("source").alias("sources"), F.collect_set("mark").alias("marks"))
     recurring = C.bucketed(rows.join(of_row, "rk").withColumn("bytes", F.octet_length("text")), "recurring", "rk")
     contexts = C.stored(_contexts(recurring, u), "contexts")
 
-    windows = C.stored(_windows(contexts, u), "windows")
-    often = windows.groupBy("h", "h2").agg(F.count("*").alias("k"), F.min(F.struct("rk", "s", "a")).alias("first")).where("k > 1")
     # a window of a context that is a phrase itself needs no phrase of its own there, but elsewhere
-    more = C.stored(windows.where("NOT whole").join(often, ["h", "h2"]).select("rk", "first"), "repeated")
-    starts = more.groupBy("first.rk", "first.a").agg(F.collect_set("first.s").alias("starts"))
-    starts = contexts.where("look").select("rk", "a", "words").dropDuplicates(["rk", "a"]).join(starts, ["rk", "a"])
-    single = starts.select(F.col("rk").alias("source"), "words", F.transform("starts", lambda s: s - F.col("a")).alias("starts"), F.array_repeat(F.lit(u.length), F.size("starts")).alias("sizes"))
+    windows = C.stored(_windows(contexts, u), "windows")
+    counts = windows.groupBy("h", "h2").agg(F.count("*").alias("k"), F.min("row").alias("source"), F.count_if(~F.col("whole")).alias("open")).where("k > 1 AND open > 0").select("h", "h2", "source")
+    found = windows.join(C.stored(counts, "repeated").hint("shuffle_hash"), ["h", "h2"]).where("NOT whole OR row = source")
+    found = C.stored(found.select("rk", "row", "a", "s", "whole", "source"), "found")
+    starts = found.where("row = source").groupBy("rk", "a").agg(F.collect_set(F.col("s") - F.col("a")).alias("starts"))
+    single = contexts.where("look").join(starts, ["rk", "a"]).select(F.col("row").alias("source"), "words", "starts", F.array_repeat(F.lit(u.length), F.size("starts")).alias("sizes"))
     n = (F.octet_length("words") - F.octet_length(F.translate(F.col("words").cast("string"), " ", "")) + 1).cast("int")
-    whole = contexts.where("rep").select(F.col("rk").alias("source"), "words", F.array(F.lit(0)).alias("starts"), F.array(n).alias("sizes"))
-    return C.stored(whole.unionByName(single), "phrases"), recurring, more.select("rk", F.col("first.rk").alias("source")).distinct()
+    whole = contexts.where("rep").select(F.col("row").alias("source"), "words", F.array(F.lit(0)).alias("starts"), F.array(n).alias("sizes"))
+    return C.stored(whole.unionByName(single), "phrases"), recurring, found.where("NOT whole").select("rk", "source").distinct()
 
 
 def located_in(docs: DataFrame, u: R.Units) -> tuple[DataFrame, DataFrame]:
@@ -138,7 +136,7 @@ def located_in(docs: DataFrame, u: R.Units) -> tuple[DataFrame, DataFrame]:
     shard_of = lambda c: F.pmod(F.xxhash64(c), F.lit(shards)).cast("int")
     more = more.groupBy("rk").agg(F.collect_set("source").alias("more"))
     routed = recurring.select("rk", "bytes", "sources").join(more.hint("shuffle_hash"), "rk", "left")
-    every = F.array_distinct(F.transform(F.concat("sources", F.coalesce("more", F.array().cast("array<binary>"))), shard_of))
+    every = F.array_distinct(F.transform(F.concat("sources", F.coalesce("more", F.array().cast("array<long>"))), shard_of))
     routed = C.stored(routed.select("rk", "bytes", F.explode(every).alias("shard")).distinct(), "routes")
     parts = routed.groupBy("shard").agg(F.ceil(F.sum("bytes") / PART_BYTES).cast("int").alias("parts"))
     salted = parts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))

@@ -119,8 +119,8 @@ def each_step(b: pa.RecordBatch, text: int, u: Units):
 
 
 def mark_rows(rows: DataFrame, u: Units) -> DataFrame:
-    """(rk, a, b, d, key, ctx, ctx2, n, others): a row for each context of a step, with the other places
-    (rk, a) where the step has it; ``n`` counts all."""
+    """(rk, row, a, b, d, key, ctx, ctx2, n, others): a row for each context of a step, with the other places
+    (rk, a) where the step has it; ``n`` counts all. ``row``: the first half of ``rk``."""
 
     def run(batches):
         for batch in batches:
@@ -137,20 +137,22 @@ def mark_rows(rows: DataFrame, u: Units) -> DataFrame:
                 later = later[np.argsort(group[later], kind="stable")]
                 rk = lambda at, r=r, i=i, batch=batch: pc.take(batch.column(0), pa.array(r[at] + i))
                 others = C.list_array(pa.StructArray.from_arrays([rk(later), pa.array(a[later].astype(np.int32))], names=["rk", "a"]), n - 1)
-                cols = [rk(first), *(pa.array(x[first].astype(np.int32)) for x in (a, b)), pa.array(d[first].astype(np.int16)), *(pa.array(x[first].view(np.int64)) for x in (key, ctx, ctx2)), pa.array(n.astype(np.int32)), others]
-                yield pa.RecordBatch.from_arrays(cols, names=["rk", "a", "b", "d", "key", "ctx", "ctx2", "n", "others"])
+                half = np.frombuffer(C.text_buffer(batch.column(0))[0].tobytes(), ">i8")[::2].astype(np.int64)
+                cols = [rk(first), pa.array(half[r[first] + i]), *(pa.array(x[first].astype(np.int32)) for x in (a, b)), pa.array(d[first].astype(np.int16)), *(pa.array(x[first].view(np.int64)) for x in (key, ctx, ctx2)), pa.array(n.astype(np.int32)), others]
+                yield pa.RecordBatch.from_arrays(cols, names=["rk", "row", "a", "b", "d", "key", "ctx", "ctx2", "n", "others"])
 
-    return C.map_arrow(rows, run, "rk binary, a int, b int, d short, key long, ctx long, ctx2 long, n int, others array<struct<rk:binary,a:int>>")
+    return C.map_arrow(rows, run, "rk binary, row long, a int, b int, d short, key long, ctx long, ctx2 long, n int, others array<struct<rk:binary,a:int>>")
 
 
 def recurring_marks(rows: DataFrame, u: Units) -> DataFrame:
     """Of ``mark_rows`` those whose k-gram recurs, with ``entries`` (rows of the k-gram), ``mixed`` (its
-    contexts differ), ``of_key`` (its places) and ``one`` (its least place), stored."""
+    contexts differ), ``of_key`` (its places) and ``least`` (its least ``row``), stored. The counts are
+    written first, so that the join deals out a hot k-gram's rows anew."""
     every = mark_rows(rows, u)
     ends = [f(c).alias(f"{f.__name__}_{c}") for c in ("ctx", "ctx2") for f in (F.min, F.max)]
-    keys = every.groupBy("key").agg(F.sum("n").alias("of_key"), F.count("*").alias("entries"), F.min(F.struct("rk", "a")).alias("one"), *ends)
-    keys = keys.where("of_key > 1").select("key", "of_key", "entries", "one", F.expr("min_ctx <> max_ctx OR min_ctx2 <> max_ctx2").alias("mixed"))
-    return C.stored(every.join(keys, "key"), "marks")
+    keys = every.groupBy("key").agg(F.sum("n").alias("of_key"), F.count("*").alias("entries"), F.min("row").alias("least"), *ends)
+    keys = C.stored(keys.where("of_key > 1").select("key", "of_key", "entries", "least", F.expr("min_ctx <> max_ctx OR min_ctx2 <> max_ctx2").alias("mixed")), "keys")
+    return C.stored(every.join(keys.hint("shuffle_hash"), "key"), "marks")
 
 
 def spans_type() -> pa.DataType:
