@@ -27,9 +27,11 @@ own columns only, so names can't clash.
 from __future__ import annotations
 
 import zlib
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -214,43 +216,49 @@ def _sure(places: list[tuple[bytes, int, int]]) -> bytes:
     return zlib.compress(np.array(places, SURE).tobytes(), 1)
 
 
+def _blobs(rows: list[tuple[int, int, bool, bytes]]) -> list[pa.Array]:
+    return [pa.array([x[c] for x in rows], t) for c, t in enumerate((pa.int64(), pa.int32(), pa.bool_(), pa.binary()))]
+
+
 def sorted_runs(texts: DataFrame, shards: int, length: int) -> DataFrame:
     """BLOBS of (rk, text, marks: p, lo, hi, key, anchor): front-coded runs of the suffixes at ``p`` with
     windows from lo to hi, and the places that recur within a run."""
 
     def run(batches):
-        held: list[tuple[int, int, Entry]] = []
+        held: list[tuple[int, int, bytes, bytes, int, int, bytes, int]] = []
 
         def flush():
-            held.sort(key=lambda x: x[:2] + x[2][:2] + x[2][4:6])
-            out, at = [], 0
-            places = []
-            while at < len(held):
-                shard, anchor = held[at][:2]
-                end = at
-                while end < len(held) and held[end][0] == shard and held[end][1] == anchor:
-                    end += 1
-                own, last = [], None
-                for *_, e in held[at:end]:
-                    if last is not None and e[:2] == last[:2] and e[4:6] == last[4:6]:
-                        places.append((e[2], e[3] - e[5], e[3] - e[4]))
-                        last = own[-1] = (*last[:6], last[6] + 1)
-                    else:
-                        own.append(e)
-                        last = e
-                out.append((shard, anchor, False, pack(own)))
-                at = end
-            if places:  # any shard will do
-                out.append((int.from_bytes(places[0][0][:4], "little") % shards, 0, True, _sure(places)))
+            held.sort()
+            out, places = [], []
+            own: list[Entry] = []
+            last = None
+            for shard, anchor, right, left, near, far, rk, p in held:
+                if last is not None and last[:2] != (shard, anchor):
+                    out.append((*last[:2], False, pack(own)))
+                    own, last = [], None
+                if last is not None and last[2:] == (right, left, near, far):
+                    places.append((rk, p - far, p - near))
+                    own[-1] = (*own[-1][:6], own[-1][6] + 1)
+                else:
+                    own.append((right, left, rk, p, near, far, 1))
+                    last = (shard, anchor, right, left, near, far)
+            out.append((*last[:2], False, pack(own)))
+            if places:
+                out.append((0, 0, True, _sure(places)))
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array([x[c] for x in out], t) for c, t in enumerate((pa.int64(), pa.int32(), pa.bool_(), pa.binary()))], names=["shard", "anchor", "sure", "blob"])
+            return pa.RecordBatch.from_arrays(_blobs(out), names=["shard", "anchor", "sure", "blob"])
 
         for b in batches:
-            for rk, text, own in zip(*(b.column(c).to_pylist() for c in range(3)), strict=True):
+            marks_ = b.column(2)
+            ends = np.cumsum(pc.list_value_length(marks_).to_numpy()).tolist()
+            flat = marks_.flatten()
+            each = iter(zip(*(flat.field(c).to_numpy().tolist() for c in ("p", "lo", "hi", "key", "anchor")), strict=True))
+            at = 0
+            for rk, text, end in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), ends, strict=True):
                 raw = text.encode()
-                for m in own:
-                    p, lo = m["p"], m["lo"]
-                    held.append((m["key"] % shards, m["anchor"], (raw[p : p + length], raw[lo:p], rk, p, p - m["hi"], p - lo, 1)))
+                for p, lo, hi, key, anchor in islice(each, end - at):
+                    held.append((key % shards, anchor, raw[p : p + length], raw[lo:p], p - hi, p - lo, rk, p))
+                at = end
                 if len(held) >= RUN:
                     yield flush()
         if held:
@@ -259,44 +267,39 @@ def sorted_runs(texts: DataFrame, shards: int, length: int) -> DataFrame:
     return C.map_arrow(texts.select("rk", "text", "marks"), run, BLOBS)
 
 
-def _tree(t: pa.Table):
-    sure, blobs = t.column("sure").to_pylist(), t.column("blob").to_pylist()
-    runs = [Run(b) for b, s in zip(blobs, sure, strict=True) if not s]
-    return [b for b, s in zip(blobs, sure, strict=True) if s], joined(merge(runs)) if runs else ()
-
-
 def merged_once(runs: DataFrame, fan: int) -> DataFrame:
     """Runs of a shard, about ``fan`` of them, as one run: an entry that is in many runs is in one then."""
 
     def some(t: pa.Table) -> pa.Table:
-        sure, entries = _tree(t)
-        places, own, out = [], [], []
+        places, own = [], []
         shard, anchor = t.column("shard")[0].as_py(), t.column("anchor")[0].as_py()
-        for e, _, twin in entries:
+        for e, _, twin in joined(merge([Run(b) for b in t.column("blob").to_pylist()])):
             if twin is not None:
                 places.append((twin[2], twin[3] - twin[5], twin[3] - twin[4]))
             else:
                 own.append(e)
-        out = [(shard, anchor, True, b) for b in sure]
+        out = [(shard, anchor, False, pack(own))]
         if places:
-            out.append((shard, anchor, True, _sure(places)))
-        if own:
-            out.append((shard, anchor, False, pack(own)))
-        return pa.table([pa.array([x[c] for x in out], t_) for c, t_ in enumerate((pa.int64(), pa.int32(), pa.bool_(), pa.binary()))], names=["shard", "anchor", "sure", "blob"])
+            out.append((0, 0, True, _sure(places)))
+        return pa.table(_blobs(out), names=["shard", "anchor", "sure", "blob"])
 
-    dealt = runs.withColumn("part", F.pmod(F.xxhash64("blob"), F.lit(fan)))
-    return dealt.groupBy("shard", "anchor", "part").applyInArrow(some, BLOBS)
+    dealt = runs.where("NOT sure").withColumn("part", F.pmod(F.xxhash64("blob"), F.lit(fan)))
+    return dealt.groupBy("shard", "anchor", "part").applyInArrow(some, BLOBS).unionByName(runs.where("sure"))
 
 
 def recurring_windows(runs: DataFrame, length: int, fan: int = FAN) -> DataFrame:
-    """(rk, lo, hi): windows that start from lo to hi recur, by merging all runs of each shard."""
-    most = runs.groupBy("shard", "anchor").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    """(rk, lo, hi): windows that start from lo to hi recur, by merging all runs of each shard. Places that
+    a run has found to recur take no part in that."""
+    most = runs.where("NOT sure").groupBy("shard", "anchor").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
     while most > fan:
         runs = C.stored(merged_once(runs, -(-most // fan)), "merged")
         most = -(-most // fan)
 
+    def places(x: np.ndarray) -> list[pa.Array]:
+        rk = pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(x), [None, pa.py_buffer(np.ascontiguousarray(x["rk"]).tobytes())]).cast(pa.binary())
+        return [rk, pa.array(np.ascontiguousarray(x["lo"])), pa.array(np.ascontiguousarray(x["hi"]))]
+
     def shard(t: pa.Table) -> pa.Table:
-        sure, entries = _tree(t)
         anchor = t.column("anchor")[0].as_py()
         found: list[tuple[bytes, int, int]] = []
         group: list[tuple[Entry, int]] = []
@@ -310,7 +313,7 @@ def recurring_windows(runs: DataFrame, length: int, fan: int = FAN) -> DataFrame
                 found.append((e[2], e[3] - e[5], e[3] - e[4]))
             group.clear()
 
-        for e, common, twin in entries:
+        for e, common, twin in joined(merge([Run(b) for b in t.column("blob").to_pylist()])):
             if twin is not None:
                 found.append((twin[2], twin[3] - twin[5], twin[3] - twin[4]))
                 continue
@@ -318,14 +321,15 @@ def recurring_windows(runs: DataFrame, length: int, fan: int = FAN) -> DataFrame
                 close()
             group.append((e, common if group else 0))
         close()
-        x = np.concatenate([np.array(found, SURE), *(np.frombuffer(zlib.decompress(b), SURE) for b in sure)])
-        rk = pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(x), [None, pa.py_buffer(np.ascontiguousarray(x["rk"]).tobytes())]).cast(pa.binary())
-        return pa.table([rk, pa.array(np.ascontiguousarray(x["lo"])), pa.array(np.ascontiguousarray(x["hi"]))], names=["rk", "lo", "hi"])
-
-    return runs.groupBy("shard", "anchor").applyInArrow(shard, "rk binary, lo int, hi int")
+        return pa.table(places(np.array(found, SURE)), names=["rk", "lo", "hi"])
 
+    def sure(batches):
+        for b in batches:
+            for blob in b.column(0).to_pylist():
+                yield pa.RecordBatch.from_arrays(places(np.frombuffer(zlib.decompress(blob), SURE)), names=["rk", "lo", "hi"])
 
-MARKS = "array<struct<p:int,lo:int,hi:int,key:long,anchor:int>>"
+    kind = "rk binary, lo int, hi int"
+    return runs.where("NOT sure").groupBy("shard", "anchor").applyInArrow(shard, kind).unionByName(C.map_arrow(runs.where("sure").select("blob"), sure, kind))
 
 
 def cells(texts: DataFrame, length: int, width: int) -> DataFrame:
