@@ -33,11 +33,13 @@ from pyspark.sql import types as T
 from . import common as C
 from .language import bucket
 
-STATES, HEAD, BUCKETS, STRETCH, ROUNDS = 6, 16_000, 64, 1024, 6
+STATES, HEAD, BUCKETS, STRETCH, ROUNDS = 6, 16_000, 64, 256, 6
 #: Tokens whose counts are broadcast, at most: a few MB.
 KNOWN = 50_000
 #: Distinct words a task counts before it passes them on; tokens of one step of the recursions.
 FLUSH, STEP_TOKENS = 200_000, 1 << 18
+#: Steps of a recursion between two scalings; emissions are relative to a token's largest one, so little is lost.
+EVERY = 8
 SMOOTH = 0.1
 END = b""
 LOWER = np.arange(256, dtype=np.uint8)
@@ -221,19 +223,23 @@ def _products(x: np.ndarray, size: np.ndarray, number: np.ndarray, p: Params) ->
     """The product of each stretch's transition-emission matrices, scaled, and the log10 of the scale."""
     steps, n = x.shape[1], len(x)
     running = np.searchsorted(-size, -np.arange(steps), "left")
+    most = p.emit.max(1)
+    emit = p.emit / most[:, None]
     mat = np.zeros((n, STATES, STATES))
-    log = np.zeros(n)
+    log = (np.log10(most)[x] * (np.arange(steps) < size[:, None])).sum(1)
     for t in range(steps):
         m = running[t]
-        e = p.emit[x[:m, t]]
+        e = emit[x[:m, t]]
         if t == 0:  # a text's first token has no move before it
             mat[:] = np.where((number == 0)[:, None, None], np.eye(STATES), p.move) * e[:, None, :]
         else:
-            mat[:m] = (mat[:m].reshape(-1, STATES) @ p.move).reshape(m, STATES, STATES) * e[:, None, :]
-        s = mat[:m].sum((1, 2))
-        mat[:m] /= s[:, None, None]
-        log[:m] += np.log10(s)
-    return mat, log
+            np.multiply((mat[:m].reshape(-1, STATES) @ p.move).reshape(m, STATES, STATES), e[:, None, :], out=mat[:m])
+        if t % EVERY == EVERY - 1:
+            s = mat[:m].sum((1, 2))
+            mat[:m] /= s[:, None, None]
+            log[:m] += np.log10(s)
+    s = mat.sum((1, 2))
+    return mat / s[:, None, None], log + np.log10(s)
 
 
 def _by_number(number: np.ndarray):
@@ -263,36 +269,40 @@ def expected_counts(flat: np.ndarray, off: np.ndarray, p: Params) -> np.ndarray:
             after[several[some]] = v[at[some]]
             new = np.einsum("ijk,ik->ij", mat[some], v[at[some]])
             v[at[some]] = new / new.sum(1, keepdims=True)
-    emit, move = p.emit.astype(np.float32), p.move.astype(np.float32)
-    e = emit[x.T]  # step, stretch, state
+    emit, move = (p.emit / p.emit.max(1, keepdims=True)).astype(np.float32), p.move.astype(np.float32)
+    xt = np.ascontiguousarray(x.T)
+    e = emit[xt]  # step, stretch, state
     running = np.searchsorted(-size, -np.arange(steps), "left")
     alpha = np.zeros((steps, n, STATES), np.float32)
-    scale = np.ones((steps, n, 1), np.float32)
+    scale: dict[int, np.ndarray] = {}
     later = number > 0
     before = before.astype(np.float32)
     a = np.where(later[:, None], before @ move, before)
     for t in range(steps):
         m = running[t]
         a = (a[:m] if t == 0 else a[:m] @ move) * e[t, :m]
-        scale[t, :m] = s = np.maximum(a.sum(1, keepdims=True), 1e-30)
-        a = a / s
+        if t % EVERY == 0:
+            scale[t] = s = np.maximum(a.sum(1, keepdims=True), 1e-30)
+            a /= s
         alpha[t, :m] = a
     beta = after.astype(np.float32)
-    beta /= (alpha[size - 1, np.arange(n)] * beta).sum(1, keepdims=True)
+    beta /= np.maximum((alpha[size - 1, np.arange(n)] * beta).sum(1, keepdims=True), 1e-30)
     moved = np.zeros((STATES, STATES))
     for t in range(steps - 1, -1, -1):
         m = running[t]
         if t + 1 < steps and running[t + 1]:
             k = running[t + 1]
-            eb = e[t + 1, :k] * beta[:k] / scale[t + 1, :k]
+            eb = e[t + 1, :k] * beta[:k]
+            if t + 1 in scale:
+                eb /= scale[t + 1]
             moved += alpha[t, :k].T @ eb
             beta[:k] = eb @ move.T
         if t == 0:  # the moves into a stretch from the one before
-            moved += before[later].T @ (e[0, later] * beta[later] / scale[0, later])
+            moved += before[later].T @ (e[0, later] * beta[later] / scale[0][later])
         alpha[t, :m] *= beta[:m]
     moved *= p.move
     inside = np.arange(steps)[:, None] < size
-    gamma, cls = alpha[inside], x.T[inside]
+    gamma, cls = alpha[inside], xt[inside]
     emitted = np.stack([np.bincount(cls, weights=gamma[:, k], minlength=len(p.emit)) for k in range(STATES)], 1)
     return np.concatenate([alpha[0, ~later].sum(0, dtype=np.float64), moved.ravel(), emitted.ravel()])
 
