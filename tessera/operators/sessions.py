@@ -87,3 +87,22 @@ def accepted(events: DataFrame, key: str, ts: str, order: str, seconds: int) ->
 
     n = F.aggregate("m", start, step)["n"]
     return per.select(key, n.alias("n_accepted"), (F.size("m") - n).alias("n_dropped"))
+
+
+def micro_batches(items: DataFrame, key: str, ts: str, order: str, *, most: int = 8, seconds: int = 10) -> DataFrame:
+    """(key, order, batch): a batch is closed when it has ``most`` items, or when one comes ``seconds`` or more
+    after its first. An ordered fold over a key's times and numbers."""
+    item = F.struct(F.unix_micros(F.col(ts).cast("timestamp")).alias("t"), F.col(order).alias("o"))
+    per = items.groupBy(key).agg(F.array_sort(F.collect_list(item)).alias("m"))
+    kind = items.schema[order].dataType.simpleString()
+    zero = F.lit(0).cast("long")
+    start = F.struct(zero.alias("batch"), zero.alias("n"), zero.alias("first"), F.from_json(F.lit("[]"), f"array<struct<o:{kind},batch:bigint>>").alias("out"))
+
+    def step(a: Column, m: Column) -> Column:
+        new = (a["n"] >= most) | ((a["n"] > 0) & (m["t"] - a["first"] >= seconds * 1_000_000))
+        batch = a["batch"] + new.cast("long")
+        opens = new | (a["n"] == 0)
+        return F.struct(batch.alias("batch"), F.when(opens, 1).otherwise(a["n"] + 1).cast("long").alias("n"), F.when(opens, m["t"]).otherwise(a["first"]).alias("first"), F.array_append(a["out"], F.struct(m["o"].alias("o"), batch.alias("batch"))).alias("out"))
+
+    got = per.select(key, F.explode(F.aggregate("m", start, step, lambda a: a["out"])).alias("x"))
+    return got.select(key, F.col("x.o").alias(order), F.col("x.batch").alias("batch"))

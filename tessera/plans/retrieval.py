@@ -160,6 +160,13 @@ def _(t):
     return e.groupBy("user_id", F.floor((F.col("rn") - 1) / 8).alias("batch")).agg(F.count("*").alias("n"))
 
 
+@query("r01_age_batches", """WITH RECURSIVE m AS (SELECT user_id, event_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+f AS (SELECT user_id, i, event_id, 0::BIGINT AS batch, 1::BIGINT AS n, t AS first FROM m WHERE i = 1 UNION ALL SELECT f.user_id, m.i, m.event_id, f.batch + (n >= 8 OR m.t - f.first >= 86400000000)::BIGINT, CASE WHEN n >= 8 OR m.t - f.first >= 86400000000 THEN 1 ELSE n + 1 END, CASE WHEN n >= 8 OR m.t - f.first >= 86400000000 THEN m.t ELSE f.first END FROM f JOIN m ON m.user_id = f.user_id AND m.i = f.i + 1)
+SELECT user_id, event_id, batch FROM f""")  # R1
+def _(t):
+    return sessions.micro_batches(t.events, "user_id", "ts", "event_id", most=8, seconds=86_400)
+
+
 @query("r02_idle_commits", """WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 1 DAY THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS sid FROM g)
 SELECT user_id, count(*) AS n, CAST(min(ts)::DATE AS VARCHAR) AS first FROM s GROUP BY user_id, sid""")  # R2
 def _(t):

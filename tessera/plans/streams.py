@@ -3,6 +3,8 @@
 from pyspark.sql import functions as F
 
 from tessera.plans.registry import query
+from tessera.sources import cursors
+from tessera.sources.store import fresh_path
 from tessera.streaming import jobs
 
 
@@ -15,7 +17,7 @@ def _(t):
     return jobs.merged(events(t).select("user_id", "event_id", "value"), "user_id", ["event_id"])
 
 
-@query("r06_append_stream", "SELECT event_id, user_id FROM events WHERE event_type = 'error'")  # R6, R12
+@query("r06_append_stream", "SELECT event_id, user_id FROM events WHERE event_type = 'error'")  # R6
 def _(t):
     return jobs.appended(events(t).where("event_type = 'error'").select("event_id", "user_id"))
 
@@ -30,3 +32,14 @@ def _(t):
 def _(t):
     s = jobs.tumbling(events(t, "ts"), "ts", "1 hour", ["event_type"], n=F.count("*"))
     return jobs.result(s).select(F.unix_seconds("w.start").alias("hour"), "event_type", "n")
+
+
+@query("r12_cursors", "SELECT user_id, event_id, CASE WHEN event_id <= 400 THEN 1 ELSE 2 END AS batch FROM events WHERE event_type <> 'view'")  # R12
+def _(t):
+    """The log as it was, read twice before it is confirmed, then as it is."""
+    root, log = fresh_path(t.spark, "cursors"), t.events.where("event_type <> 'view'").select("user_id", "event_id")
+    cursors.pending(log.where("event_id <= 400"), root, "user_id", "event_id")
+    number, first = cursors.pending(log, root, "user_id", "event_id")  # still the same batch
+    cursors.confirm(t.spark, root, number, "user_id", "event_id")
+    again, second = cursors.pending(log, root, "user_id", "event_id")
+    return first.withColumn("batch", F.lit(number)).unionByName(second.withColumn("batch", F.lit(again)))

@@ -56,35 +56,49 @@ def appended(stream: DataFrame) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(out)
 
 
-def committed(spark: SparkSession, out: str, before: int | None = None) -> int | None:
-    """The last batch (before one) whose table was written to its end."""
-    root = spark._jvm.org.apache.hadoop.fs.Path(out)
-    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
-    done = [int(s.getPath().getName()) for s in (fs.listStatus(root) if fs.exists(root) else ()) if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
-    return max((n for n in done if before is None or n < before), default=None)
-
-
-def merged(stream: DataFrame, key: str, order: list[str], *, out: str | None = None, checkpoint: str | None = None) -> DataFrame:
-    """Incremental upsert: each batch's last rows are merged into the table of the batch before, which is
-    found in ``out`` itself. With the same ``out`` and ``checkpoint`` a new driver goes on where the last one
-    ended, and a batch that is done again writes the same table. Only the newest two tables stay."""
+def _list(spark: SparkSession, path: str) -> list:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    return [s.getPath() for s in fs.listStatus(p)] if fs.exists(p) else []
+
+
+def buckets(spark: SparkSession, out: str, before: float = float("inf")) -> tuple[dict[str, str], list]:
+    """Where the newest table of each bucket is, of the batches before one that were written to their end;
+    and the folders of buckets that a newer one has replaced."""
+    jvm, now, old = spark._jvm, {}, []
+    done = [p for p in _list(spark, out) if int(p.getName()) < before and any(x.getName() == "_SUCCESS" for x in _list(spark, p.toString()))]
+    for batch in sorted(done, key=lambda p: int(p.getName())):
+        for p in _list(spark, batch.toString()):
+            if p.getName().startswith("bucket="):
+                if p.getName() in now:
+                    old.append(jvm.org.apache.hadoop.fs.Path(now[p.getName()]))
+                now[p.getName()] = p.toString()
+    return now, old
+
+
+def merged(stream: DataFrame, key: str, order: list[str], *, out: str | None = None, checkpoint: str | None = None, parts: int = 64) -> DataFrame:
+    """Incremental upsert: keys are dealt into ``parts`` buckets, and a batch's last rows are merged into the
+    buckets that they belong to; others aren't read or written. What is where is found in ``out`` itself: with
+    the same ``out`` and ``checkpoint`` a new driver goes on where the last one ended, and a batch that is done
+    again writes the same tables."""
     spark = stream.sparkSession
     out, checkpoint = out or fresh_path(spark, "merged"), checkpoint or fresh_path(spark, "stream")
 
     def each(df: DataFrame, batch: int) -> None:
-        new, last = changes.latest(df, key, order), committed(spark, out, batch)
-        if last is not None:
-            new = changes.latest(spark.read.parquet(f"{out}/{last}").unionByName(new), key, order)
-        new.write.mode("overwrite").parquet(f"{out}/{batch}")
-        if last is not None and (old := committed(spark, out, last)) is not None:
-            p = spark._jvm.org.apache.hadoop.fs.Path(f"{out}/{old}")
+        bucket = F.pmod(F.xxhash64(key), F.lit(parts)).alias("bucket")
+        new = changes.latest(df, key, order)
+        now, old = buckets(spark, out, batch)
+        touched = [now[f"bucket={r[0]}"] for r in new.select(bucket).distinct().collect() if f"bucket={r[0]}" in now]  # at most ``parts``
+        if touched:
+            new = changes.latest(spark.read.schema(new.schema).parquet(*touched).unionByName(new), key, order)
+        new.select("*", bucket).write.mode("overwrite").partitionBy("bucket").parquet(f"{out}/{batch}")
+        for p in old:  # replaced before this batch, so a repeat of it doesn't need them
             p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
     stream.writeStream.outputMode("append").foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
-    last = committed(spark, out)
-    if last is None:
-        return changes.latest(spark.createDataFrame([], stream.schema), key, order)
-    return spark.read.parquet(f"{out}/{last}")
+    empty = changes.latest(spark.createDataFrame([], stream.schema), key, order)
+    now, _ = buckets(spark, out)
+    return spark.read.schema(empty.schema).parquet(*now.values()) if now else empty
 
 
 def sessions(stream: DataFrame, key: str, ts: str, gap: str = "1 day") -> DataFrame:
