@@ -362,17 +362,13 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit("[a-z]+"), 0)
 
 
-def _equals(value: str):
-    return lambda x: x == value
-
-
 def bm25(docs: DataFrame, key: str, text: str, terms: list[str], *, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """(key, score) of the texts that have any of the terms. Lengths are sums, and only the terms' own counts
     are made, inside each row, so nothing is exploded or shuffled but the two totals."""
     terms = sorted(set(terms))
-    rows = docs.select(key, words(F.col(text)).alias("w"))
-    tf = {t: F.size(F.filter("w", _equals(t))) for t in terms}
-    rows = rows.select(key, F.size("w").cast("double").alias("len"), *[c.alias(f"tf_{i}") for i, c in enumerate(tf.values())])
+    low = F.lower(F.col(text))
+    tf = {t: count(low, rf"(?<![a-z]){re.escape(t)}(?![a-z])") for t in terms}
+    rows = docs.select(key, count(low, "[a-z]+").cast("double").alias("len"), *[c.alias(f"tf_{i}") for i, c in enumerate(tf.values())])
     total = rows.agg(F.count("*").alias("n"), F.avg("len").alias("avg"), *[F.count_if(F.col(f"tf_{i}") > 0).alias(f"df_{i}") for i in range(len(terms))]).first()
     score = F.lit(0.0)
     for i in range(len(terms)):
