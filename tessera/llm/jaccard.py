@@ -259,6 +259,7 @@ def classed(docs: DataFrame, *, key: str, text: str, threshold: float, recall: f
     own = own.join(least, ["label", "salt"]).select("sid", "label", "class_id")
     known = sets.select("sid", "least").join(own, "sid", "left").join(counts, "sid", "left").join(same, "sid")
     known = known.select("sid", F.coalesce("label", "sid").alias("label"), F.when(F.col("label").isNull(), F.col("least")).otherwise(F.col("class_id")).alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("texts") - 1).alias("n_links"))
+    known = C.stored(known, "known")  # so that the join can deal out the rows of a set that very many have
     out = full.select("key", "tkey", "sid", "n").join(known, "sid").select("key", "tkey", "label", "class_id", "n_links", F.col("n").alias("n_shingles"))
     alone = rows.where("sid IS NULL").select("key", "tkey", F.lit(None).cast("binary").alias("label"), F.col("key").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(0).alias("n_shingles"))
     return out.unionByName(alone)

@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 from . import common as C
 from . import repeats as R
 
-#: Words of the phrases that one automaton is made of, and bytes of texts in one part of a shard, about.
-SHARD_WORDS, PART_BYTES = 250_000, 8 << 20
+#: Words of the phrases that one automaton is made of, and bytes and number of texts in one part of a shard, about.
+SHARD_WORDS, PART_BYTES, PART_TEXTS = 250_000, 8 << 20, 512
 #: Parts of a shard's rows in joins with the shard's one row.
 SALT = 32
 
@@ -138,7 +138,7 @@ def located_in(docs: DataFrame, u: R.Units) -> tuple[DataFrame, DataFrame]:
     routed = recurring.select("rk", "bytes", "sources").join(more.hint("shuffle_hash"), "rk", "left")
     every = F.array_distinct(F.transform(F.concat("sources", F.coalesce("more", F.array().cast("array<long>"))), shard_of))
     routed = C.stored(routed.select("rk", "bytes", F.explode(every).alias("shard")).distinct(), "routes")
-    parts = routed.groupBy("shard").agg(F.ceil(F.sum("bytes") / PART_BYTES).cast("int").alias("parts"))
+    parts = routed.groupBy("shard").agg(F.ceil(F.greatest(F.sum("bytes") / PART_BYTES, F.count("*") / PART_TEXTS, F.lit(1))).cast("int").alias("parts"))
     salted = parts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
     h = F.xxhash64("rk")
     placed = routed.withColumn("salt", F.pmod(h, F.lit(SALT)).cast("int")).join(salted, ["shard", "salt"])
