@@ -9,12 +9,14 @@ from tessera.operators import topk
 from tessera.sources.store import stored
 
 
-def group_count(df: DataFrame, fields: list[str], *, multi: bool = False, gt: int = -1, max_entry: int = 10_000) -> DataFrame:
-    """(key, count) by one or two fields, in key order; each element of a list field counts."""
+def group_count(df: DataFrame, fields: list[str], *, multi: bool = False, gt: int = -1, max_entry: int | None = None) -> DataFrame:
+    """(key, count) by one or two fields, in key order; each element of a list field counts. All keys come,
+    unless ``max_entry`` asks for the first ones."""
     if not 1 <= len(fields) <= 2:
         raise ValueError("one or two fields")
     rows = df.select(F.explode(fields[0]).alias("key")) if multi else df.select(F.concat_ws(",", *[F.col(f).cast("string") for f in fields]).alias("key"))
-    return rows.where("key IS NOT NULL").groupBy("key").agg(F.count("*").alias("count")).where(F.col("count") > gt).orderBy("key").limit(max_entry)
+    out = rows.where("key IS NOT NULL").groupBy("key").agg(F.count("*").alias("count")).where(F.col("count") > gt).orderBy("key")
+    return out if max_entry is None else out.limit(max_entry)
 
 
 def bucketed(value: Column, bounds: list[float]) -> Column:
