@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 #: Code points that count as CJK (1.5 tokens); others beyond U+FFFF count 2, the rest a quarter.
 CJK = r"[\x{3040}-\x{30FF}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{AC00}-\x{D7AF}\x{F900}-\x{FAFF}\x{20000}-\x{2EBEF}]"
 ASTRAL = r"[\x{10000}-\x{1FFFF}\x{2EBF0}-\x{10FFFF}]"
+#: All of both are among these.
+HEAVY = r"[\x{3040}-\x{10FFFF}]"
 
 #: Frequent words by which Latin-script languages are told apart.
 STOPWORDS = {
@@ -38,9 +40,20 @@ def count(text: Column, pattern: str) -> Column:
     return F.regexp_count(text, F.lit(pattern))
 
 
+def _left(text: Column, members: str) -> Column:
+    """How many characters of a class a text has; the others go in long runs, and no list of hits is made."""
+    return F.char_length(F.regexp_replace(text, f"[^{members[1:]}+", ""))
+
+
+def _quarters(text: Column) -> Column:
+    """Quarter tokens; of texts side by side they add up. Most texts have no character that counts more than one."""
+    n = F.char_length(text)
+    light = (F.octet_length(text) == n) | ~text.rlike(HEAVY)
+    return F.when(light, n).otherwise(n + _left(text, CJK) * 5 + _left(text, ASTRAL) * 7).cast("long")
+
+
 def estimate_tokens(text: Column) -> Column:
-    n, cjk, astral = F.char_length(text), count(text, CJK), count(text, ASTRAL)
-    return F.coalesce(F.ceil(cjk * 1.5 + astral * 2.0 + (n - cjk - astral) * 0.25), F.lit(0)).cast("long")
+    return F.coalesce(F.ceil(_quarters(text) / 4), F.lit(0)).cast("long")
 
 
 def _weight(chars: str) -> int:
@@ -316,46 +329,56 @@ def chunk(text: Column, offset: int, limit: int) -> tuple[Column, Column]:
     return F.substring(text, offset + 1, limit), F.char_length(text) > offset + limit
 
 
+def _cut(text: Column, most: int) -> Column:
+    """(piece, quarters) of each line; a line over ``most`` tokens by characters (of at most two tokens each)."""
+    sized = lambda p: F.struct(p.alias("piece"), _quarters(p).alias("quarters"))
+    small = lambda x: F.transform(F.regexp_extract_all(x, F.lit(f"(?s).{{1,{max(1, most // 2)}}}"), F.lit(0)), sized)
+    lines_ = F.transform(F.split(text, "(?<=\n)"), sized)
+    return F.flatten(F.transform(lines_, lambda x: F.when(x["quarters"] <= 4 * most, F.array(x)).otherwise(small(x["piece"]))))
+
+
+def _packed(parts: Column, most: int, until: int) -> Column:
+    """Neighbours joined while what is gathered is under ``until`` tokens and the sum fits. The fold adds up
+    quarters and notes which parts go together; each text is joined once."""
+
+    def joined(parts: Column) -> Column:
+        group = lambda a: F.struct(a["at"].alias("at"), a["n"].alias("n"), a["quarters"].alias("quarters"))
+        state = lambda *v: F.struct(*[c.alias(k) for k, c in zip(("done", "at", "n", "quarters"), v, strict=True)])
+
+        def fold(a: Column, p: Column) -> Column:
+            fits = (a["quarters"] <= 4 * (until - 1)) & (a["quarters"] + p["quarters"] <= 4 * most)
+            more = state(a["done"], a["at"], a["n"] + 1, a["quarters"] + p["quarters"])
+            return F.when(fits, more).otherwise(state(F.array_append(a["done"], group(a)), a["at"] + a["n"], F.lit(1), p["quarters"]))
+
+        none = F.from_json(F.lit("[]"), "array<struct<at: int, n: int, quarters: bigint>>")
+        groups = F.aggregate(parts, state(none, F.lit(1), F.lit(0), F.lit(0).cast("long")), fold, lambda a: F.array_append(a["done"], group(a)))
+        return F.transform(groups, lambda g: F.struct(F.array_join(F.slice(parts, g["at"], g["n"])["piece"], "").alias("piece"), g["quarters"].alias("quarters")))
+
+    return once(parts, joined)
+
+
 def split_chunks(df: DataFrame, text: str, budget: int = 1024) -> DataFrame:
     """Pieces of at most ``budget`` tokens that make up the whole text again: (chunk, n).
 
     Paragraphs are packed in order while they fit; one over the budget is cut by characters (of at most two
     tokens each). The fold runs inside a row."""
-    step = max(1, budget // 2)
-    paragraphs = F.split(F.col(text), "(?<=\n)")
-    cut = F.flatten(F.transform(paragraphs, lambda p: F.when(estimate_tokens(p) <= budget, F.array(p)).otherwise(F.transform(F.sequence(F.lit(0), F.ceil(F.char_length(p) / step).cast("int") - 1), lambda i: F.substring(p, i * step + 1, F.lit(step))))))
-    empty = F.from_json(F.lit("[]"), "array<string>")
-
-    def fold(a: Column, p: Column) -> Column:
-        fits = estimate_tokens(F.concat(a["last"], p)) <= budget
-        return F.struct(F.when(fits, a["done"]).otherwise(F.array_append(a["done"], a["last"])).alias("done"), F.when(fits, F.concat(a["last"], p)).otherwise(p).alias("last"))
-
-    got = F.aggregate(cut, F.struct(empty.alias("done"), F.lit("").alias("last")), fold, lambda a: F.array_append(a["done"], a["last"]))
+    got = _packed(_cut(F.col(text), budget), budget, budget + 1)["piece"]
     return df.select("*", F.posexplode(F.filter(got, lambda c: c != "")).alias("n", "chunk"))
 
 
-def smart_split(df: DataFrame, text: str, *, most: int = 1024, least: int = 512) -> DataFrame:
-    """Pieces (n, chunk) that make up the whole text again, none over ``most`` tokens: the text itself if it
+def pieces(text: Column, *, most: int = 1024, least: int = 512) -> Column:
+    """A list of pieces that make up the whole text again, none over ``most`` tokens: the text itself if it
     fits, else its sections by Markdown headings; sections under ``least`` are merged with the next ones
     while they fit, those over ``most`` are cut at line ends, and where a line is over it, by characters."""
-    step = max(1, most // 2)
-    small = lambda p: F.transform(F.sequence(F.lit(0), F.ceil(F.char_length(p) / step).cast("int") - 1), lambda i: F.substring(p, i * step + 1, F.lit(step)))
-    cut = lambda p: F.flatten(F.transform(F.split(p, "(?<=\n)"), lambda x: F.when(estimate_tokens(x) <= most, F.array(x)).otherwise(small(x))))
-    empty = F.from_json(F.lit("[]"), "array<string>")
+    sections = F.transform(F.split(text, r"(?m)(?=^#{1,6} )"), lambda p: F.struct(p.alias("piece"), _quarters(p).alias("quarters")))
+    fitted = F.flatten(F.transform(sections, lambda p: F.when(p["quarters"] <= 4 * most, F.array(p)).otherwise(_packed(_cut(p["piece"], most), most, most))))
+    got = F.when(_quarters(text) <= 4 * most, F.array(text)).otherwise(_packed(fitted, most, least)["piece"])
+    return F.filter(got, lambda c: c != "")
 
-    def packed(parts: Column, until: int) -> Column:
-        """Neighbours joined while what is gathered is under ``until`` and the sum fits."""
 
-        def fold(a: Column, p: Column) -> Column:
-            fits = (estimate_tokens(a["last"]) < until) & (estimate_tokens(F.concat(a["last"], p)) <= most)
-            return F.struct(F.when(fits, a["done"]).otherwise(F.array_append(a["done"], a["last"])).alias("done"), F.when(fits, F.concat(a["last"], p)).otherwise(p).alias("last"))
-
-        return F.aggregate(parts, F.struct(empty.alias("done"), F.lit("").alias("last")), fold, lambda a: F.array_append(a["done"], a["last"]))
-
-    sections = F.split(F.col(text), r"(?m)(?=^#{1,6} )")
-    fitted = F.flatten(F.transform(sections, lambda p: F.when(estimate_tokens(p) <= most, F.array(p)).otherwise(packed(cut(p), most))))
-    got = F.when(estimate_tokens(F.col(text)) <= most, F.array(F.col(text))).otherwise(packed(fitted, least))
-    return df.select("*", F.posexplode(F.filter(got, lambda c: c != "")).alias("n", "chunk"))
+def smart_split(df: DataFrame, text: str, *, most: int = 1024, least: int = 512) -> DataFrame:
+    """A row for each of the ``pieces`` of a text: (n, chunk)."""
+    return df.select("*", F.posexplode(pieces(F.col(text), most=most, least=least)).alias("n", "chunk"))
 
 
 def words(text: Column) -> Column:
