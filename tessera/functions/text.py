@@ -40,16 +40,16 @@ def count(text: Column, pattern: str) -> Column:
     return F.regexp_count(text, F.lit(pattern))
 
 
-def _left(text: Column, members: str) -> Column:
-    """How many characters of a class a text has; the others go in long runs, and no list of hits is made."""
-    return F.char_length(F.regexp_replace(text, f"[^{members[1:]}+", ""))
+def _number(text: Column, members: str) -> Column:
+    """How many characters of a class a text has; runs are taken out at once, and no list of hits is made."""
+    return F.char_length(text) - F.char_length(F.regexp_replace(text, f"[{members}]+", ""))
 
 
 def _quarters(text: Column) -> Column:
     """Quarter tokens; of texts side by side they add up. Most texts have no character that counts more than one."""
     n = F.char_length(text)
     light = (F.octet_length(text) == n) | ~text.rlike(HEAVY)
-    return F.when(light, n).otherwise(n + _left(text, CJK) * 5 + _left(text, ASTRAL) * 7).cast("long")
+    return F.when(light, n).otherwise(n + _number(text, CJK[1:-1]) * 5 + _number(text, ASTRAL[1:-1]) * 7).cast("long")
 
 
 def estimate_tokens(text: Column) -> Column:
@@ -85,45 +85,61 @@ def truncated(text: Column, budget: int, marker: str = "\n…\n") -> Column:
     return F.when(text.isNull() | (estimate_tokens(text) <= budget), text).otherwise(cut)
 
 
-def _among(values: Column):
-    return lambda x: F.array_contains(values, x)
-
-
 def detect_language(text: Column, fallback: str = "en") -> Column:
     """By script where that tells, else by frequent words and accents; weak or tied signals are English.
 
     Scripts and languages other than English, Chinese and ``fallback`` need a strong majority. Addresses
     don't count; a text without letters of any known script has the fallback."""
-    t = F.regexp_replace(F.coalesce(text, F.lit("")), r"\b(?:\w+)://[^\s<>\])\"']+", " ")
-    scripts = {"zh-CN": r"[\x{4E00}-\x{9FFF}]", "ko": r"[\x{AC00}-\x{D7AF}]", "ru": r"[\x{0400}-\x{04FF}]", "ar": r"[\x{0600}-\x{06FF}]"}
-    n = {k: count(t, p) for k, p in scripts.items()}
-    kana, latin = count(t, r"[\x{3040}-\x{30FF}\x{31F0}-\x{31FF}\x{FF66}-\x{FF9F}]"), count(t, r"[A-Za-z\x{00C0}-\x{024F}]")
-    total = sum(n.values(), kana + latin)
+    addresses = F.regexp_replace(text, r"\b(?:\w+)://[^\s<>\])\"']+", " ")
+    return once(F.when(F.contains(text, F.lit("://")), addresses).otherwise(F.coalesce(text, F.lit(""))), lambda t: _language(t, fallback))
+
+
+def _language(t: Column, fallback: str) -> Column:
     ours = {"en", "zh-CN", fallback}
-    japanese = n["zh-CN"] + kana
-    is_japanese = (kana >= 3) & (F.lit("ja" in ours) | ((kana >= 10) & (japanese >= 0.95 * total) & (kana >= 0.3 * japanese)))
-    most = F.greatest(*n.values())
-    script = F.lit(None).cast("string")
-    for k in reversed(n):
-        script = F.when(n[k] == most, k).otherwise(script)
-    told = (most >= 2) & (most >= 0.20 * total) & (script.isin(*ours) | ((most >= 10) & (most >= 0.95 * total)))
-    latin_language = once(F.filter(F.split(F.lower(t), r"[^a-z\x{00C0}-\x{024F}]+"), lambda w: w != ""), lambda words: _latin(words, F.lower(t), ours))
-    return F.when(total == 0, fallback).when(is_japanese, "ja").when(told, script).when(latin > 0, latin_language).otherwise(fallback)
-
-
-def _latin(words: Column, lowered: Column, ours: set[str]) -> Column:
-    stop = {k: F.size(F.filter(words, _among(F.array(*[F.lit(w) for w in sorted(set(v.split()))])))) for k, v in STOPWORDS.items()}
-    accent = {k: count(lowered, f"[{v}]") for k, v in ACCENTS.items()}
-    scores = F.array(*[F.struct((stop[k] + accent.get(k, F.lit(0))).alias("score"), F.lit(-i).alias("first"), F.lit(k).alias("lang"), stop[k].alias("stop"), accent.get(k, F.lit(0)).alias("accent")) for i, k in enumerate(stop)])
-
-    def judge(all_: Column) -> Column:
+    scripts = {"zh-CN": r"\x{4E00}-\x{9FFF}", "ko": r"\x{AC00}-\x{D7AF}", "ru": r"\x{0400}-\x{04FF}", "ar": r"\x{0600}-\x{06FF}", "kana": r"\x{3040}-\x{30FF}\x{31F0}-\x{31FF}\x{FF66}-\x{FF9F}"}
+    other = t.rlike(r"[\x{0250}-\x{10FFFF}]")  # most texts have no letter of another script
+    counts = once(other, lambda o: F.struct(_number(t, r"A-Za-z\x{00C0}-\x{024F}").alias("latin"), *[F.when(o, _number(t, p)).otherwise(0).alias(k) for k, p in scripts.items()]))
+
+    def judge(n: Column) -> Column:
+        total = sum((n[k] for k in scripts), n["latin"])
+        japanese = n["zh-CN"] + n["kana"]
+        is_japanese = (n["kana"] >= 3) & (F.lit("ja" in ours) | ((n["kana"] >= 10) & (japanese >= 0.95 * total) & (n["kana"] >= 0.3 * japanese)))
+        written = [k for k in scripts if k != "kana"]
+        most = F.greatest(*[n[k] for k in written])
+        script = F.lit(None).cast("string")
+        for k in reversed(written):
+            script = F.when(n[k] == most, k).otherwise(script)
+        told = (most >= 2) & (most >= 0.20 * total) & (script.isin(*ours) | ((most >= 10) & (most >= 0.95 * total)))
+        latin_language = once(F.lower(t), lambda low: _latin(low, ours))
+        return F.when(total == 0, fallback).when(is_japanese, "ja").when(told, script).when(n["latin"] > 0, latin_language).otherwise(fallback)
+
+    return once(counts, judge)
+
+
+def _latin(lowered: Column, ours: set[str]) -> Column:
+    """The text is split once; the languages' words and accents are counted among the few that any language has."""
+    listed = {k: sorted(set(v.split())) for k, v in STOPWORDS.items()}
+    words = F.split(lowered, r"[^a-z\x{00C0}-\x{024F}]+")
+    known = lambda w: F.filter(w, lambda x: x.isin(*sorted(set().union(*listed.values()))))
+    beyond = F.when(F.octet_length(lowered) == F.char_length(lowered), "").otherwise(F.regexp_replace(lowered, r"[\x00-\x7F]+", ""))
+    found = once(words, lambda w: F.struct(F.size(F.array_remove(w, "")).alias("size"), known(w).alias("known"), beyond.alias("beyond")))
+
+    def scored(f: Column) -> Column:
+        def one(i: int, k: str) -> Column:
+            stop = F.size(F.filter(f["known"], lambda x: x.isin(*listed[k])))
+            accent = _number(f["beyond"], ACCENTS[k]) if k in ACCENTS else F.lit(0)
+            pair = F.struct(stop.alias("stop"), accent.alias("accent"))
+            return once(pair, lambda p: F.struct((p["stop"] + p["accent"]).alias("score"), F.lit(-i).alias("first"), F.lit(k).alias("lang"), p["stop"].alias("stop"), p["accent"].alias("accent")))
+
+        return once(F.sort_array(F.array(*[one(i, k) for i, k in enumerate(listed)]), asc=False), lambda all_: judge(all_, f["size"]))
+
+    def judge(all_: Column, size: Column) -> Column:
         best, english = F.get(all_, F.lit(0)), F.get(F.filter(all_, lambda x: x["lang"] == "en"), F.lit(0))["score"]
-        size = F.size(words)
         strong = (size >= 20) & (best["score"] >= 6) & (best["score"] >= english + 4)
         ok = (size >= 6) & ((best["accent"] > 0) | (best["stop"] >= 4)) & (best["score"] >= 3) & (best["score"] >= english + 2) & (best["lang"].isin(*ours) | strong)
         return F.when((size < 3) | (best["lang"] == "en") | ~ok, "en").otherwise(best["lang"])
 
-    return once(F.sort_array(scores, asc=False), judge)
+    return once(found, scored)
 
 
 def looks_binary(text: Column) -> Column:

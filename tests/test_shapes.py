@@ -77,3 +77,17 @@ def brute_split(x, most, least):
     for section in re.split(r"(?m)(?=^#{1,6} )", x):
         parts += [section] if tokens(section) <= most else packed([y for line in re.split("(?<=\n)", section) for y in small(line)], most)
     return [p for p in packed(parts, least) if p]
+
+
+GERMAN = "der die das und nicht mit dem Projekt für das Dokument ist ein und zu der Benutzer von hier aus und da "
+SPOKEN = [
+    None, "", "12 34", "Ⱥ", "a b", "ñ", GERMAN, GERMAN.upper(), GERMAN * 300, "see ftp://für.ist/über " * 30 + "the end", "le projet est pour les utilisateurs et la préférence avec des documents que une " * 3, "\n\tder die das und nicht\n",
+    "это русский текст " * 9 + "ok", "كلمة " * 30, "한국어 텍스트 " * 20, "かな漢字です" * 9, "かな the words here are more than that " * 3, "中文 in the text " * 4, "中 " + "plain words " * 40, "\U0001f600 über die Straße " * 20, "K İ ΣΑΣ ſ the und", "ﾊﾟﾋﾟﾌﾟ" * 9,
+]
+
+
+def test_languages_of_odd_texts(spark, tmp_path):
+    put(spark.createDataFrame(list(enumerate(SPOKEN)), "doc_id bigint, text string"), tmp_path, "documents")
+    got = plan(catalog.queries()["f03_detect_language"](spark, str(tmp_path)))
+    assert (got.count("://["), got.count("lower("), got.count("split(")) == (1, 1, 1)  # each text is read once for each
+    assert same(spark, "f03_detect_language", tmp_path) == len(SPOKEN)
