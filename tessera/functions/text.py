@@ -401,6 +401,16 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit("[a-z]+"), 0)
 
 
+def word_counts(text: Column) -> Column:
+    """A map from word to count: the words are sorted, and a run's length is the way to the next one's start."""
+
+    def counted(w: Column) -> Column:
+        starts = F.filter(F.transform(w, lambda x, i: F.when((i == 0) | (x != F.get(w, i - 1)), F.struct(x.alias("t"), i.alias("at")))), lambda s: s.isNotNull())
+        return once(starts, lambda s: F.map_from_entries(F.transform(s, lambda x, j: F.struct(x["t"], (F.coalesce(F.get(s, j + 1)["at"], F.size(w)) - x["at"]).cast("double")))))
+
+    return once(F.sort_array(words(text)), counted)
+
+
 def bm25(docs: DataFrame, key: str, text: str, terms: list[str], *, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """(key, score) of the texts that have any of the terms. Lengths are sums, and only the terms' own counts
     are made, inside each row, so nothing is exploded or shuffled but the two totals."""

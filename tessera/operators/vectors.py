@@ -74,8 +74,9 @@ def int8_l2(a: Column, b: Column) -> Column:
 
 
 def sparse_inner(a: Column, b: Column) -> Column:
-    """Over two maps from term to weight."""
-    return F.aggregate(F.map_keys(a), F.lit(0.0), lambda s, k: s + a[k].cast("double") * F.coalesce(F.try_element_at(b, k).cast("double"), F.lit(0.0)))
+    """Over two maps from term to weight, whose keys meet by hash."""
+    both = F.map_zip_with(a, b, lambda k, x, y: F.coalesce(x.cast("double") * y.cast("double"), F.lit(0.0)))
+    return F.aggregate(F.map_values(both), F.lit(0.0), lambda s, x: s + x)
 
 
 def sparse_l2(a: Column, b: Column) -> Column:

@@ -91,3 +91,16 @@ def test_languages_of_odd_texts(spark, tmp_path):
     got = plan(catalog.queries()["f03_detect_language"](spark, str(tmp_path)))
     assert (got.count("://["), got.count("lower("), got.count("split(")) == (1, 1, 1)  # each text is read once for each
     assert same(spark, "f03_detect_language", tmp_path) == len(SPOKEN)
+
+
+COUNTED = [(0, "a b b"), (1, "B c, c! d1d\nthe The THE"), (2, None), (3, "12 中"), (4, ""), (5, " ".join(f"w{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)} c" for i in range(5000))), (6, "the " * 300), (7, "K k \xe4b")]
+
+
+def test_sparse_maps_of_odd_texts(spark, tmp_path):
+    for case, rows in enumerate((COUNTED, COUNTED[2:], [*COUNTED, (0, "b c"), (1, "c the e"), (6, None), (None, "c"), (None, "c d")], [(1, None), (2, "a")])):
+        folder = tmp_path / str(case)
+        folder.mkdir()
+        put(spark.createDataFrame(rows, "doc_id bigint, text string"), folder, "documents")
+        for name in ("v07_sparse_dot",):
+            assert same(spark, name, folder) > 0
+            assert case == 2 or "Exchange" not in plan(catalog.queries()[name](spark, str(folder)))  # no word leaves its row
