@@ -101,6 +101,6 @@ def test_sparse_maps_of_odd_texts(spark, tmp_path):
         folder = tmp_path / str(case)
         folder.mkdir()
         put(spark.createDataFrame(rows, "doc_id bigint, text string"), folder, "documents")
-        for name in ("v07_sparse_dot",):
+        for name in ("v07_sparse_dot", "v08_sparse_l2"):
             assert same(spark, name, folder) > 0
             assert case == 2 or "Exchange" not in plan(catalog.queries()[name](spark, str(folder)))  # no word leaves its row
