@@ -37,9 +37,11 @@ STATES, HEAD, BUCKETS, STRETCH, ROUNDS = 6, 16_000, 64, 256, 6
 #: Tokens whose counts are broadcast, at most: a few MB.
 KNOWN = 50_000
 #: Distinct words a task counts before it passes them on; tokens of one step of the recursions.
-FLUSH, STEP_TOKENS = 200_000, 1 << 18
+FLUSH, STEP_TOKENS = 200_000, 1 << 20
 #: Steps of a recursion between two scalings; emissions are relative to a token's largest one, so little is lost.
 EVERY = 8
+#: Stretches beside each other in matrix products: a multiple of this.
+ALIGN = 16
 SMOOTH = 0.1
 END = b""
 LOWER = np.arange(256, dtype=np.uint8)
@@ -146,7 +148,7 @@ def prepare(docs: DataFrame, v: Vocabulary, *, text: str, keep: list[str]) -> Da
     """Each row's classes, sums over its known tokens, and its rare tokens with their frequencies."""
     held = docs.sparkSession.sparkContext.broadcast(v)
     tail = T.ArrayType(T.StructType([T.StructField("token", T.BinaryType()), T.StructField("tf", T.IntegerType())]))
-    fields = [T.StructField("classes", T.ArrayType(T.ShortType())), T.StructField("log_c", T.DoubleType()), T.StructField("log_share", T.DoubleType()), T.StructField("known", T.LongType()), T.StructField("tail", tail)]
+    fields = [T.StructField("classes", T.BinaryType()), T.StructField("log_c", T.DoubleType()), T.StructField("log_share", T.DoubleType()), T.StructField("known", T.LongType()), T.StructField("tail", tail)]
 
     def make():
         v = held.value
@@ -159,23 +161,25 @@ def prepare(docs: DataFrame, v: Vocabulary, *, text: str, keep: list[str]) -> Da
                 code, distinct = coded.indices.to_numpy().astype(np.int64), coded.dictionary
                 at = pc.fill_null(pc.index_in(distinct, value_set=v.tokens), -1).to_numpy()
                 rare = np.flatnonzero(at < 0)
-                k = np.array([zlib.crc32(t) % BUCKETS for t in distinct.take(pa.array(rare)).to_pylist()], np.int64)
+                raw, cut = C.text_buffer(distinct.take(pa.array(rare)))
+                raw, cut = raw.tobytes(), cut.tolist()
+                k = np.array([zlib.crc32(raw[s:e]) for s, e in zip(cut, cut[1:], strict=False)], np.int64) % BUCKETS
                 cls, log_c, share = v.cls[at], v.log_c[at], v.log_share[at]
                 cls[rare], log_c[rare], share[rare] = v.first_bucket + k, 0, -v.bucket_log[k]
                 row = np.repeat(np.arange(n), np.diff(off))
-                classes = np.zeros(len(code) + n, np.int16)  # the end token is class 0
+                classes = np.zeros(len(code) + n, "<i2")  # the end token is class 0
                 classes[np.arange(len(code)) + row] = cls[code]
                 own = at[code] < 0
                 pair, tf = np.unique(row[own] * len(distinct) + code[own], return_counts=True)
                 struct = pa.StructArray.from_arrays([distinct.take(pa.array(pair % max(1, len(distinct)))).cast(pa.binary()), pa.array(tf.astype(np.int32))], names=["token", "tf"])
                 parts.append([
-                    C.list_array(pa.array(classes), np.diff(off) + 1),
+                    pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer((2 * (off + np.arange(n + 1))).astype(np.int32)), pa.py_buffer(classes)]),
                     *(pa.array(np.bincount(row, x[code], n) + end) for x, end in ((log_c, v.log_c[0]), (share, 0.0))),
                     pa.array(np.bincount(row, ~own, n).astype(np.int64) + v.end_known),
                     C.list_array(struct, np.bincount(pair // max(1, len(distinct)), minlength=n)),
                 ])
             if not parts:
-                kinds = (pa.list_(pa.int16()), pa.float64(), pa.float64(), pa.int64(), pa.list_(pa.struct([("token", pa.binary()), ("tf", pa.int32())])))
+                kinds = (pa.binary(), pa.float64(), pa.float64(), pa.int64(), pa.list_(pa.struct([("token", pa.binary()), ("tf", pa.int32())])))
                 return [pa.array([], t) for t in kinds]
             return [pa.concat_arrays(x) for x in zip(*parts, strict=True)]
 
@@ -205,9 +209,8 @@ class Params:
         return Params(start / start.sum(), move / move.sum(1, keepdims=True), emit / emit.sum(0))
 
 
-def stretches(flat: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Classes as a matrix with a row for each stretch, longest first; their sizes; the row of the
-    input, and the number in it, of each."""
+def stretches(off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Where each stretch begins, longest first; their sizes; the row of the input, and the number in it, of each."""
     n = np.diff(off)
     parts = -(-n // STRETCH)
     row = np.repeat(np.arange(len(n)), parts)
@@ -215,118 +218,150 @@ def stretches(flat: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray
     size = np.minimum(n[row] - number * STRETCH, STRETCH)
     order = np.argsort(-size, kind="stable")
     row, number, size = row[order], number[order], size[order]
-    at = np.minimum(off[row][:, None] + number[:, None] * STRETCH + np.arange(int(size.max())), len(flat) - 1)
-    return flat[at], size, row, number
-
-
-def _products(x: np.ndarray, size: np.ndarray, number: np.ndarray, p: Params) -> tuple[np.ndarray, np.ndarray]:
-    """The product of each stretch's transition-emission matrices, scaled, and the log10 of the scale."""
-    steps, n = x.shape[1], len(x)
-    running = np.searchsorted(-size, -np.arange(steps), "left")
-    most = p.emit.max(1)
-    emit = p.emit / most[:, None]
-    mat = np.zeros((n, STATES, STATES))
-    log = (np.log10(most)[x] * (np.arange(steps) < size[:, None])).sum(1)
-    for t in range(steps):
-        m = running[t]
-        e = emit[x[:m, t]]
-        if t == 0:  # a text's first token has no move before it
-            mat[:] = np.where((number == 0)[:, None, None], np.eye(STATES), p.move) * e[:, None, :]
-        else:
-            np.multiply((mat[:m].reshape(-1, STATES) @ p.move).reshape(m, STATES, STATES), e[:, None, :], out=mat[:m])
-        if t % EVERY == EVERY - 1:
-            s = mat[:m].sum((1, 2))
-            mat[:m] /= s[:, None, None]
-            log[:m] += np.log10(s)
-    s = mat.sum((1, 2))
-    return mat / s[:, None, None], log + np.log10(s)
+    return off[row] + number * STRETCH, size, row, number
+
+
+def _running(size: np.ndarray) -> np.ndarray:
+    """How many stretches, from the longest, have a token at each step."""
+    return np.searchsorted(-size, -np.arange(int(size[0])), "left")
+
+
+def _carried(flat: np.ndarray, begin: np.ndarray, size: np.ndarray, first: np.ndarray, p: Params) -> tuple[np.ndarray, np.ndarray]:
+    """``first`` (vectors or matrices: to state, from state or 1) times the emissions and moves of each
+    stretch: (to, from, stretch), scaled, and the log10 of the scale without the tokens' largest emissions.
+    Stretches lie side by side in memory, so that products and emissions run along them, in whole
+    blocks of ``ALIGN``: at the end of one BLAS rounds otherwise, and equal texts would score apart."""
+    emit, move = np.ascontiguousarray((p.emit / p.emit.max(1, keepdims=True)).T), np.ascontiguousarray(p.move.T)
+    running, n = [*_running(size), 0], len(size)
+    begin = np.pad(begin, (0, -n % ALIGN), "edge")
+    mat = np.repeat(first[:, :, None], len(begin), 2)
+    out, log = np.ones_like(mat), np.zeros(n)
+    for t, m in enumerate(running[:-1]):
+        if t:
+            if t % EVERY == 0:  # only here are those left out that have ended
+                mat = mat[:, :, : m + -m % ALIGN]
+                s = mat.sum((0, 1))
+                mat = mat / s
+                log[:m] += np.log10(s[:m])
+            mat = (move @ mat.reshape(STATES, -1)).reshape(mat.shape)
+        at = begin[: mat.shape[2]] + t
+        mat *= emit.take(flat.take(at, mode="clip"), axis=1)[:, None]
+        if running[t + 1] < m:
+            out[:, :, running[t + 1] : m] = mat[:, :, running[t + 1] : m]
+    s = out.sum((0, 1))
+    return (out / s)[:, :, :n], log + np.log10(s[:n])
 
 
 def _by_number(number: np.ndarray):
     """The stretches that are first in their texts, then those that are second, ..."""
     order = np.argsort(number, kind="stable")
-    cut = np.searchsorted(number[order], np.arange(int(number.max()) + 2))
+    cut = np.searchsorted(number[order], np.arange(int(number.max(initial=-1)) + 2))
     return [order[cut[i] : cut[i + 1]] for i in range(len(cut) - 1)]
 
 
 def expected_counts(flat: np.ndarray, off: np.ndarray, p: Params) -> np.ndarray:
     """Forward-backward over each row: expected starts, moves and emissions, flattened."""
-    x, size, row, number = stretches(flat, off)
-    steps, n = x.shape[1], len(x)
-    before = np.tile(p.start, (n, 1))  # the forward vector before a stretch, and the backward one after it
-    after = np.ones((n, STATES))
-    several = np.flatnonzero(np.bincount(row)[row] > 1)
-    if len(several):
-        mat, _ = _products(x[several], size[several], number[several], p)
-        groups = _by_number(number[several])
-        v, at = np.tile(p.start, (len(off) - 1, 1)), row[several]
+    begin, size, row, number = stretches(off)
+    n, later = len(size), number > 0
+    before = np.tile(p.start[:, None], n)  # the forward vector before a stretch, and the backward one after it
+    after = np.ones((STATES, n))
+    head, rest = np.flatnonzero(~later & (np.bincount(row)[row] > 1)), np.flatnonzero(later)
+    if len(rest):
+        v = np.empty((STATES, len(off) - 1))
+        v[:, row[head]] = _carried(flat, begin[head], size[head], p.start[:, None], p)[0][:, 0]
+        mat, _ = _carried(flat, begin[rest], size[rest], p.move.T, p)
+        groups = _by_number(number[rest])
         for some in groups:
-            before[several[some]] = v[at[some]]
-            new = np.einsum("ij,ijk->ik", v[at[some]], mat[some])
-            v[at[some]] = new / new.sum(1, keepdims=True)
+            at = row[rest[some]]
+            before[:, rest[some]] = v[:, at]
+            new = (mat[:, :, some] * v[:, at]).sum(1)
+            v[:, at] = new / new.sum(0)
         v[:] = 1
         for some in reversed(groups):
-            after[several[some]] = v[at[some]]
-            new = np.einsum("ijk,ik->ij", mat[some], v[at[some]])
-            v[at[some]] = new / new.sum(1, keepdims=True)
-    emit, move = (p.emit / p.emit.max(1, keepdims=True)).astype(np.float32), p.move.astype(np.float32)
-    xt = np.ascontiguousarray(x.T)
-    e = emit[xt]  # step, stretch, state
-    running = np.searchsorted(-size, -np.arange(steps), "left")
-    alpha = np.zeros((steps, n, STATES), np.float32)
+            at = row[rest[some]]
+            after[:, rest[some]] = v[:, at]
+            new = (mat[:, :, some] * v[:, None, at]).sum(0)
+            v[:, at] = new / new.sum(0)
+        after[:, head] = v[:, row[head]]
+    running = _running(size)
+    steps, at = len(running), np.concatenate([[0], np.cumsum(running)])
+    # tokens by step, and by stretch within it: so each step is a slice
+    x = np.concatenate([flat[begin[:m] + t] for t, m in enumerate(running)])
+    move = p.move.astype(np.float32)
+    back = np.ascontiguousarray(move.T)
+    e = np.ascontiguousarray((p.emit / p.emit.max(1, keepdims=True)).T.astype(np.float32)).take(x, axis=1)
+    alpha = np.empty((STATES, len(x)), np.float32)
     scale: dict[int, np.ndarray] = {}
-    later = number > 0
     before = before.astype(np.float32)
-    a = np.where(later[:, None], before @ move, before)
+    a = np.where(later, back @ before, before)
     for t in range(steps):
-        m = running[t]
-        a = (a[:m] if t == 0 else a[:m] @ move) * e[t, :m]
+        now = slice(at[t], at[t + 1])
+        if t:
+            a = back @ a[:, : running[t]]
+        a = np.multiply(a, e[:, now], out=alpha[:, now])
         if t % EVERY == 0:
-            scale[t] = s = np.maximum(a.sum(1, keepdims=True), 1e-30)
+            scale[t] = s = np.maximum(a.sum(0), 1e-30)
             a /= s
-        alpha[t, :m] = a
     beta = after.astype(np.float32)
-    beta /= np.maximum((alpha[size - 1, np.arange(n)] * beta).sum(1, keepdims=True), 1e-30)
+    beta /= np.maximum((alpha[:, at[size - 1] + np.arange(n)] * beta).sum(0), 1e-30)
     moved = np.zeros((STATES, STATES))
     for t in range(steps - 1, -1, -1):
-        m = running[t]
-        if t + 1 < steps and running[t + 1]:
+        now = slice(at[t], at[t + 1])
+        if t + 1 < steps:
             k = running[t + 1]
-            eb = e[t + 1, :k] * beta[:k]
+            eb = e[:, at[t + 1] : at[t + 2]] * beta[:, :k]
             if t + 1 in scale:
                 eb /= scale[t + 1]
-            moved += alpha[t, :k].T @ eb
-            beta[:k] = eb @ move.T
+            moved += alpha[:, at[t] : at[t] + k] @ eb.T
+            np.matmul(move, eb, out=beta[:, :k])
         if t == 0:  # the moves into a stretch from the one before
-            moved += before[later].T @ (e[0, later] * beta[later] / scale[0][later])
-        alpha[t, :m] *= beta[:m]
+            moved += before[:, later] @ (e[:, now] * beta / scale[0])[:, later].T
+        alpha[:, now] *= beta[:, : running[t]]
     moved *= p.move
-    inside = np.arange(steps)[:, None] < size
-    gamma, cls = alpha[inside], xt[inside]
-    emitted = np.stack([np.bincount(cls, weights=gamma[:, k], minlength=len(p.emit)) for k in range(STATES)], 1)
-    return np.concatenate([alpha[0, ~later].sum(0, dtype=np.float64), moved.ravel(), emitted.ravel()])
+    emitted = np.stack([np.bincount(x, weights=g, minlength=len(p.emit)) for g in alpha], 1)
+    return np.concatenate([alpha[:, :n][:, ~later].sum(1, dtype=np.float64), moved.ravel(), emitted.ravel()])
 
 
 def log10_likelihood(flat: np.ndarray, off: np.ndarray, p: Params) -> np.ndarray:
     """Exact log10 probability of each row's classes."""
-    x, size, row, number = stretches(flat, off)
-    mat, log = _products(x, size, number, p)
-    out = np.zeros(len(off) - 1)
-    a = np.tile(p.start, (len(out), 1))
-    for some in _by_number(number):
-        r = row[some]
-        v = np.einsum("ij,ijk->ik", a[r], mat[some])
-        s = v.sum(1)
-        a[r] = v / s[:, None]
-        out[r] += np.log10(s) + log[some]
+    begin, size, row, number = stretches(off)
+    head, rest = np.flatnonzero(number == 0), np.flatnonzero(number)
+    out = np.add.reduceat(np.log10(p.emit.max(1))[flat], off[:-1])
+    a = np.empty((STATES, len(out)))
+    v, log = _carried(flat, begin[head], size[head], p.start[:, None], p)
+    a[:, row[head]] = v[:, 0]
+    out[row[head]] += log
+    if len(rest):
+        mat, log = _carried(flat, begin[rest], size[rest], p.move.T, p)
+        for some in _by_number(number[rest]):
+            r = row[rest[some]]
+            v = (mat[:, :, some] * a[:, r]).sum(1)
+            s = v.sum(0)
+            a[:, r] = v / s
+            out[r] += np.log10(s) + log[some]
     return out
 
 
-def _class_steps(col: pa.Array):
-    flat = col.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-    off = np.concatenate([[0], np.cumsum(pc.list_value_length(col).to_numpy(zero_copy_only=False).astype(np.int64))])
-    for i, j in C.steps(off, STEP_TOKENS):
-        yield i, j, flat[off[i] : off[j]], off[i : j + 1] - off[i]
+def _class_steps(columns):
+    """Classes and offsets of all rows of ``columns``, about STEP_TOKENS at a time, or one row."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    size = 0
+    for col in columns:
+        data, off = C.text_buffer(col)
+        for i, j in C.steps(off, 2 * STEP_TOKENS):
+            part = data[off[i] : off[j]].view("<i2")
+            if size and size + len(part) > STEP_TOKENS:
+                yield _together(held)
+                held, size = [], 0
+            held.append((part, np.diff(off[i : j + 1]) // 2))
+            size += len(part)
+    if held:
+        yield _together(held)
+
+
+def _together(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    flat, n = (np.concatenate(x).astype(np.int64) for x in zip(*held, strict=True))
+    return flat, np.concatenate([[0], np.cumsum(n)])
 
 
 def baum_welch(prepared: DataFrame, v: Vocabulary, rounds: int = ROUNDS) -> Params:
@@ -338,10 +373,9 @@ def baum_welch(prepared: DataFrame, v: Vocabulary, rounds: int = ROUNDS) -> Para
 
         def run(batches, held=held):
             p, total = held.value, None
-            for b in batches:
-                for _, _, flat, off in _class_steps(b.column(0)):
-                    got = expected_counts(flat, off, p)
-                    total = got if total is None else total + got
+            for flat, off in _class_steps(b.column(0) for b in batches):
+                got = expected_counts(flat, off, p)
+                total = got if total is None else total + got
             if total is not None:
                 at = np.flatnonzero(total)
                 yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["at", "x"])
@@ -369,13 +403,13 @@ def score(docs: DataFrame, training: Column, *, text: str = "text", keep: tuple[
         p = held.value
 
         def f(col: pa.Array) -> list[pa.Array]:
-            got = [log10_likelihood(flat, off, p) for _, _, flat, off in _class_steps(col)]
+            got = [log10_likelihood(flat, off, p) for flat, off in _class_steps([col])]
             return [pa.array(np.concatenate(got or [np.zeros(0)]))]
 
         return f
 
     own = C.with_arrow(rows.drop("tail"), "classes", [T.StructField("sequence", T.DoubleType())], make)
-    own = own.withColumn("n_tokens", F.size("classes").cast("long")).drop("classes")
+    own = own.withColumn("n_tokens", F.expr("octet_length(classes) div 2")).drop("classes")
     # a rare token's share of its bucket is (c + 0.1) / the bucket's sum, which is already in log_share
     tail = rows.select("row", F.explode("tail").alias("t")).select("row", "t.token", "t.tf").join(counts, "token", "left")
     log_c = F.col("tf") * F.log10(F.coalesce("c", F.lit(0)) + SMOOTH)

@@ -5,6 +5,7 @@ import math
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -392,6 +393,54 @@ def test_hmm_expected_counts_are_those_of_whole_texts():
     assert np.allclose(got, np.concatenate([start, move.ravel(), emit.ravel()]), rtol=2e-3, atol=2e-2)
 
 
+def hmm_of_50(r):
+    return hmm.Params(r.dirichlet(np.ones(hmm.STATES)), r.dirichlet(np.ones(hmm.STATES), hmm.STATES), r.dirichlet(np.ones(50), hmm.STATES).T)
+
+
+def test_hmm_scores_of_equal_texts_are_equal_to_the_bit():
+    r = np.random.default_rng(1)
+    p = hmm_of_50(r)
+    for n in (1, 3, 17, 256, 257, 600, 1500) * 12:
+        s, others = r.integers(0, 50, n), [r.integers(0, 50, int(r.integers(1, 700))) for _ in range(int(r.integers(0, 40)))]
+        seqs = [*others[:7], s, *others[7:], s]
+        got = hmm.log10_likelihood(np.concatenate(seqs), np.cumsum([0, *map(len, seqs)]), p)
+        assert got[min(7, len(others))] == got[-1] == hmm.log10_likelihood(s, np.array([0, n]), p)[0]
+
+
+def test_hmm_batches_are_worked_on_together(monkeypatch):
+    r = np.random.default_rng(4)
+    seqs = [r.integers(0, 16_064, int(n)).astype("<i2") for n in r.integers(1, 60, 200)]
+    columns = [pa.array([s.tobytes() for s in seqs[i : i + 5]], pa.binary()) for i in range(0, 200, 5)] + [pa.array([], pa.binary())]
+    off = np.cumsum([0, *map(len, seqs)])
+    ((flat, got),) = hmm._class_steps(columns)
+    assert (flat == np.concatenate(seqs)).all() and (got == off).all()
+    for most in (1, 50, 1000):
+        monkeypatch.setattr(hmm, "STEP_TOKENS", most)
+        steps = list(hmm._class_steps(columns))
+        assert (np.concatenate([f for f, _ in steps]) == flat).all() and sum(len(o) - 1 for _, o in steps) == 200
+        assert all(len(f) <= most or len(o) == 2 for f, o in steps)
+    assert list(hmm._class_steps(columns[-1:])) == []
+
+
+def test_hmm_makes_matrices_only_of_later_stretches(monkeypatch):
+    r = np.random.default_rng(6)
+    p = hmm_of_50(r)
+    made, inner = collections.Counter(), hmm._carried
+
+    def counted(flat, begin, size, first, p):
+        made[first.shape[1]] += len(size)
+        return inner(flat, begin, size, first, p)
+
+    monkeypatch.setattr(hmm, "_carried", counted)
+    n = np.array([1, 30, hmm.STRETCH, hmm.STRETCH + 1, 5 * hmm.STRETCH])
+    flat, off = r.integers(0, 50, n.sum()), np.concatenate([[0], np.cumsum(n)])
+    hmm.log10_likelihood(flat, off, p)
+    assert made == {1: 5, hmm.STATES: 5}
+    made.clear()
+    hmm.expected_counts(flat, off, p)
+    assert made == {1: 2, hmm.STATES: 5}
+
+
 def test_bpe_is_tiktoken(spark):
     import public_tokenizers as P
 
